@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, quality
+from . import exact_dedup, line_dedup, mixing, ngram_join, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), 3, Fraction(9, 10))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that many documents share, dropped from the whole of ``documents``."""
     lines = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
@@ -42,6 +48,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_mix_sources": op7_mix_sources,
