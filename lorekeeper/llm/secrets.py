@@ -7,7 +7,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,7 @@ ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "w
 REACH = 200
 
 Span = tuple[int, int, int]
+_FOUND = pa.schema([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_linked", pa.int64())])
 
 
 def base_spans(text: str) -> list[Span]:
@@ -108,16 +109,17 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for text in batch.column("text").to_pylist():
             base = base_spans(text)
             linked = linked_spans(text, base)
             kinds = [k for _, k, _ in base]
-            rows.append((doc_id, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + linked)), len(linked)))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked"])
-        yield out.astype({"doc_id": "Int64"})
+            counts = {f"n_{KINDS[k]}": kinds.count(k) for k in range(3)}
+            rows.append(counts | {"base_sha256": hashlib.sha256(_joined(base).encode()).hexdigest(), "spans": _joined(sorted(base + linked)), "n_linked": len(linked)})
+        out = pa.RecordBatch.from_pylist(rows, schema=_FOUND)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *out.columns], ["doc_id", *_FOUND.names])
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -130,4 +132,4 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     repeated results; further columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
+    return rows.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")

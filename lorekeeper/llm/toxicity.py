@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,16 +157,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     else:
         margins, rest = np.zeros(BUCKETS, dtype=np.float32), (50.0 if prior == 1 else -50.0)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score_texts(batch["text"].to_list(), margins, rest)})
+            scores = pa.array(score_texts(batch.column("text").to_pylist(), margins, rest), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), scores], ["doc_id", "held_out", "score"])
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False)).alias("held_out"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    scored = rows.mapInPandas(score, "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -177,9 +178,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs
     margins, rest = train(texts, toxic, prior).margins()
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = score_texts(batch["text"].fillna("").to_list(), margins, rest)
-            yield batch[np.array(scores, dtype=float) < 0.5]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(np.array(score_texts(texts, margins, rest), dtype=float) < 0.5))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
