@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_folder
+
+__all__ = ["SPACE", "NOT_SPACE", "SPACE_CHARS", "ascii_lower", "join_groups", "let", "materialise", "shared_folder"]
+
 #: The white space of the contracts, ``[\x20\x09-\x0D]``.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -20,33 +20,6 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 HEAVY_KEYS = 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a folder of its own; on a cluster
-    that is an error, as executors do not see the driver's disk.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"lorekeeper-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage with files that survive the loss of any executor, and
-    keeps an expensive scan from running twice.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all other characters as they are."""
     plain = F.length(text) == F.octet_length(text)
