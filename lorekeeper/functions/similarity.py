@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -65,7 +66,7 @@ def token_sort(name: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != "")), " ")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def indel_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """``indel_ratio`` over Arrow batches."""
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
