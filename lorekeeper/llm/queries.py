@@ -60,7 +60,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` written as WARC archives, read back, and merged into one capture index."""
     index = warc.archive_pages(_table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,57 @@ QUERIES: dict[str, Query] = {
     "op10_html_extraction": op10_html_extraction,
 }
 
+
+
+def _quality_sql() -> str:
+    """Counts, shares and distances spelled out for each bin of both histograms."""
+    n_class, n_word = len(quality.CLASSES) + 1, max(map(len, quality.COMMON_WORDS.values())) + 1
+    names = [f"c{i}" for i in range(n_class)] + [f"h{i}" for i in range(n_word)]
+    classes = [f"len(regexp_extract_all(t, '{c}'))" for c in quality.CLASSES]
+    lists = " ".join(f"WHEN '{k}' THEN {list(v)}" for k, v in quality.COMMON_WORDS.items())
+    words = [f"len(list_filter(l, lambda x: x = cw[{i + 1}]))" for i in range(n_word - 1)]
+    counts = ", ".join(f"{x} AS {n}" for n, x in zip(names, [*classes, "0", *words, "0"], strict=True) if n not in (f"c{n_class - 1}", f"h{n_word - 1}"))
+    rest = f"length(t) - ({' + '.join(names[: n_class - 1])}) AS c{n_class - 1}, len(l) - ({' + '.join(names[n_class:-1])}) AS h{n_word - 1}"
+
+    def share(row: str, name: str) -> str:
+        own = [n for n in names if n[0] == name[0]]
+        total = "(" + " + ".join(f"{row}.{n}" for n in own) + ")"
+        return f"(CASE WHEN {total} > 0 THEN {row}.{name}::DOUBLE / {total}::DOUBLE ELSE 0 END)"
+
+    def distance(kind: str) -> str:
+        part = lambda x, y: f"(CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END)"
+        terms = [f"{part(share('f', n), share('r', n))} + {part(share('r', n), share('f', n))}" for n in names if n[0] == kind]
+        return f"sqrt(greatest(0, ({' + '.join(terms)}) / 2))"
+
+    return f"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN {quality.LANGS} THEN lang ELSE 'other' END AS reference FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(regexp_split_to_array(lower(t), '[^\\pL]+'), lambda x: x <> '') AS l,
+         CASE reference {lists} ELSE [''] END AS cw, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM t
+), windows AS (
+  SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM windows) WHERE k > 1
+  ) GROUP BY doc_id
+), c AS (SELECT *, {counts} FROM w), f AS (SELECT *, {rest} FROM c),
+refs AS (SELECT reference, {', '.join(f'sum({n}) AS {n}' for n in names)} FROM f GROUP BY reference),
+d AS (
+  SELECT f.doc_id, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words,
+         CASE WHEN length(t) >= {quality.MIN_CHARS} THEN {distance('c')} END AS class_distance,
+         CASE WHEN len(w) >= {quality.MIN_WORDS} AND f.reference <> 'other' THEN {distance('h')} END AS word_distance
+  FROM f JOIN refs r ON r.reference = f.reference LEFT JOIN repeated ON repeated.doc_id = f.doc_id
+)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(class_distance < {quality.MAX_CLASS_DISTANCE}, true) AND coalesce(word_distance < {quality.MAX_WORD_DISTANCE}, true) AS kept,
+       round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance
+FROM d
+"""
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TRIM = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
@@ -157,4 +208,16 @@ SELECT doc_id, size, source_size, target,
        round(2 * x * ((a + b) / 2) / (a + sqrt(a * a + 2 * (b - a) * x * ((a + b) / 2))), 6) AS position
 FROM share
 """,
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), g AS (
+  SELECT h, max(page_id) AS keeper FROM p WHERE payload_bytes >= 1000 GROUP BY h HAVING count(*) > 1
+)
+SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN g USING (h)
+""",
+    "op9_quality_rules": _quality_sql(),
 }
