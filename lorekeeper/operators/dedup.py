@@ -167,3 +167,29 @@ def edge_collapse(edges: DataFrame, order: str) -> DataFrame:
     """One row an edge id: the last in ``order``."""
     last = Window.partitionBy("id").orderBy(F.desc(order))
     return edges.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+
+
+def confirm(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, now: Column, strategy: str = "merge_properties") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after the merges of confirmed ``pairs`` (a_id, b_id), each node in one pair at most.
+
+    The winner takes what the strategy says and the loser becomes a tombstone that names
+    it; edges go to the winner.  A pair whose loser is a tombstone already changes nothing,
+    so a repeated run gives the same tables.
+    """
+    alive = nodes.where(F.coalesce("merged_into", F.lit("")) == "")
+    side = lambda p: alive.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "created_at", "confidence")])
+    chosen = pairs.join(side("a"), "a_id").join(side("b"), "b_id").withColumn("first", winner_first())
+    merged = chosen.select(F.when(F.col("first"), F.col("a_id")).otherwise(F.col("b_id")).alias("winner_id"), F.when(F.col("first"), F.col("b_id")).otherwise(F.col("a_id")).alias("loser_id"))
+    fields = ("name", "aliases", "sources", "confidence", "properties")
+    of = lambda p: nodes.select(F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in fields])
+    both = merged.join(of("w"), F.col("winner_id") == F.col("w_id")).join(of("l"), F.col("loser_id") == F.col("l_id"))
+    kept = merge_nodes(both, strategy).select("id", *[F.col(c).alias(f"n_{c}") for c in fields[1:]])
+    out = nodes.join(kept, "id", "left").join(merged.select(F.col("loser_id").alias("id"), "winner_id"), "id", "left")
+    new = {c: F.coalesce(f"n_{c}", c) for c in fields[1:]} | {"merged_into": F.coalesce("winner_id", "merged_into"), "merged_at": F.when(F.col("winner_id").isNotNull(), now).otherwise(F.col("merged_at"))}
+    return out.withColumns(new).select(*nodes.columns), transfer_edges(edges, merged)
+
+
+def sweep_writes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a sweep writes: pairs to confirm, and pending same_as rows for those that are flagged."""
+    flagged = pairs.where("action = 'flagged'").select(F.concat_ws("|", "low_id", F.lit("same_as"), "high_id").alias("id"), F.col("low_id").alias("source_node_id"), F.col("high_id").alias("target_node_id"), "score", F.lit("pending").alias("status"))
+    return pairs.where("action = 'merged'").select(F.col("low_id").alias("a_id"), F.col("high_id").alias("b_id")), flagged

@@ -121,3 +121,21 @@ def search_results(pages: DataFrame, num_results: int) -> DataFrame:
 def union_all(tables: list[DataFrame]) -> DataFrame:
     """Records of several sources as one table; columns that one lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def video_metadata(entries: DataFrame) -> DataFrame:
+    """Entries of a video feed (link, title, author, published) with ids; entries without one are dropped."""
+    rows = entries.withColumn("video_id", W.video_id(F.col("link"))).where("video_id is not null")
+    return rows.select("video_id", W.canonical_video_url(F.col("video_id")).alias("source_uri"), "title", F.col("author").alias("channel"), W.parse_date(F.col("published"), F.lit(None)).alias("published_at"))
+
+
+def embed_metadata(answers: DataFrame) -> DataFrame:
+    """Title and channel from captured oEmbed answers (video_id, body as JSON); malformed ones have none."""
+    j = F.from_json("body", "title string, author_name string")
+    return answers.select("video_id", j["title"].alias("title"), j["author_name"].alias("channel"))
+
+
+def source_rows(spark: SparkSession, sources: list[dict]) -> DataFrame:
+    """A configured list of sources as rows: type, uri and the rest as a map, in their order."""
+    rows = [(i, s.get("type"), s["uri"], {k: str(v) for k, v in s.items() if k not in ("type", "uri")}) for i, s in enumerate(sources)]
+    return spark.createDataFrame(rows, "position int, type string, url string, options map<string,string>")

@@ -248,3 +248,42 @@ def test_stream_upsert(spark, tmp_path):
     stream = spark.readStream.schema(state["t"].schema).parquet(str(tmp_path / "in"))
     streams.upsert_stream(stream, lambda: state["t"], write, writes.upsert_documents, str(tmp_path / "ck")).awaitTermination(120)
     assert {r.source_uri: r.title for r in state["t"].collect()} == {"1": "a", "2": "y"}
+
+
+def test_confirm_and_sweep(spark):
+    schema = "id string, name string, aliases array<string>, sources array<string>, confidence double, properties map<string,string>, created_at timestamp, merged_into string, merged_at timestamp"
+    rows = [("a", "Ann", [], ["1"], 0.5, {"r": "x"}, datetime(2024, 1, 2), None, None), ("b", "Anne", ["An"], ["2"], 0.9, {"r": "longer", "s": "y"}, datetime(2024, 1, 1), None, None), ("c", "Bob", [], [], 0.1, {}, None, None, None)]
+    nodes = spark.createDataFrame(rows, schema)
+    edges = spark.createDataFrame([("a|has|c", "u", "has", None, "a", "person", "c", "object", {"k": "1"}), ("b|has|c", "u", "has", None, "b", "person", "c", "object", {"k": "2"}), ("a|knows|b", "u", "knows", None, "a", "person", "b", "person", {})], "id string, user_id string, type string, semantic_type string, source_node_id string, source_type string, target_node_id string, target_type string, properties map<string,string>")
+    pairs = spark.createDataFrame([("a", "b")], "a_id string, b_id string")
+    now = F.lit("2024-03-01").cast("timestamp")
+    new_nodes, new_edges = dedup.confirm(nodes, edges, pairs, now)
+    got = {r.id: r for r in new_nodes.collect()}
+    assert got["a"].merged_into == "b" and got["b"].merged_into is None and got["c"].merged_into is None
+    assert got["b"].aliases == ["An", "Ann"] and got["b"].sources == ["1", "2"] and got["b"].properties == {"r": "longer", "s": "y"}
+    assert {r.id: r.properties for r in new_edges.collect()} == {"b|has|c": {"k": "2"}}
+    again = dedup.confirm(spark.createDataFrame(new_nodes.collect(), new_nodes.schema), new_edges, pairs, now)[0]
+    assert sorted(map(str, again.collect())) == sorted(map(str, new_nodes.collect()))
+    swept = spark.createDataFrame([("a", "b", 0.9, "merged"), ("a", "c", 0.5, "flagged")], "low_id string, high_id string, score double, action string")
+    merge, flag = dedup.sweep_writes(swept)
+    assert merge.count() == 1 and [r.id for r in flag.collect()] == ["a|same_as|c"]
+
+
+def test_memory(spark):
+    from lorekeeper.memory import Memory
+
+    nodes = spark.createDataFrame([("a", "u", "person", "ada lovelace", ["countess"], [1.0, 0.0]), ("b", "u", "object", "engine", [], [0.0, 1.0]), ("c", "v", "person", "ada", [], [1.0, 0.0])], "id string, user_id string, type string, name string, aliases array<string>, embedding array<double>")
+    edges = spark.createDataFrame([("a|uses|b", "u", "uses", "a", "b"), ("a|uses|z", "u", "uses", "a", "z")], "id string, user_id string, type string, source_node_id string, target_node_id string")
+    m = Memory("u", nodes, edges, lambda q: [1.0, 0.0], lambda q, e: [{"$match": {"type": "person", "user_id": "v"}}])
+    assert [r.id for r in m.query("who?").collect()] == ["a"]
+    assert m.search("countess", 1).first().id == "a"
+    found, links = m.search_and_expand("ada", 1)
+    assert {r.id for r in found.collect()} == {"a", "b"} and links.count() == 2
+    assert {r.type for r in m.payload()[0].where("id = 'z'").collect()} == {"unknown"}
+
+
+def test_video_sources(spark):
+    feed = spark.createDataFrame([("https://youtu.be/abcdefghijk", "t", "c", "2024-01-01T00:00:00Z"), ("https://a.b", "x", "y", None)], "link string, title string, author string, published string")
+    assert [r.video_id for r in documents.video_metadata(feed).collect()] == ["abcdefghijk"]
+    assert documents.embed_metadata(spark.createDataFrame([("v", '{"title": "T"'), ("w", '{"title": "T", "author_name": "A"}')], "video_id string, body string")).where("channel = 'A'").count() == 1
+    assert documents.source_rows(spark, [{"uri": "u", "max": 3}]).first().options == {"max": "3"}
