@@ -28,7 +28,7 @@ from .shingles import mix, shingle_sets
 WORDS = 5
 SIMILARITY = Fraction(4, 5)
 #: Coordinates of a count vector.
-GROUPS = 64
+GROUPS = 256
 #: A band of sizes goes up to this times its smallest size.
 BAND = Fraction(3, 2)
 #: Documents of one key are compared in blocks of so many.
@@ -57,6 +57,7 @@ def _ranges(groups: int) -> np.ndarray:
     return np.array([(g << 64) // groups + (1 if (g << 64) % groups else 0) for g in range(1, groups)], dtype=np.uint64)
 
 
+_SECOND = np.uint64(0x2545F4914F6CDD1D)
 _edges: dict[int, np.ndarray] = {}
 
 
@@ -79,21 +80,20 @@ def _keys(hashes: np.ndarray, sums: np.ndarray, similarity: Fraction) -> np.ndar
 
 
 def _profiles(k: int, similarity: Fraction):
-    """Arrow batches of row_id, doc_id and text to set identity, size and keys."""
+    """Arrow batches of row_id, doc_id and text to set identity, size, keys and count vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                one, two, sizes, keys = [], [], [], []
+                one, two, sizes, keys, counts = [], [], [], [], []
                 for hashes in shingle_sets(batch.column("text"), k):
                     sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
                     np.cumsum(mix(hashes), out=sums[1:])
                     one.append(sums[-1])
-                    two.append(mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64))
+                    two.append(mix(hashes ^ _SECOND).sum(dtype=np.uint64))
                     sizes.append(len(hashes))
                     keys.append(_keys(hashes, sums, similarity).view(np.int64))
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                    counts.append(np.diff(_cut(hashes, GROUPS)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row_id"),
@@ -101,28 +101,31 @@ def _profiles(k: int, similarity: Fraction):
                         pa.array(np.array(sizes, dtype=np.int64)),
                         pa.array(np.array(one, dtype=np.uint64).view(np.int64)),
                         pa.array(np.array(two, dtype=np.uint64).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                        _lists(keys, np.int64),
+                        _lists(counts, np.int32),
                     ],
-                    ["row_id", "doc_id", "n_shingles", "set_a", "set_b", "keys"],
+                    ["row_id", "doc_id", "n_shingles", "set_a", "set_b", "keys", "counts"],
                 )
 
     return run
 
 
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(kind) if arrays else np.zeros(0, kind)))
+
+
 def _sets(k: int):
-    """Arrow batches of text to set identity, sorted hashes and count vector."""
+    """Arrow batches of text to set identity and sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 sets = list(shingle_sets(batch.column("text"), k))
                 one = np.array([mix(h).sum(dtype=np.uint64) for h in sets], dtype=np.uint64)
-                two = np.array([mix(h ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) for h in sets], dtype=np.uint64)
-                lists = lambda xs, kind: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in xs]))).astype(np.int32)), pa.array(np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists([h.view(np.int64) for h in sets], np.int64), lists([np.diff(_cut(h, GROUPS)) for h in sets], np.int32)],
-                    ["set_a", "set_b", "hashes", "counts"],
-                )
+                two = np.array([mix(h ^ _SECOND).sum(dtype=np.uint64) for h in sets], dtype=np.uint64)
+                arrays = [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _lists([h.view(np.int64) for h in sets], np.int64)]
+                yield pa.RecordBatch.from_arrays(arrays, ["set_a", "set_b", "hashes"])
 
     return run
 
@@ -206,22 +209,37 @@ def _overlap(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets link.  A set in very many pairs is copied for each ``BLOCK`` of them."""
-    p, q = similarity.numerator, similarity.denominator
-    pairs = pairs.distinct()
+def _dealt(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) with ``value`` of both.  A row in very many pairs is copied for each ``BLOCK`` of them."""
     degree = pairs.groupBy("b").agg((F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 0")
     degree = materialise(degree, "degree")
-    # More than BLOCK pairs each: at most one in BLOCK of the documents.
-    split = pairs.join(degree, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(0)) + 1).cast("int")).drop("parts")
-    left = sets.select(F.col("row_id").alias("a"), F.col("hashes").alias("hashes_a"), F.col("counts").alias("counts_a"))
-    right = sets.join(degree.withColumnRenamed("b", "row_id"), "row_id", "left")
-    right = right.select(F.col("row_id").alias("b"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0)))).alias("part"), F.col("hashes").alias("hashes_b"), F.col("counts").alias("counts_b"))
-    both = split.join(left, "a").join(right, ["b", "part"])
-    sizes = F.size("hashes_a") + F.size("hashes_b")
-    may = (p + q) * _overlap(F.col("counts_a"), F.col("counts_b")) >= p * sizes
-    inter = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    return both.where(may).where((p + q) * inter >= p * sizes).select("a", "b")
+    part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(0)) + 1).cast("int")
+    split = pairs.join(degree, "b", "left").withColumn("part", part).drop("parts")
+    left = rows.select(F.col("row_id").alias("a"), F.col(value).alias("x"))
+    right = rows.select("row_id", value).join(degree.withColumnRenamed("b", "row_id"), "row_id", "left")
+    right = right.select(F.col("row_id").alias("b"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0)))).alias("part"), F.col(value).alias("y"))
+    return split.join(left, "a").join(right, ["b", "part"])
+
+
+def _bounded(pairs: DataFrame, profiles: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs whose summed coordinate minima allow a link."""
+    p, q = similarity.numerator, similarity.denominator
+    size = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
+    may = (p + q) * _overlap(F.col("x"), F.col("y")) >= p * (size("x") + size("y"))
+    return _dealt(pairs, profiles, "counts").where(may).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """The pairs whose whole sets link.  Sets are made again from the texts of the rows in pairs, by then few."""
+    p, q = similarity.numerator, similarity.denominator
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
+    involved = materialise(members.join(involved, "row_id", "left_semi").select("row_id", "doc_id", "set_a", "set_b"), "involved")
+    ids = involved.select(F.col("doc_id").alias("__id")).distinct()
+    found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    found = found.mapInArrow(_sets(words), "set_a long, set_b long, hashes array<long>").dropDuplicates(["set_a", "set_b"])
+    sets = materialise(found.join(involved.drop("doc_id"), ["set_a", "set_b"]).select("row_id", "hashes"), "sets")
+    inter = F.size(F.array_intersect("x", "y"))
+    return _dealt(pairs, sets, "hashes").where((p + q) * inter >= p * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -237,7 +255,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: Fraction = S
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     profiles = texts.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(
-        _profiles(words, similarity), "row_id long, doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
+        _profiles(words, similarity), "row_id long, doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, counts array<int>"
     )
     profiles = materialise(profiles, "profiles")
 
@@ -254,17 +272,11 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: Fraction = S
     met = materialise(met, "met")
 
     pairs = met.select(F.col("row_id").alias("a"), F.col("first").alias("b")).distinct()
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
-    involved = materialise(members.join(involved, "row_id", "left_semi").select("row_id", "doc_id", "set_a", "set_b"), "involved")
-    ids = involved.select(F.col("doc_id").alias("__id")).distinct()
-    found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    found = found.mapInArrow(_sets(words), "set_a long, set_b long, hashes array<long>, counts array<int>").dropDuplicates(["set_a", "set_b"])
-    sets = materialise(found.join(involved.drop("doc_id"), ["set_a", "set_b"]).select("row_id", "hashes", "counts"), "sets")
-
-    links = materialise(_verified(pairs, sets, similarity), "links_first")
+    bounded = materialise(_bounded(pairs, profiles, similarity), "bounded")
+    links = materialise(_verified(bounded, texts, members, words, similarity), "links_first")
     labels = connected_components(links)
-    rest = _rest(met, labels, sets, similarity)
-    more = materialise(_verified(rest.join(pairs, ["a", "b"], "left_anti"), sets, similarity), "links_more")
+    rest = materialise(_rest(met, labels, profiles, similarity).join(bounded, ["a", "b"], "left_anti"), "rest")
+    more = materialise(_verified(rest, texts, members, words, similarity), "links_more")
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more))
 
@@ -275,21 +287,26 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: Fraction = S
     return join_groups(of, least, ["label"], "n_rows").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _rest(met: DataFrame, labels: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+def _rest(met: DataFrame, labels: DataFrame, profiles: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs of documents that share a key, are in different components and may link.
 
     The first of a key has been tested against all others of it.  Of the others of a
-    key, only those outside its most frequent component are searched, against all.
+    key, only those outside its most frequent component are searched, against all.  Of
+    keys that hold the same documents, one is enough.
     """
     of = labels.select(F.col("node").alias("row_id"), "label")
     rows = met.select("key", "row_id").join(of, "row_id", "left").select("key", "row_id", F.coalesce("label", "row_id").alias("label"))
-    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n_key"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("n_labels"))
-    mixed = materialise(sizes.where("n_labels > 1"), "mixed_keys")
+    digests = [F.bit_xor(F.xxhash64("row_id", F.lit(i))).alias(f"digest_{i}") for i in range(2)]
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), *digests)
+    digests = [F.bit_xor(f"digest_{i}").alias(f"digest_{i}") for i in range(2)]
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n_key"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("n_labels"), *digests)
+    alike = ["n_key", "digest_0", "digest_1"]
+    mixed = sizes.where("n_labels > 1").groupBy(*alike).agg(F.min_by("key", "key").alias("key"), F.min_by("main", "key").alias("main"))
+    mixed = materialise(mixed.select("key", "n_key", "main"), "mixed_keys")
     rows = join_groups(rows, mixed, ["key"], "n_key", "inner")
     blocks = (F.col("n_key") / BLOCK).cast("int") + 1
     block = lambda salt: F.pmod(F.xxhash64("row_id", F.lit(salt)), blocks).cast("int")
-    rows = materialise(rows.join(sets.select("row_id", "counts"), "row_id").withColumns({"blocks": blocks, "probe": F.col("label") != F.col("main"), "own": block(1)}), "mixed_rows")
+    rows = materialise(rows.join(profiles.select("row_id", "counts"), "row_id").withColumns({"blocks": blocks, "probe": F.col("label") != F.col("main"), "own": block(1)}), "mixed_rows")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cols = ["key", "row_id", "label", "counts"]
     data = rows.select(*cols, F.lit(False).alias("probe"), F.col("own").alias("data_block"), every.alias("probe_block"))
