@@ -20,7 +20,7 @@ WORD, LEAST_TAG, MOST_TAG = 1.0, -40.0, -0.1
 #: of the opening tag of boilerplate, whose words count nothing and are left out anyway.
 TEXT_TAG, LINK_TAG, OTHER_TAG, BOILERPLATE_TAG = -0.1, -2.0, -4.0, -3.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 # Elements of HTML by what they hold.
 _RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
@@ -35,7 +35,7 @@ _BOILERPLATE_NAMES = re.compile(
     re.I,
 )
 
-#: (tag key or "", text): one or the other.
+#: Key of a tag or "", text, block number, and whether boilerplate holds it.
 Token = tuple[str, str, int, bool]
 
 
@@ -47,30 +47,25 @@ def tokens(page: str) -> list[Token]:
     """
     found: list[Token] = []
     at = block = 0
-    skip = None
     open_tags: list[tuple[str, bool]] = []
     depth = 0  # of boilerplate
 
     def text(piece: str) -> None:
-        if skip is None and piece and not piece.isspace():
+        if piece:
             found.append(("", html.unescape(piece), block, depth > 0))
-        elif skip is None and piece:
-            found.append(("", " ", block, depth > 0))
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         if m[1] is None:
-            if skip is None and m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA["):
                 text(m[0][9:].removesuffix("]]>"))
             continue
         name, closing = m[1].lower(), m[0][1] == "/"
-        if skip is not None:
-            if closing and name == skip:
-                skip = None
-            continue
         if name in _RAW and not closing and not m[2].endswith("/"):
-            skip = name
+            # What a raw element holds is no markup, so its end is looked for as it is.
+            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else len(page) if name in ("script", "style") else at
             block += 1
             continue
         if name not in _INLINE:

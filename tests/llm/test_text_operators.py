@@ -234,5 +234,10 @@ def test_best_region_is_the_largest_sum():
         assert sum(score[a:b]) == pytest.approx(best)
 
 
+def test_markup_in_scripts_and_broken_tags():
+    page = "<p>one</p><script>if (a<b) { x = '</p>'; }</SCRIPT><p>two <b>three</b<i> four</i></p><svg><p>five <textarea>six</p>"
+    assert html_extract.main_text(page, {}) == "one\ntwo three four\nfive\nsix"
+
+
 def test_unescape_is_not_repeated():
     assert html_extract.main_text("<p>&amp;lt;b&amp;gt; stays</p>", {}) == html.unescape("&amp;lt;b&amp;gt;") + " stays"
