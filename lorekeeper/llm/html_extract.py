@@ -182,9 +182,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     give repeated results; further columns are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    marked = rows.where(F.length("html") < 200_000).where(F.rlike("html", F.lit("(?i)<(article|main)[\\s>]")))
+    marked = rows.where(F.length("html") < 200_000).where(F.rlike("html", F.lit("(?i)<(article|main)[\\s>]"))).select("html", F.xxhash64("html").alias("h"))
     # The limit is the bound of the sample that the weights are fitted on.
-    labelled = [r[0] for r in marked.select("html", F.xxhash64("page_id").alias("h")).orderBy("h").limit(MAX_LABELLED).select("html").collect()]
+    chosen = marked.select("h").distinct().orderBy("h").limit(MAX_LABELLED)
+    labelled = [r["html"] for r in marked.join(F.broadcast(chosen), "h").groupBy("h").agg(F.any_value("html").alias("html")).orderBy("h").collect()]
     weights = learn_weights(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
