@@ -14,9 +14,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,25 +31,45 @@ SIMILARITY = Fraction(4, 5)
 GROUPS = 256
 #: A band of sizes goes up to this times its smallest size.
 BAND = Fraction(3, 2)
+#: Groups beyond those that a link needs, for each shingle in which linked sets may differ.
+SPARE = Fraction(2, 5)
 #: Documents of one key are compared in blocks of so many.
 BLOCK = 1024
+#: Keys of fewer documents go to a task together, about so many of their rows at a time.
+TOGETHER = 4096
 #: Points of an R-tree leaf, and children of an inner node.
 LEAF = 16
+#: Pairs of a node and a probe that are bounded at a time.
+PAIRS = 4096
 
 
-def _bands(n: int, similarity: Fraction) -> tuple[tuple[int, int], ...]:
-    """(band, groups) in which a set of ``n`` shingles has keys: its own band and, where it can be the smaller of a pair, the next."""
+def _groups(high: int, similarity: Fraction) -> tuple[int, int]:
+    """Groups of a band up to size ``high``, and how many of them two sets that link share at least.
+
+    Sets that link differ in at most ``d`` shingles, so ``d + 1`` groups would do; the
+    others allow each set to go without keys for its smallest groups.
+    """
+    d = int((1 - similarity) / (1 + similarity) * 2 * high)
+    groups = d + 1 + int(SPARE * d)
+    return groups, groups - d
+
+
+@lru_cache(maxsize=1 << 16)
+def _bands(n: int, similarity: Fraction) -> tuple[tuple[int, int, int], ...]:
+    """(band, groups, shared groups) in which a set of ``n`` shingles has keys: its own band and, where it can be the smaller of a pair, the next.
+
+    Bands whose sets link only if they are equal have no keys.
+    """
     low, band = 1, 0
     while True:
         high = max(low, int(low * BAND))
         if n <= high:
             break
         low, band = high + 1, band + 1
-    groups = lambda top: int((1 - similarity) / (1 + similarity) * 2 * top) + 1
-    found = [(band, groups(high))]
+    found = [(band, *_groups(high, similarity))]
     if n >= similarity * (high + 1):
-        found.append((band + 1, groups(max(high + 1, int((high + 1) * BAND)))))
-    return tuple(f for f in found if f[1] > 1)
+        found.append((band + 1, *_groups(max(high + 1, int((high + 1) * BAND)), similarity)))
+    return tuple(f for f in found if f[1] > f[2])
 
 
 def _ranges(groups: int) -> np.ndarray:
@@ -69,13 +89,21 @@ def _cut(hashes: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _keys(hashes: np.ndarray, sums: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """A key for each group of each band, equal where the groups hold the same shingles."""
+    """A key for each group of each band, equal where the groups hold the same shingles.
+
+    Small groups are shared by chance, and empty ones by many.  A set has no keys for groups
+    smaller than its ``shared``-th smallest.  These are fewer than the groups that a link
+    shares, so one shared group is not small for the set whose limit is the higher one, nor
+    for the other: no link is lost.
+    """
     keys = []
-    for band, groups in _bands(len(hashes), similarity):
+    for band, groups, shared in _bands(len(hashes), similarity):
         at = _cut(hashes, groups)
+        counts = np.diff(at).astype(np.uint64)
         content = sums[at[1:]] - sums[at[:-1]]
         place = np.arange(groups, dtype=np.uint64) + np.uint64(band << 32)
-        keys.append(mix(content + mix(place + np.uint64(0x51ED270B)) + np.diff(at).astype(np.uint64)))
+        own = mix(content + mix(place + np.uint64(0x51ED270B)) + counts)
+        keys.append(own[counts >= np.partition(counts, shared - 1)[shared - 1]])
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
@@ -176,31 +204,49 @@ class RTree:
 
     def search(self, point: np.ndarray, similarity: Fraction) -> np.ndarray:
         """Row numbers of the points whose summed coordinate minima with ``point`` reach the needed overlap."""
-        size = int(point.sum())
+        return self.search_all(np.asarray(point)[None], similarity)[1]
+
+    def search_all(self, probes: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of ``probes``, row of the points) whose summed coordinate minima reach the needed overlap.
+
+        All probes go down the tree together, a level at a time.
+        """
+        sizes = probes.sum(axis=1)
 
-        def hopeful(at: np.ndarray, least: np.ndarray, high: np.ndarray) -> np.ndarray:
-            return at[np.minimum(high[at], point).sum(axis=1) >= _needed(least[at], size, similarity)]
+        def hopeful(at: np.ndarray, who: np.ndarray, least: np.ndarray, high: np.ndarray) -> np.ndarray:
+            """Which (node, probe) pairs may hold a link, computed for so many pairs at a time."""
+            need = _needed(least[at], sizes[who], similarity)
+            return np.concatenate([np.minimum(high[at[i : i + PAIRS]], probes[who[i : i + PAIRS]]).sum(axis=1) >= need[i : i + PAIRS] for i in range(0, max(len(at), 1), PAIRS)])
 
-        at = np.zeros(1, dtype=np.int64)
+        at, who = np.zeros(len(probes), dtype=np.int64), np.arange(len(probes))
         for i in reversed(range(len(self.levels))):
-            at = (hopeful(at, *self.levels[i])[:, None] * LEAF + np.arange(LEAF)).ravel()
-            at = at[at < (len(self.levels[i - 1][0]) if i else len(self.order))]
-        return self.order[hopeful(at, self.sizes, self.points)]
+            keep = hopeful(at, who, *self.levels[i])
+            at, who = (at[keep][:, None] * LEAF + np.arange(LEAF)).ravel(), np.repeat(who[keep], LEAF)
+            there = at < (len(self.levels[i - 1][0]) if i else len(self.order))
+            at, who = at[there], who[there]
+        keep = hopeful(at, who, self.sizes, self.points)
+        return who[keep], self.order[at[keep]]
 
 
 def _compare(similarity: Fraction):
-    """Documents of one key and one pair of blocks to pairs of different components that may link."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        probes, data = rows[rows["probe"]], rows[~rows["probe"]]
-        found: list[tuple[int, int]] = []
-        if len(probes) and len(data):
-            tree = RTree(np.stack(data["counts"].to_list()).astype(np.int64))
-            ids, labels = data["row_id"].to_numpy(), data["label"].to_numpy()
-            for row, label, counts in zip(probes["row_id"], probes["label"], probes["counts"], strict=True):
-                hit = tree.search(np.asarray(counts, dtype=np.int64), similarity)
-                found += [(max(row, x), min(row, x)) for x in ids[hit[labels[hit] != label]].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    """Rows of keys, each with a pair of blocks, to pairs of documents of different components that may link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("key", "ascending"), ("data_block", "ascending"), ("probe_block", "ascending")])
+        key, data_block, probe_block, ids, labels, probe = (table[c].to_numpy() for c in ("key", "data_block", "probe_block", "row_id", "label", "probe"))
+        points = table["counts"].combine_chunks().flatten().to_numpy().astype(np.int32).reshape(-1, GROUPS)
+        new = (key[1:] != key[:-1]) | (data_block[1:] != data_block[:-1]) | (probe_block[1:] != probe_block[:-1])
+        edges = np.concatenate(([0], np.flatnonzero(new) + 1, [len(key)]))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            probes, data = start + np.flatnonzero(probe[start:stop]), start + np.flatnonzero(~probe[start:stop])
+            if len(probes) and len(data):
+                who, where = RTree(points[data]).search_all(points[probes], similarity)
+                x, y = probes[who], data[where]
+                apart = labels[x] != labels[y]
+                found.append((np.maximum(ids[x], ids[y])[apart], np.minimum(ids[x], ids[y])[apart]))
+        pairs = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else ((), ()))]
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
     return run
 
@@ -308,11 +354,13 @@ def _rest(met: DataFrame, labels: DataFrame, profiles: DataFrame, similarity: Fr
     block = lambda salt: F.pmod(F.xxhash64("row_id", F.lit(salt)), blocks).cast("int")
     rows = materialise(rows.join(profiles.select("row_id", "counts"), "row_id").withColumns({"blocks": blocks, "probe": F.col("label") != F.col("main"), "own": block(1)}), "mixed_rows")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cols = ["key", "row_id", "label", "counts"]
+    cols = ["key", "row_id", "label", "counts", "blocks"]
     data = rows.select(*cols, F.lit(False).alias("probe"), F.col("own").alias("data_block"), every.alias("probe_block"))
     probes = rows.where("probe").select(*cols, "probe", every.alias("data_block"), F.col("own").alias("probe_block"))
-    blocks = data.unionByName(probes).groupBy("key", "data_block", "probe_block")
-    return blocks.applyInPandas(_compare(similarity), "a long, b long").distinct()
+    total = mixed.where(F.col("n_key") < BLOCK).agg(F.sum("n_key")).first()[0] or 0
+    lot = F.when(F.col("blocks") > 1, F.xxhash64("key", "data_block", "probe_block")).otherwise(F.pmod(F.xxhash64("key"), F.lit(2 * total // TOGETHER + 1)))
+    lots = data.unionByName(probes).withColumn("lot", lot).groupBy("lot")
+    return lots.applyInArrow(_compare(similarity), "a long, b long").distinct()
 
 
 def drop_similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
