@@ -103,13 +103,15 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     Same columns as ``docs``.  Rows that agree in doc_id, source and size share the
     positions of those rows in the plan, one list each.
     """
-    keys = ["__id", "__source", "__size"]
-    plan = curriculum(docs, **options).where("taken > 0")
-    plan = plan.groupBy(F.col("doc_id").alias(keys[0]), F.coalesce("source", F.lit("")).alias(keys[1]), F.col("source").isNull().alias("__none"), F.col("size").alias(keys[2]))
-    plan = plan.agg(F.sort_array(F.collect_list("positions")).alias("__lists"))
+    def keyed(rows: DataFrame, size: Column) -> DataFrame:
+        """``rows`` with keys that are never null, so that the join and the ranks share one shuffle."""
+        known = {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__no_id": F.col("doc_id").cast("long").isNull()}
+        known |= {"__source": F.coalesce(F.col("source").cast("string"), F.lit("")), "__no_source": F.col("source").isNull(), "__size": size}
+        return rows.withColumns(known)
+
+    keys = ["__id", "__no_id", "__source", "__no_source", "__size"]
+    plan = keyed(curriculum(docs, **options).where("taken > 0"), F.col("size")).groupBy(*keys).agg(F.sort_array(F.collect_list("positions")).alias("__lists"))
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(NOT_SPACE + "+")).cast("long")
-    rows = docs.withColumns({"__i": F.col("doc_id").cast("long"), "__s": F.coalesce(F.col("source").cast("string"), F.lit("")), "__z": F.col("source").isNull(), "__w": words})
-    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy("__i", "__s", "__z", "__w").orderBy("text")))
-    on = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__s") == F.col("__source")) & (F.col("__z") == F.col("__none")) & (F.col("__w") == F.col("__size"))
-    taken = rows.join(plan, on).withColumn("__at", F.explode(F.get("__lists", F.col("__k") - 1)))
+    rows = keyed(docs, words).withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("text")))
+    taken = rows.join(plan, keys).withColumn("__at", F.explode(F.get("__lists", F.col("__k") - 1)))
     return taken.orderBy("__at", "doc_id").select(*docs.columns)
