@@ -36,7 +36,7 @@ SPARE = Fraction(2, 5)
 #: Documents of one key are compared in blocks of so many.
 BLOCK = 1024
 #: Keys of fewer documents go to a task together, about so many of their rows at a time.
-TOGETHER = 4096
+TOGETHER = 1024
 #: Points of an R-tree leaf, and children of an inner node.
 LEAF = 16
 #: Pairs of a node and a probe that are bounded at a time.
