@@ -28,6 +28,12 @@ _BOILERPLATE = frozenset("nav footer aside form header menu dialog button select
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTENT = frozenset(("article", "main"))
+#: Elements whose end tag may be left out: what the opening tag ends if no wall is between.
+_ITEMS = {"li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",)), "optgroup": frozenset(("option", "optgroup"))}
+_SECTIONS = ("thead", "tbody", "tfoot")
+_CELLS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")} | dict.fromkeys(_SECTIONS, ("td", "th", "tr", *_SECTIONS))
+#: Elements that an item's end passes through; all others are walls.
+_LOOSE = _INLINE | frozenset(("p", "div", "address"))
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd figcaption td th".split())
 _COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])", re.I)
 _BOILERPLATE_NAMES = re.compile(
@@ -43,12 +49,29 @@ def tokens(page: str) -> list[Token]:
     """Tags and texts of a page in order: key, text, block number and whether boilerplate holds it.
 
     The key of a tag is its name, after ``/`` if it closes and with ``!`` if its names
-    mark boilerplate.  Raw elements are left out with what they hold.
+    mark boilerplate.  Raw elements are left out with what they hold.  A closing tag ends the
+    last open element of its name at any depth; ends that HTML lets out are implied for
+    paragraphs, items of lists and menus, and parts of tables.
     """
     found: list[Token] = []
     at = block = 0
     open_tags: list[tuple[str, bool]] = []
     depth = 0  # of boilerplate
+    places: dict[str, list[int]] = {}  # of the open tags of each name
+    walls: list[int] = []
+
+    def end_from(i: int) -> None:
+        """Ends the open tags from place ``i`` on; each is ended once, so a tag costs the same at any depth."""
+        nonlocal depth
+        while len(open_tags) > i:
+            ended, bad = open_tags.pop()
+            depth -= bad
+            places[ended].pop()
+            if ended not in _LOOSE:
+                walls.pop()
+
+    def last(*names: str) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
     def text(piece: str) -> None:
         if piece:
@@ -73,23 +96,29 @@ def tokens(page: str) -> list[Token]:
         if name == "br":
             found.append(("", " ", block, depth > 0))
         if closing:
-            for i in range(len(open_tags) - 1, max(-1, len(open_tags) - 60), -1):
-                if open_tags[i][0] == name:
-                    depth -= sum(b for _, b in open_tags[i:])
-                    del open_tags[i:]
-                    break
+            if places.get(name):
+                end_from(places[name][-1])
             found.append((f"/{name}", "", block, depth > 0))
             continue
         names = " ".join(a or b or c for _, a, b, c in _ATTR.findall(m[2]))
-        article_header = name == "header" and any(t in _CONTENT for t, _ in open_tags)
+        article_header = name == "header" and last(*_CONTENT) >= 0
         marked = _COMMENT_NAMES if name in _CONTENT else _BOILERPLATE_NAMES
         named = name not in ("html", "body") and bool(names) and bool(marked.search(names))
         bad = named or (name in _BOILERPLATE and not article_header)
         if name == "p":
             # A paragraph ends the one before it, and inline elements left open in it.
             while open_tags and (open_tags[-1][0] == "p" or open_tags[-1][0] in _INLINE):
-                depth -= open_tags.pop()[1]
+                end_from(len(open_tags) - 1)
+        elif name in _ITEMS:
+            while walls and open_tags[walls[-1]][0] in _ITEMS[name]:
+                end_from(walls[-1])
+        elif name in _CELLS:
+            while (i := last(*_CELLS[name])) > last("table"):
+                end_from(i)
         if name not in _VOID and not m[2].endswith("/"):
+            places.setdefault(name, []).append(len(open_tags))
+            if name not in _LOOSE:
+                walls.append(len(open_tags))
             open_tags.append((name, bad))
             depth += bad
         found.append((name + "!" * bad, "", block, depth > 0))

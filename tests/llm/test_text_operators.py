@@ -239,5 +239,27 @@ def test_markup_in_scripts_and_broken_tags():
     assert html_extract.main_text(page, {}) == "one\ntwo three four\nfive\nsix"
 
 
+@pytest.mark.parametrize("n", [3, 58, 59, 60, 2000])
+def test_text_after_long_lists_without_end_tags(n):
+    for menu in (
+        "<select>" + "<option>one" * n + "</select>",
+        "<nav><ul>" + "<li>one <b>more" * n + "</ul></nav>",
+        '<div class="menu"><dl>' + "<dt>one<dd><p>two" * n + "</dl></div>",
+        "<aside><table>" + "<tr><th>one<td><div>two" * n + "</table></aside>",
+        "<nav>" + "<div>" * n + "one</nav>",
+        "<nav>" + "<div><i>" * n + "one" + "</i></div>" * n + "</nav>",
+    ):
+        assert html_extract.main_text(f"<p>Words before.</p>{menu}<p>All the words of the article.</p>", {}).endswith("All the words of the article."), menu[:20]
+
+
+def test_implied_ends():
+    key = lambda page: [(t, bad) for k, t, _, bad in html_extract.tokens(page) if not k]
+    # Only the item that the names mark is boilerplate, not the items that follow it.
+    assert key('<ul><li class="promo">a<li>b<ul><li>c<li class="ads">d</ul>e<li>f</ul>g') == [("a", True), ("b", False), ("c", False), ("d", True), ("e", False), ("f", False), ("g", False)]
+    assert key('<dl><dt class="promo">a<dd>b<dt>c</dl>') == [("a", True), ("b", False), ("c", False)]
+    # A table in a cell has rows of its own, and a cell ends whatever is open in it.
+    assert key('<table><tr><td class="ads"><table><tr><td>a<td>b<tr><td>c</table>d<td>e<tr><th class="promo"><ul><li>f<th>g<tbody><tr><td>h</table>') == [("a", True), ("b", True), ("c", True), ("d", True), ("e", False), ("f", True), ("g", False), ("h", False)]
+
+
 def test_unescape_is_not_repeated():
     assert html_extract.main_text("<p>&amp;lt;b&amp;gt; stays</p>", {}) == html.unescape("&amp;lt;b&amp;gt;") + " stays"
