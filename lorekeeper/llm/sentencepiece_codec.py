@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,10 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-#: Documents are dealt over so many keys of the dropout; a word is cut alike in documents of one key.
-VARIANTS = 2
 #: Words up to this length are merged many at a time, longer ones with a heap.
 WIDE = 32
-#: Segmentations that a task remembers before it forgets all.
-REMEMBERED = 500_000
+#: Segmentations that a task remembers before it forgets all, and words that are cut at once.
+REMEMBERED, AT_ONCE = 500_000, 200_000
 
 #: Runs of spaces go with what follows.  No piece has a Latin letter beside another
 #: character; a model in which one has is cut at spaces and line ends only.
@@ -41,6 +40,18 @@ def _mix(x):
     return x ^ (x >> np.uint64(32))
 
 
+class Cut(NamedTuple):
+    """A word's segmentation when ``skips`` are skipped, and the other merges that were offered on the way.
+
+    Merges are 64-bit codes of place and pair, one after the other.
+    """
+
+    word: str
+    skips: bytes
+    offers: bytes
+    ids: bytes
+
+
 class Codec:
     """The pieces of a byte-fallback BPE model and the merges that they allow."""
 
@@ -80,50 +91,91 @@ class Codec:
             table[ord(c)] = i
         self.char_piece = table
 
-    def _salt(self, variant: int) -> int:
-        return _mix((self.seed * _K[0] + (variant + 1) * _K[1]) & _MASK)
+    def _salt(self, doc: int, place: int = 0) -> int:
+        """The key of the draws of a document's word at ``place``."""
+        return _mix((_mix((self.seed * _K[0] + (doc + 1) * _K[1]) & _MASK) + place * _K[0]) & _MASK)
 
-    def _scores(self, left, right, start, words):
-        """Score and merged piece of pairs; merges that the keyed hash skips score as none."""
+    def _salts(self, docs: list[int], sizes: list[int]) -> np.ndarray:
+        """``_salt`` of all words of documents with so many words."""
+        n = np.array(sizes, dtype=np.int64)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first = np.array([_mix((self.seed * _K[0] + (d + 1) * _K[1]) & _MASK) for d in docs], dtype=np.uint64)
+        return _mix(np.repeat(first, n) + place.astype(np.uint64) * np.uint64(_K[0]))
+
+    def _scores(self, left, right, start, skips):
+        """Score of pairs, none for those in ``skips``; which pairs are offered; their codes."""
         key = np.where((left < 0) | (right < 0), 0, left.astype(np.int64) * self.size + right)
         at = np.searchsorted(self.pair_keys, key)
         hit = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
-        score = np.where(hit, self.pair_score[at], np.float32(-np.inf))
-        if self.dropout:
-            draw = _mix(words ^ (start.astype(np.uint64) * np.uint64(_K[1]) + key.astype(np.uint64) * np.uint64(_K[2])))
-            score[(draw >> np.uint64(11)) < np.uint64(self.dropout)] = -np.inf
-        return score
-
-    def _word_key(self, points: np.ndarray, salt: int):
-        """A keyed hash of each row of code points; padding is 0."""
-        h = np.full(points.shape[0], salt, dtype=np.uint64)
-        for j in range(points.shape[1]):
-            h = np.where(points[:, j] > 0, _mix(h + points[:, j].astype(np.uint64) + np.uint64(_K[0])), h)
-        return h
-
-    def encode_words(self, words: list[str], variant: int) -> list[bytes]:
-        """The piece ids of each word; a word has a space at most at its start."""
-        out = [b""] * len(words)
-        salt = self._salt(variant)
+        codes = start.astype(np.uint64) * np.uint64(_K[1]) + key.astype(np.uint64) * np.uint64(_K[2])
+        for j in range(skips.shape[-1]):
+            hit &= codes != skips[..., j]
+        return np.where(hit, self.pair_score[at], np.float32(-np.inf)), hit, codes
+
+    def _run(self, wanted: list[tuple[str, bytes]]) -> list[Cut]:
+        """The segmentations of words of at most ``WIDE`` characters without the merges to skip."""
+        out: list[Cut] = [None] * len(wanted)
         by_width: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
+        for i, (w, _) in enumerate(wanted):
             by_width.setdefault(-(-len(w) // 4) * 4, []).append(i)
-        with np.errstate(over="ignore"):
-            for width, rows in by_width.items():
-                if width > WIDE:
-                    for i in rows:
-                        out[i] = self._encode_long(words[i], salt)
-                    continue
-                text = "".join(words[i].ljust(width, "\0") for i in rows)
+        for width, group in by_width.items():
+            for a in range(0, len(group), 20_000):
+                rows = group[a : a + 20_000]
+                text = "".join(wanted[i][0].ljust(width, "\0") for i in rows)
                 points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64).reshape(-1, width)
                 # A NUL in a word is not padding: it is counted by the word's length.
-                lengths = np.array([len(words[i]) for i in rows])
-                for i, ids in zip(rows, self._merge(points, lengths, self._word_key(points, salt)), strict=True):
-                    out[i] = ids
+                lengths = np.array([len(wanted[i][0]) for i in rows])
+                most = max(len(wanted[i][1]) for i in rows)
+                # No pair has the code 0.
+                skips = np.frombuffer(b"".join(wanted[i][1].ljust(most, b"\0") for i in rows), dtype="<u8").reshape(len(rows), most // 8)
+                for i, ids, offers in zip(rows, *self._merge(points, lengths, skips), strict=True):
+                    out[i] = Cut(*wanted[i], offers, ids)
         return out
 
-    def _merge(self, points: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> list[bytes]:
-        """Best-scored, leftmost merges of all rows in step, until no row has one left."""
+    def _drawn(self, cuts: list[Cut], keys: np.ndarray) -> tuple[list[int], list[bytes]]:
+        """Which cuts have offers that their keys skip, and these offers."""
+        counts = np.fromiter((len(c.offers) for c in cuts), np.int64, len(cuts)) // 8
+        codes = np.frombuffer(b"".join([c.offers for c in cuts]), dtype="<u8")
+        hit = np.flatnonzero((_mix(np.repeat(keys, counts) ^ codes) >> np.uint64(11)) < np.uint64(self.dropout))
+        rows, first = np.unique(np.searchsorted(np.cumsum(counts), hit, side="right"), return_index=True)
+        data, ends = codes[hit].tobytes(), [*(first * 8).tolist(), len(hit) * 8]
+        return rows.tolist(), [data[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _cut(self, words: list[str], keys: np.ndarray, memory: dict) -> list[bytes]:
+        """The piece ids of each word under its own key.
+
+        What a key skips is drawn from the merges offered so far, and the word cut again
+        without them, until no offer is skipped; so a cut is shared only by places whose
+        draws agree, and is the same as if each place were merged on its own.
+        """
+        out = [b""] * len(words)
+        at = []
+        for i, w in enumerate(words):
+            if len(w) > WIDE:
+                out[i] = self._encode_long(w, int(keys[i]))
+            else:
+                at.append(i)
+        wanted: list = [words[i] for i in at]
+        while at:
+            new = list({w for w in wanted if w not in memory})
+            for w, cut in zip(new, self._run([(w, b"") if isinstance(w, str) else w for w in new]), strict=True):
+                memory[w] = cut
+            cuts = [memory[w] for w in wanted]
+            for i, c in zip(at, cuts, strict=True):
+                out[i] = c.ids
+            if not self.dropout:
+                break
+            rows, skipped = self._drawn(cuts, keys[at])
+            wanted = [(cuts[r].word, cuts[r].skips + x) for r, x in zip(rows, skipped, strict=True)]
+            at = [at[r] for r in rows]
+        return out
+
+    def encode_words(self, words: list[str], doc: int) -> list[bytes]:
+        """The piece ids of each word as the first of a document; a word has a space at most at its start."""
+        return self._cut(words, np.full(len(words), self._salt(doc), dtype=np.uint64), {})
+
+    def _merge(self, points: np.ndarray, lengths: np.ndarray, skips: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Best-scored, leftmost merges of all rows in step, until no row has one left; ids and offers."""
         n, width = points.shape
         spots = np.arange(width, dtype=np.int32)
         inside = spots < lengths[:, None]
@@ -133,7 +185,8 @@ class Codec:
         starts = np.broadcast_to(spots, (n, width)).copy()
         counts = lengths.copy()
         score = np.full((n, width), -np.inf, dtype=np.float32)
-        score[:, :-1] = self._scores(symbols[:, :-1], symbols[:, 1:], starts[:, :-1], words[:, None])
+        score[:, :-1], hit, codes = self._scores(symbols[:, :-1], symbols[:, 1:], starts[:, :-1], skips[:, None])
+        offers = [(np.nonzero(hit)[0], codes[hit])]
         done = [b""] * n
         live = np.arange(n)
         while len(live):
@@ -142,7 +195,7 @@ class Codec:
             can = score[r, best] > -np.inf
             if not can.all():
                 self._finish(live[~can], symbols[~can], counts[~can], done)
-                live, best, symbols, starts, counts, score, words = live[can], best[can], symbols[can], starts[can], counts[can], score[can], words[can]
+                live, best, symbols, starts, counts, score, skips = live[can], best[can], symbols[can], starts[can], counts[can], score[can], skips[can]
                 if not len(live):
                     break
                 r = np.arange(len(live))
@@ -158,8 +211,12 @@ class Codec:
             for at in (best - 1, best):
                 ok = (at >= 0) & (at + 1 < counts)
                 rr, a = r[ok], at[ok]
-                score[rr, a] = self._scores(symbols[rr, a], symbols[rr, a + 1], starts[rr, a], words[rr])
-        return done
+                score[rr, a], hit, codes = self._scores(symbols[rr, a], symbols[rr, a + 1], starts[rr, a], skips[rr])
+                offers.append((live[rr[hit]], codes[hit]))
+        rows = np.concatenate([r for r, _ in offers])
+        data = np.concatenate([c for _, c in offers])[np.argsort(rows, kind="stable")].astype("<u8").tobytes()
+        ends = (np.cumsum(np.bincount(rows, minlength=n)) * 8).tolist()
+        return done, [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def _finish(self, rows: np.ndarray, symbols: np.ndarray, counts: np.ndarray, done: list[bytes]) -> None:
         used = np.arange(symbols.shape[1]) < counts[:, None]
@@ -175,10 +232,6 @@ class Codec:
     def _encode_long(self, word: str, salt: int) -> bytes:
         """The same merges for one long word, with a heap as agenda."""
         points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        key = salt
-        for p in points.tolist():
-            if p > 0:
-                key = _mix((key + p + _K[0]) & _MASK)
         symbols = [int(self.char_piece[p]) if self.char_piece[p] >= 0 else -2 - p for p in points.tolist()]
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
         agenda: list[tuple[float, int, int, int]] = []
@@ -189,7 +242,7 @@ class Codec:
                 return
             pair = symbols[i] * self.size + symbols[j]
             if pair in self.pairs:
-                draw = _mix((key ^ ((i * _K[1] + pair * _K[2]) & _MASK)) & _MASK)
+                draw = _mix((salt ^ ((i * _K[1] + pair * _K[2]) & _MASK)) & _MASK)
                 if not draw >> 11 < self.dropout:
                     heapq.heappush(agenda, (-self.pairs[pair][1], i, symbols[i], symbols[j]))
 
@@ -215,16 +268,19 @@ class Codec:
             out += [s] if s >= 0 else [self.byte_id[b] for b in chr(-2 - s).encode("utf-8", "surrogatepass")]
         return np.array(out, dtype="<i4").tobytes()
 
-    def encode(self, texts: list[str], variants: list[int], memory: dict[tuple[int, str], bytes]) -> list[bytes]:
-        """Piece ids of each text as little-endian 32-bit integers; ``memory`` has words done before."""
+    def encode(self, texts: list[str], docs: list[int], memory: dict) -> list[bytes]:
+        """Piece ids of each text as little-endian 32-bit integers; ``memory`` has cuts done before."""
         cut = [self.words.findall(f" {t}") if t else [] for t in texts]
-        for variant in set(variants):
-            new = list({w for words, v in zip(cut, variants, strict=True) if v == variant for w in words if (variant, w) not in memory})
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for w, ids in zip(part, self.encode_words(part, variant), strict=True):
-                    memory[variant, w] = ids
-        return [b"".join([memory[v, w] for w in words]) for words, v in zip(cut, variants, strict=True)]
+        sizes = [len(words) for words in cut]
+        keys = self._salts(docs, sizes)
+        flat = [w for words in cut for w in words]
+        ids: list[bytes] = []
+        for at in range(0, len(flat), AT_ONCE):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+            ids += self._cut(flat[at : at + AT_ONCE], keys[at : at + AT_ONCE], memory)
+        ends = np.cumsum([0, *sizes]).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids: bytes) -> str:
         """The text of piece ids, without the space that encoding puts first."""
@@ -232,21 +288,19 @@ class Codec:
         return data[1:].decode("utf-8", "surrogatepass")
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], codec: Codec, variants: int) -> Iterator[tuple[pa.Array, list[str], list[bytes]]]:
+def _encoded(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[tuple[pa.Array, list[str], list[bytes]]]:
     """doc_ids, texts and ids of runs of about a million characters."""
-    memory: dict[tuple[int, str], bytes] = {}
+    memory: dict = {}
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        deal = [_mix(i & _MASK) % variants if i is not None else 0 for i in batch.column("doc_id").to_pylist()]
+        docs = [-1 if i is None else i for i in batch.column("doc_id").to_pylist()]
         at = 0
         while at < len(texts):
             to, n = at, 0
             while to < len(texts) and (to == at or n + len(texts[to]) <= 1_000_000):
                 n += len(texts[to])
                 to += 1
-            if len(memory) > REMEMBERED:
-                memory.clear()
-            yield batch.column("doc_id").slice(at, to - at), texts[at:to], codec.encode(texts[at:to], deal[at:to], memory)
+            yield batch.column("doc_id").slice(at, to - at), texts[at:to], codec.encode(texts[at:to], docs[at:to], memory)
             at = to
 
 
@@ -254,28 +308,28 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def encode_documents(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = 0) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
     """doc_id, ids (piece ids) and decoded (their text) for every row of ``docs``.
 
     Words are merged best score first, leftmost among equals, as the model's BPE does, but
     each candidate merge is skipped with probability ``dropout`` by a hash of the seed, the
-    document's variant, the word, the place and the pair; so reruns agree and documents of
-    different variants cut a word differently.  Every cut decodes to the text itself: what
+    doc_id, the word's position in the text, the place in the word and the pair; so reruns
+    agree, and every occurrence of a word has draws of its own.  Every cut decodes to the text itself: what
     has no piece is spelled in bytes.  A null text counts as empty and has no ids; a null
-    doc_id has the first variant; rows that repeat are encoded alike; further columns are
+    doc_id counts as -1; rows that repeat are encoded alike; further columns are
     ignored.  The model file is read where the tokenizers are installed, on each executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_file, dropout, seed)
-        for doc_ids, _, ids in _encoded(batches, codec, variants):
+        for doc_ids, _, ids in _encoded(batches, codec):
             lists = pa.array([np.frombuffer(x, dtype="<i4") for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([doc_ids, lists, pa.array([codec.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def encoding_digests(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = 0) -> DataFrame:
+def encoding_digests(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
     """``encode_documents`` with n_pieces, ids_sha256 (of little-endian 32-bit ids), decoded_sha256 and lossless.
 
     The digests are taken where the ids are made, so that ids are not moved.
@@ -283,7 +337,7 @@ def encoding_digests(docs: DataFrame, model_file: str = MODEL, dropout: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_file, dropout, seed)
-        for doc_ids, texts, ids in _encoded(batches, codec, variants):
+        for doc_ids, texts, ids in _encoded(batches, codec):
             decoded = [codec.decode(x) for x in ids]
             arrays = [
                 doc_ids,

@@ -111,6 +111,33 @@ def test_codec_dropout(odd, none):
     assert sentencepiece_codec.encode_documents(none).count() == 0
 
 
+@MODEL
+def test_codec_draws_anew_at_every_place():
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.MODEL, 0.1, 3)
+    rng = random.Random(4)
+    words = ["international", "segmentation", "the", "a1b2", "naïve", "\0x", "▁", "é" * 5, "9" * 40, "antidisestablishmentarianism" * 2]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(20)]
+    docs = [5, 5, -1, *range(2**62, 2**62 + 17)]
+    memory = {}
+    for _ in range(2):
+        for text, doc, ids in zip(texts, docs, codec.encode(texts, docs, memory), strict=True):
+            assert ids == b"".join(codec._encode_long(w, codec._salt(doc, i)) for i, w in enumerate(codec.words.findall(" " + text)))
+            assert codec.decode(ids) == text
+    assert codec.encode(texts[::-1], docs[::-1], {}) == codec.encode(texts, docs, memory)[::-1]
+
+
+@MODEL
+def test_words_vary_within_and_between_documents(spark):
+    docs = spark.createDataFrame([(i, " ".join(["international"] * 50), "en", "s", 0) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [r.ids for r in sentencepiece_codec.encode_documents(docs).collect()]
+    assert len({tuple(r) for r in rows}) == 40
+    # In a document the same word has several segmentations: most often that without a skip.
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.MODEL, 0.1, 0)
+    found = Counter(c for i in range(40) for c in codec._cut([" international"] * 50, codec._salts([i], [50]), {}))
+    plain = sentencepiece_codec.Codec(sentencepiece_codec.MODEL, 0.0, 0).encode_words([" international"], 0)[0]
+    assert len(found) > 20 and found.most_common(1)[0][0] == plain and all(codec.decode(c) == "international" for c in found)
+
+
 def test_mixing(odd, none):
     plan = mixing.curriculum(odd).collect()
     sizes = Counter()
