@@ -80,18 +80,19 @@ def decide(drivers: DataFrame, nodes: DataFrame, same_as: DataFrame | None = Non
     return out.select("left_id", F.when(hit, F.col("best.right_id")).alias("matched_id"), F.round(F.when(hit, F.col("best.final")), 9).alias("score"), F.when(hit, F.col("best.match_type")).alias("match_type"), "action")
 
 
-def sweep(nodes: DataFrame, same_as: DataFrame, watermark: Column, config: DedupConfig = DedupConfig(), max_pairs: int = 1000) -> DataFrame:
+def sweep(nodes: DataFrame, same_as: DataFrame, watermark: Column, config: DedupConfig = DedupConfig(), max_pairs: int | None = 1000) -> DataFrame:
     """Pairs to merge or flag: changed nodes drive, all nodes are searched.
 
-    A pair with a same_as edge either way, of whatever state, is done already.  The pairs
-    are in order of their ids, and the first ``max_pairs`` are taken.
+    A pair with a same_as edge either way, of whatever state, is done already.  With
+    ``max_pairs`` the first in order of their ids are taken; None takes all, unordered.
     """
     searchable = nodes.where((F.coalesce("merged_into", F.lit("")) == "") & (F.coalesce(F.size("embedding"), F.lit(0)) > 0) & ~F.col("type").isin("document", "chunk"))
     decisions = decide(searchable.where(F.col("updated_at") > watermark), searchable, None, config).where("action <> 'none'")
     pairs = ordered_pairs(decisions, "left_id", "matched_id")
     pairs = pairs.groupBy("low_id", "high_id").agg(F.max_by(F.struct("score", "match_type", "action"), "score").alias("x")).select("low_id", "high_id", "x.*")
     done = ordered_pairs(same_as, "source_node_id", "target_node_id").select("low_id", "high_id").distinct()
-    return pairs.join(done, ["low_id", "high_id"], "left_anti").orderBy("low_id", "high_id").limit(max_pairs)
+    pairs = pairs.join(done, ["low_id", "high_id"], "left_anti")
+    return pairs if max_pairs is None else pairs.orderBy("low_id", "high_id").limit(max_pairs)
 
 
 def winner_first() -> Column:

@@ -155,7 +155,7 @@ def d35_consolidation_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = _people(spark, sf_dir)
     done = dedup.decide(people.where("merged_into is null"), people.where("merged_into is null"), None, _CONFIG).where("action <> 'none'")
     done = dedup.ordered_pairs(done, "left_id", "matched_id").where(F.substring("low_id", 7, 1) == "5").select(F.col("high_id").alias("source_node_id"), F.col("low_id").alias("target_node_id"))
-    return dedup.sweep(people, done, F.lit("2024-01-16").cast("timestamp"), _CONFIG, 100000).select("low_id", "high_id", "score", "action")
+    return dedup.sweep(people, done, F.lit("2024-01-16").cast("timestamp"), _CONFIG, None).select("low_id", "high_id", "score", "action")
 
 
 def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -269,6 +270,19 @@ def test_confirm_and_sweep(spark):
     assert merge.count() == 1 and [r.id for r in flag.collect()] == ["a|same_as|c"]
 
 
+def test_sweep_without_cap(spark):
+    from lorekeeper.plans import queries_maintenance, registry  # noqa: F401
+
+    rows = [(f"n{i:02}", "u", f"t{i // 2}", "n", None, [], None, [1.0, i % 2 / 100], datetime(2024, 2, 1)) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "id string, user_id string, type string, name string, canonical_name string, aliases array<string>, merged_into string, embedding array<double>, updated_at timestamp")
+    none = spark.createDataFrame([], "source_node_id string, target_node_id string")
+    since = F.lit("2024-01-01").cast("timestamp")
+    assert {(r.low_id, r.high_id) for r in dedup.sweep(nodes, none, since, max_pairs=None).collect()} == {(f"n{i:02}", f"n{i + 1:02}") for i in range(0, 40, 2)}
+    assert dedup.sweep(nodes, none, since, max_pairs=3).count() == 3
+    plan = registry.QUERIES["d35_consolidation_sweep"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in plan
+
+
 def test_memory(spark):
     from lorekeeper.memory import Memory
 
