@@ -11,27 +11,27 @@ from ..functions.similarity import cosine_clamped, token_sort_ratio
 from ..functions.text import normalize_name
 
 FUZZY, SEMANTIC = 0.85, 0.80
-#: Live candidates of a tenant and type that a mention is compared with, in the order of their ids.
-MAX_CANDIDATES = 1000
 STAGES = ("alias", "exact", "fuzzy", "semantic")
 
 
-def live_candidates(nodes: DataFrame, cap: int = MAX_CANDIDATES) -> DataFrame:
-    """The first ``cap`` nodes of each tenant and type."""
+def live_candidates(nodes: DataFrame, cap: int | None = None) -> DataFrame:
+    """All nodes, or with ``cap`` the first of each tenant and type by their ids."""
+    if cap is None:
+        return nodes
     order = Window.partitionBy("user_id", "type").orderBy("id")
-    return nodes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
+    return nodes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).drop("place")
 
 
 def alias_matches(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Mentions whose name is an alias of a candidate of their tenant and type."""
-    known = candidates.select("user_id", "type", F.col("id").alias("matched_id"), "place", F.explode("aliases").alias("alias"))
+    known = candidates.select("user_id", "type", F.col("id").alias("matched_id"), F.explode("aliases").alias("alias"))
     known = known.withColumn("key", normalize_name(F.col("alias")))
-    return mentions.withColumn("key", normalize_name(F.col("name"))).join(known, ["user_id", "type", "key"]).select("mention_id", "matched_id", F.lit(0).alias("stage"), F.lit(1.0).alias("score"), "place")
+    return mentions.withColumn("key", normalize_name(F.col("name"))).join(known, ["user_id", "type", "key"]).select("mention_id", "matched_id", F.lit(0).alias("stage"), F.lit(1.0).alias("score"))
 
 
 def exact_matches(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
-    known = candidates.select("user_id", "type", F.col("id").alias("matched_id"), "place", normalize_name(F.col("name")).alias("key"))
-    return mentions.withColumn("key", normalize_name(F.col("name"))).join(known, ["user_id", "type", "key"]).select("mention_id", "matched_id", F.lit(1).alias("stage"), F.lit(1.0).alias("score"), "place")
+    known = candidates.select("user_id", "type", F.col("id").alias("matched_id"), normalize_name(F.col("name")).alias("key"))
+    return mentions.withColumn("key", normalize_name(F.col("name"))).join(known, ["user_id", "type", "key"]).select("mention_id", "matched_id", F.lit(1).alias("stage"), F.lit(1.0).alias("score"))
 
 
 def fuzzy_matches(mentions: DataFrame, candidates: DataFrame, threshold: float = FUZZY) -> DataFrame:
@@ -45,27 +45,28 @@ def fuzzy_matches(mentions: DataFrame, candidates: DataFrame, threshold: float =
     shorter, longer = F.least(F.length("left_name"), F.length("right_name")), F.greatest(F.length("left_name"), F.length("right_name"))
     pairs = names.join(known, ["user_id", "type"]).where(2 * shorter >= threshold * (shorter + longer))
     scored = pairs.withColumn("score", F.round(token_sort_ratio(F.col("left_name"), F.col("right_name")), 9)).where(F.col("score") >= threshold)
-    by_name = candidates.select("user_id", "type", F.col("id").alias("matched_id"), "place", normalize_name(F.col("name")).alias("right_name"))
+    by_name = candidates.select("user_id", "type", F.col("id").alias("matched_id"), normalize_name(F.col("name")).alias("right_name"))
     found = mentions.withColumn("left_name", normalize_name(F.col("name"))).join(scored, ["user_id", "type", "left_name"]).join(by_name, ["user_id", "type", "right_name"])
-    return found.select("mention_id", "matched_id", F.lit(2).alias("stage"), "score", "place")
+    return found.select("mention_id", "matched_id", F.lit(2).alias("stage"), "score")
 
 
 def semantic_matches(mentions: DataFrame, candidates: DataFrame, threshold: float = SEMANTIC) -> DataFrame:
     """Mentions whose embedding is near a candidate's; both sides need an ``embedding``."""
     a = mentions.where(F.size("embedding") > 0).select("user_id", "type", "mention_id", F.col("embedding").alias("x"))
-    b = candidates.where(F.size("embedding") > 0).select("user_id", "type", F.col("id").alias("matched_id"), "place", F.col("embedding").alias("y"))
+    b = candidates.where(F.size("embedding") > 0).select("user_id", "type", F.col("id").alias("matched_id"), F.col("embedding").alias("y"))
     scored = a.join(b, ["user_id", "type"]).withColumn("score", F.round(cosine_clamped(F.col("x"), F.col("y")), 9))
-    return scored.where(F.col("score") >= threshold).select("mention_id", "matched_id", F.lit(3).alias("stage"), "score", "place")
+    return scored.where(F.col("score") >= threshold).select("mention_id", "matched_id", F.lit(3).alias("stage"), "score")
 
 
 def resolve(mentions: DataFrame, candidates: DataFrame, semantic: bool = False, fuzzy: float = FUZZY, near: float = SEMANTIC) -> DataFrame:
     """mention_id, matched_id, match_type and confidence for every mention; without a match the last three say so.
 
-    The first stage that matches decides; in it the best score, then the first candidate.
+    The first stage that matches decides; in it the best score, then the
+    candidate with the smallest id.
     """
     found = [alias_matches(mentions, candidates), exact_matches(mentions, candidates), fuzzy_matches(mentions, candidates, fuzzy)]
     found += [semantic_matches(mentions, candidates, near)] if semantic else []
-    best = reduce(DataFrame.unionByName, found).groupBy("mention_id").agg(F.min(F.struct("stage", (-F.col("score")).alias("score"), "place", "matched_id")).alias("best"))
+    best = reduce(DataFrame.unionByName, found).groupBy("mention_id").agg(F.min(F.struct("stage", (-F.col("score")).alias("score"), "matched_id")).alias("best"))
     names = F.array(*[F.lit(s) for s in STAGES])
     out = mentions.select("mention_id").join(best, "mention_id", "left")
     return out.select("mention_id", F.col("best.matched_id").alias("matched_id"), F.coalesce(F.get(names, F.col("best.stage")), F.lit("none")).alias("match_type"), F.coalesce(-F.col("best.score"), F.lit(0.0)).alias("confidence"))

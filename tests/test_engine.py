@@ -164,6 +164,15 @@ def test_fuzzy_resolution_by_hand(spark):
     assert got == {"m1": ("c1", "fuzzy", 1.0), "m2": ("c2", "fuzzy", round(similarity.indel_ratio("blt blue", "belt blue"), 4)), "m3": (None, "none", 0.0), "m4": ("c1", "alias", 1.0)}
 
 
+def test_resolution_has_no_cap(spark):
+    nodes = spark.range(1500).select(F.lit("u").alias("user_id"), F.lit("t").alias("type"), F.format_string("n%05d", "id").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("name"), F.array(F.format_string("alias %d", "id")).alias("aliases"))
+    mentions = nodes.where("id >= 'n01400'").select(F.concat("id", F.lit("e")).alias("mention_id"), "user_id", "type", F.upper("name").alias("name"))
+    mentions = mentions.unionByName(nodes.where("id >= 'n01400'").select(F.concat("id", F.lit("a")).alias("mention_id"), "user_id", "type", F.col("aliases")[0].alias("name")))
+    mentions = mentions.unionByName(nodes.where("id = 'n01499'").select(F.concat("id", F.lit("f")).alias("mention_id"), "user_id", "type", F.expr("substring(name, 2, 99)").alias("name")))
+    got = {r.mention_id: (r.matched_id, r.match_type) for r in resolution.resolve(mentions, resolution.live_candidates(nodes)).collect()}
+    assert got == {f"n{i:05}{k}": (f"n{i:05}", m) for i in range(1400, 1500) for k, m in (("e", "exact"), ("a", "alias"))} | {"n01499f": ("n01499", "fuzzy")}
+
+
 def test_review_states(spark):
     e = spark.createDataFrame([("e1", {"status": "pending"}), ("e2", {"status": "rejected"})], "id string, properties map<string,string>")
     assert dedup.set_review(e, "e1", "confirmed").where("properties['status'] = 'confirmed'").count() == 1
