@@ -6,7 +6,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 #: Words up to this length are merged many at a time, longer ones with a heap.
 WIDE = 32
-#: Segmentations that a task remembers before it forgets all, and words that are cut at once.
-REMEMBERED, AT_ONCE = 500_000, 200_000
+#: Words whose undropped merges a task remembers before it forgets all, words that are cut
+#: at once, and words of one length that are merged in step.
+REMEMBERED, AT_ONCE, IN_STEP = 500_000, 200_000, 20_000
 
 #: Runs of spaces go with what follows.  No piece has a Latin letter beside another
 #: character; a model in which one has is cut at spaces and line ends only.
@@ -40,16 +40,20 @@ def _mix(x):
     return x ^ (x >> np.uint64(32))
 
 
-class Cut(NamedTuple):
-    """A word's segmentation when ``skips`` are skipped, and the other merges that were offered on the way.
+#: The rank of what is no merge.
+_NONE = np.int32(2**31 - 1)
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``starts[i] .. starts[i] + sizes[i] - 1`` of all spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
-    Merges are 64-bit codes of place and pair, one after the other.
-    """
 
-    word: str
-    skips: bytes
-    offers: bytes
-    ids: bytes
+def _joined(parts: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all parts one after the other, and how many each part has."""
+    data = np.frombuffer(b"".join(parts), dtype=kind)
+    return data, np.fromiter(map(len, parts), np.int64, len(parts)) // data.itemsize
 
 
 class Codec:
@@ -81,10 +85,21 @@ class Codec:
                 left, right = pieces.get(piece[:cut]), pieces.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left * size + right] = (i, sp.get_score(i))
-        keys = np.array(sorted(pairs), dtype=np.int64)
-        self.pair_keys = np.append(keys, np.int64(2**62))
-        self.pair_piece = np.array([pairs[k][0] for k in keys.tolist()] + [-1], dtype=np.int64)
-        self.pair_score = np.array([pairs[k][1] for k in keys.tolist()] + [-np.inf], dtype=np.float32)
+        # Pairs in a hash table with open places, and their ranks: the best score is the lowest.
+        keys = np.array(list(pairs), dtype=np.int64)
+        self.pair_piece = np.array([i for i, _ in pairs.values()], dtype=np.int32)
+        self.pair_rank = np.unique([-x for _, x in pairs.values()], return_inverse=True)[1].astype(np.int32)
+        self.shift = np.uint64(64 - max(4, len(pairs).bit_length() + 3))
+        self.table_key = np.full(1 << (64 - int(self.shift)), -1, dtype=np.int64)
+        self.table_pair = np.zeros(len(self.table_key), dtype=np.int32)
+        left = np.arange(len(keys))
+        spot = self._spot(keys)
+        while len(left):
+            free = np.flatnonzero(self.table_key[spot] < 0)
+            first = free[np.unique(spot[free], return_index=True)[1]]
+            self.table_key[spot[first]], self.table_pair[spot[first]] = keys[left[first]], left[first]
+            wait = np.delete(np.arange(len(left)), first)
+            left, spot = left[wait], (spot[wait] + 1) & (len(self.table_key) - 1)
         self.pairs = pairs
         table = np.full(0x110000, -1, dtype=np.int32)
         for c, i in self.single.items():
@@ -102,134 +117,185 @@ class Codec:
         first = np.array([_mix((self.seed * _K[0] + (d + 1) * _K[1]) & _MASK) for d in docs], dtype=np.uint64)
         return _mix(np.repeat(first, n) + place.astype(np.uint64) * np.uint64(_K[0]))
 
-    def _scores(self, left, right, start, skips):
-        """Score of pairs, none for those in ``skips``; which pairs are offered; their codes."""
-        key = np.where((left < 0) | (right < 0), 0, left.astype(np.int64) * self.size + right)
-        at = np.searchsorted(self.pair_keys, key)
-        hit = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
-        codes = start.astype(np.uint64) * np.uint64(_K[1]) + key.astype(np.uint64) * np.uint64(_K[2])
-        for j in range(skips.shape[-1]):
-            hit &= codes != skips[..., j]
-        return np.where(hit, self.pair_score[at], np.float32(-np.inf)), hit, codes
-
-    def _run(self, wanted: list[tuple[str, bytes]]) -> list[Cut]:
-        """The segmentations of words of at most ``WIDE`` characters without the merges to skip."""
-        out: list[Cut] = [None] * len(wanted)
-        by_width: dict[int, list[int]] = {}
-        for i, (w, _) in enumerate(wanted):
-            by_width.setdefault(-(-len(w) // 4) * 4, []).append(i)
-        for width, group in by_width.items():
-            for a in range(0, len(group), 20_000):
-                rows = group[a : a + 20_000]
-                text = "".join(wanted[i][0].ljust(width, "\0") for i in rows)
-                points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64).reshape(-1, width)
-                # A NUL in a word is not padding: it is counted by the word's length.
-                lengths = np.array([len(wanted[i][0]) for i in rows])
-                most = max(len(wanted[i][1]) for i in rows)
-                # No pair has the code 0.
-                skips = np.frombuffer(b"".join(wanted[i][1].ljust(most, b"\0") for i in rows), dtype="<u8").reshape(len(rows), most // 8)
-                for i, ids, offers in zip(rows, *self._merge(points, lengths, skips), strict=True):
-                    out[i] = Cut(*wanted[i], offers, ids)
-        return out
-
-    def _drawn(self, cuts: list[Cut], keys: np.ndarray) -> tuple[list[int], list[bytes]]:
-        """Which cuts have offers that their keys skip, and these offers."""
-        counts = np.fromiter((len(c.offers) for c in cuts), np.int64, len(cuts)) // 8
-        codes = np.frombuffer(b"".join([c.offers for c in cuts]), dtype="<u8")
-        hit = np.flatnonzero((_mix(np.repeat(keys, counts) ^ codes) >> np.uint64(11)) < np.uint64(self.dropout))
-        rows, first = np.unique(np.searchsorted(np.cumsum(counts), hit, side="right"), return_index=True)
-        data, ends = codes[hit].tobytes(), [*(first * 8).tolist(), len(hit) * 8]
-        return rows.tolist(), [data[a:b] for a, b in zip(ends, ends[1:])]
-
-    def _cut(self, words: list[str], keys: np.ndarray, memory: dict) -> list[bytes]:
-        """The piece ids of each word under its own key.
-
-        What a key skips is drawn from the merges offered so far, and the word cut again
-        without them, until no offer is skipped; so a cut is shared only by places whose
-        draws agree, and is the same as if each place were merged on its own.
+    def _spot(self, keys: np.ndarray) -> np.ndarray:
+        """Where the search for each pair begins in the hash table."""
+        return ((keys.astype(np.uint64) * np.uint64(_K[0])) >> self.shift).astype(np.int64)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of pairs of symbols that merge, -1 for all others, and the pairs as keys."""
+        key = left.astype(np.int64) * self.size + right
+        key[(left < 0) | (right < 0)] = -2
+        spot = self._spot(key)
+        found = self.table_key[spot]
+        pair = np.where(found == key, self.table_pair[spot], -1)
+        more = np.flatnonzero((found != key) & (found >= 0))
+        spot = spot[more]
+        while len(more):
+            spot = (spot + 1) & (len(self.table_key) - 1)
+            found = self.table_key[spot]
+            hit = found == key[more]
+            pair[more[hit]] = self.table_pair[spot[hit]]
+            go = ~hit & (found >= 0)
+            more, spot = more[go], spot[go]
+        return pair, key
+
+    def _draw(self, salts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Which merges are skipped, by the keyed hash of place and pair."""
+        return (_mix(salts ^ codes) >> np.uint64(11)) < np.uint64(self.dropout)
+
+    def _merge(self, points: np.ndarray, salts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best-scored, leftmost merges of words of one length in step, until no word has one left.
+
+        Each merge is drawn as it is offered, unless ``salts`` is None.  Gives the symbols of
+        all words one after the other, their number in each word, and the codes of all merges
+        offered with the number of their word.
         """
-        out = [b""] * len(words)
-        at = []
-        for i, w in enumerate(words):
-            if len(w) > WIDE:
-                out[i] = self._encode_long(w, int(keys[i]))
+        n, width = points.shape
+        symbols = self.char_piece[points]
+        # Characters without a piece are negative: their code point, to be spelled in bytes.
+        symbols = np.where(symbols < 0, (-2 - points).astype(np.int32), symbols).ravel()
+        after = np.tile(np.arange(1, width + 1, dtype=np.int8), (n, 1)).ravel()
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int8), (n, 1)).ravel()
+        rank = np.full((n, width), _NONE, dtype=np.int32)
+        flat = rank.ravel()
+        offered: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def offer(rows: np.ndarray, places: np.ndarray) -> None:
+            """The merges of places with the next symbol of their words, which all have one."""
+            at = rows * width + places
+            pair, key = self._pairs(symbols[at], symbols[rows * width + after[at]])
+            flat[at] = _NONE
+            hit = np.flatnonzero(pair >= 0)
+            codes = places[hit].astype(np.uint64) * np.uint64(_K[1]) + key[hit].astype(np.uint64) * np.uint64(_K[2])
+            if salts is None:
+                offered.append((rows[hit], codes))
             else:
-                at.append(i)
-        wanted: list = [words[i] for i in at]
-        while at:
-            new = list({w for w in wanted if w not in memory})
-            for w, cut in zip(new, self._run([(w, b"") if isinstance(w, str) else w for w in new]), strict=True):
-                memory[w] = cut
-            cuts = [memory[w] for w in wanted]
-            for i, c in zip(at, cuts, strict=True):
-                out[i] = c.ids
-            if not self.dropout:
-                break
-            rows, skipped = self._drawn(cuts, keys[at])
-            wanted = [(cuts[r].word, cuts[r].skips + x) for r, x in zip(rows, skipped, strict=True)]
-            at = [at[r] for r in rows]
-        return out
+                hit = hit[~self._draw(salts[rows[hit]], codes)]
+            flat[at[hit]] = self.pair_rank[pair[hit]]
+
+        if width > 1:
+            offer(np.repeat(np.arange(n), width - 1), np.tile(np.arange(width - 1), n))
+        live = np.arange(n)
+        gone = np.zeros(n * width, dtype=bool)
+        while len(live):
+            best = (rank if len(live) == n else rank[live]).argmin(axis=1)
+            at = live * width + best
+            can = flat[at] < _NONE
+            live, best, at = live[can], best[can], at[can]
+            right = after[at].astype(np.int64)
+            other = live * width + right
+            pair, _ = self._pairs(symbols[at], symbols[other])
+            symbols[at] = self.pair_piece[pair]
+            gone[other], flat[other] = True, _NONE
+            then = after[other]
+            after[at] = then
+            more = then < width
+            before[(live * width + then)[more]] = best[more]
+            flat[at[~more]] = _NONE
+            offer(live[more], best[more])
+            prior = before[at].astype(np.int64)
+            some = prior >= 0
+            offer(live[some], prior[some])
+        rows, codes = (np.concatenate(c) for c in zip(*offered, strict=True)) if offered else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        keep = ~gone
+        return symbols[keep], keep.reshape(n, width).sum(axis=1), codes, rows
+
+    def _by_length(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Word numbers and code points of words of one length, a bounded number of words at a time."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        edges = np.flatnonzero(np.diff(sizes[order])) + 1
+        for group in np.split(order, edges) if len(order) else ():
+            for a in range(0, len(group), IN_STEP):
+                rows = group[a : a + IN_STEP]
+                text = "".join([words[i] for i in rows.tolist()]).encode("utf-32-le", "surrogatepass")
+                yield rows, np.frombuffer(text, dtype=np.uint32).astype(np.int64).reshape(len(rows), -1)
+
+    def _learn(self, words: list[str], memory: dict) -> None:
+        """Remember each word's undropped symbols and the merges that are offered on the way, as codes."""
+        for rows, points in self._by_length(words):
+            symbols, counts, codes, owner = self._merge(points, None)
+            codes = codes[np.argsort(owner, kind="stable")].tobytes()
+            data = symbols.tobytes()
+            ends, code_ends = np.cumsum(counts) * 4, np.cumsum(np.bincount(owner, minlength=len(rows))) * 8
+            starts, code_starts = [0, *ends.tolist()], [0, *code_ends.tolist()]
+            for i, a, b, c, d in zip(rows.tolist(), starts, ends.tolist(), code_starts, code_ends.tolist(), strict=False):
+                memory[words[i]] = (data[a:b], codes[c:d])
+
+    def _segment(self, words: list[str], keys: np.ndarray, memory: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of all words, each under its own key, one after the other, and their number in each word.
+
+        A word none of whose undropped merges is skipped under its key has the undropped
+        segmentation, which is remembered; all others are merged one by one with their draws.
+        """
+        place = dict.fromkeys(words)
+        distinct = list(place)
+        place.update(zip(distinct, range(len(distinct)), strict=True))
+        number = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        wide = np.fromiter(map(len, distinct), np.int64, len(distinct)) > WIDE
+        nothing = (b"", b"")
+        for i in np.flatnonzero(wide).tolist():
+            memory.setdefault(distinct[i], nothing)
+        self._learn([w for w in distinct if w not in memory], memory)
+        known = list(map(memory.__getitem__, distinct))
+        ids, id_counts = _joined([k[0] for k in known], np.int32)
+        codes, code_counts = _joined([k[1] for k in known], np.uint64)
+        long = wide[number]
+
+        counts = id_counts[number]
+        odd: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if self.dropout:
+            offers = code_counts[number]
+            drawn = self._draw(np.repeat(keys, offers), codes[_spans(np.cumsum(code_counts)[number] - offers, offers)])
+            hits = np.flatnonzero(drawn)
+            again = np.unique(np.searchsorted(np.cumsum(offers), hits, side="right"))
+            for rows, points in self._by_length([words[i] for i in again.tolist()]):
+                rows = again[rows]
+                symbols, n, _, _ = self._merge(points, keys[rows])
+                odd.append((rows, symbols, n))
+        for i in np.flatnonzero(long).tolist():
+            symbols = np.array(self._merge_long(words[i], int(keys[i])), dtype=np.int32)
+            odd.append((np.array([i]), symbols, np.array([len(symbols)])))
+        plain = ~long
+        for rows, _, n in odd:
+            counts[rows], plain[rows] = n, False
+        ends = np.cumsum(counts)
+        out = np.empty(ends[-1] if len(ends) else 0, dtype=np.int32)
+        which = number[plain]
+        out[_spans((ends - counts)[plain], counts[plain])] = ids[_spans((np.cumsum(id_counts) - id_counts)[which], id_counts[which])]
+        for rows, symbols, n in odd:
+            out[_spans((ends - counts)[rows], n)] = symbols
+        return self._spelled(out, counts)
+
+    def _spelled(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece as the pieces of their bytes, and the new numbers of pieces in each word."""
+        at = np.flatnonzero(symbols < 0)
+        if not len(at):
+            return symbols, counts
+        spelled = [[self.byte_id[b] for b in chr(-2 - s).encode("utf-8", "surrogatepass")] for s in symbols[at].tolist()]
+        sizes = np.ones(len(symbols), dtype=np.int64)
+        sizes[at] = [len(x) for x in spelled]
+        out = np.repeat(symbols, sizes)
+        out[_spans((np.cumsum(sizes) - sizes)[at], sizes[at])] = np.concatenate([np.array(x, dtype=np.int32) for x in spelled])
+        extra = np.bincount(np.searchsorted(np.cumsum(counts), at, side="right"), sizes[at] - 1, len(counts))
+        return out, counts + extra.astype(np.int64)
+
+    def _cut(self, words: list[str], keys: np.ndarray, memory: dict) -> list[bytes]:
+        """The piece ids of each word under its own key."""
+        ids, counts = self._segment(words, keys, memory)
+        ends = np.cumsum(counts).tolist()
+        return [ids[b - n : b].tobytes() for b, n in zip(ends, counts.tolist(), strict=True)]
 
     def encode_words(self, words: list[str], doc: int) -> list[bytes]:
         """The piece ids of each word as the first of a document; a word has a space at most at its start."""
         return self._cut(words, np.full(len(words), self._salt(doc), dtype=np.uint64), {})
 
-    def _merge(self, points: np.ndarray, lengths: np.ndarray, skips: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-        """Best-scored, leftmost merges of all rows in step, until no row has one left; ids and offers."""
-        n, width = points.shape
-        spots = np.arange(width, dtype=np.int32)
-        inside = spots < lengths[:, None]
-        # Characters without a piece are negative: their code point, to be spelled in bytes.
-        symbols = self.char_piece[points]
-        symbols = np.where(inside & (symbols < 0), (-2 - points).astype(np.int32), np.where(inside, symbols, np.int32(-1)))
-        starts = np.broadcast_to(spots, (n, width)).copy()
-        counts = lengths.copy()
-        score = np.full((n, width), -np.inf, dtype=np.float32)
-        score[:, :-1], hit, codes = self._scores(symbols[:, :-1], symbols[:, 1:], starts[:, :-1], skips[:, None])
-        offers = [(np.nonzero(hit)[0], codes[hit])]
-        done = [b""] * n
-        live = np.arange(n)
-        while len(live):
-            r = np.arange(len(live))
-            best = score.argmax(axis=1)
-            can = score[r, best] > -np.inf
-            if not can.all():
-                self._finish(live[~can], symbols[~can], counts[~can], done)
-                live, best, symbols, starts, counts, score, skips = live[can], best[can], symbols[can], starts[can], counts[can], score[can], skips[can]
-                if not len(live):
-                    break
-                r = np.arange(len(live))
-            pair = symbols[r, best].astype(np.int64) * self.size + symbols[r, best + 1]
-            symbols[r, best] = self.pair_piece[np.searchsorted(self.pair_keys, pair)]
-            take = np.minimum(spots + (spots > best[:, None]), width - 1)
-            take += (r * width).astype(np.int32)[:, None]
-            symbols, starts, score = symbols.ravel()[take], starts.ravel()[take], score.ravel()[take]
-            counts = counts - 1
-            score[r, counts - 1] = -np.inf
-            score[r, counts] = -np.inf
-            symbols[r, counts] = -1
-            for at in (best - 1, best):
-                ok = (at >= 0) & (at + 1 < counts)
-                rr, a = r[ok], at[ok]
-                score[rr, a], hit, codes = self._scores(symbols[rr, a], symbols[rr, a + 1], starts[rr, a], skips[rr])
-                offers.append((live[rr[hit]], codes[hit]))
-        rows = np.concatenate([r for r, _ in offers])
-        data = np.concatenate([c for _, c in offers])[np.argsort(rows, kind="stable")].astype("<u8").tobytes()
-        ends = (np.cumsum(np.bincount(rows, minlength=n)) * 8).tolist()
-        return done, [data[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _finish(self, rows: np.ndarray, symbols: np.ndarray, counts: np.ndarray, done: list[bytes]) -> None:
-        used = np.arange(symbols.shape[1]) < counts[:, None]
-        odd = ((symbols < 0) & used).any(axis=1)
-        for r in np.flatnonzero(odd).tolist():
-            done[rows[r]] = self._spell(symbols[r, : counts[r]].tolist())
-        plain = ~odd
-        flat = symbols[plain][used[plain]].astype("<i4").tobytes()
-        ends = np.cumsum(counts[plain]) * 4
-        for r, a, b in zip(rows[plain].tolist(), (ends - counts[plain] * 4).tolist(), ends.tolist(), strict=True):
-            done[r] = flat[a:b]
-
     def _encode_long(self, word: str, salt: int) -> bytes:
+        """The piece ids of one word, by ``_merge_long``."""
+        symbols = np.array(self._merge_long(word, salt), dtype=np.int32)
+        return self._spelled(symbols, np.array([len(symbols)]))[0].tobytes()
+
+    def _merge_long(self, word: str, salt: int) -> list[int]:
         """The same merges for one long word, with a heap as agenda."""
         points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         symbols = [int(self.char_piece[p]) if self.char_piece[p] >= 0 else -2 - p for p in points.tolist()]
@@ -260,13 +326,7 @@ class Codec:
             if before[i] >= 0:
                 offer(before[i])
             offer(i)
-        return self._spell([s for s, g in zip(symbols, gone, strict=True) if not g])
-
-    def _spell(self, symbols: list[int]) -> bytes:
-        out: list[int] = []
-        for s in symbols:
-            out += [s] if s >= 0 else [self.byte_id[b] for b in chr(-2 - s).encode("utf-8", "surrogatepass")]
-        return np.array(out, dtype="<i4").tobytes()
+        return [s for s, g in zip(symbols, gone, strict=True) if not g]
 
     def encode(self, texts: list[str], docs: list[int], memory: dict) -> list[bytes]:
         """Piece ids of each text as little-endian 32-bit integers; ``memory`` has cuts done before."""
@@ -274,13 +334,17 @@ class Codec:
         sizes = [len(words) for words in cut]
         keys = self._salts(docs, sizes)
         flat = [w for words in cut for w in words]
-        ids: list[bytes] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(flat), AT_ONCE):
             if len(memory) > REMEMBERED:
                 memory.clear()
-            ids += self._cut(flat[at : at + AT_ONCE], keys[at : at + AT_ONCE], memory)
-        ends = np.cumsum([0, *sizes]).tolist()
-        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
+            parts.append(self._segment(flat[at : at + AT_ONCE], keys[at : at + AT_ONCE], memory))
+        if not parts:
+            return [b""] * len(texts)
+        data = np.concatenate([ids for ids, _ in parts]).tobytes()
+        word_ends = np.concatenate([[0], *[counts for _, counts in parts]]).cumsum() * 4
+        ends = word_ends[np.cumsum([0, *sizes])].tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids: bytes) -> str:
         """The text of piece ids, without the space that encoding puts first."""
