@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_folder
 
-__all__ = ["SPACE", "NOT_SPACE", "SPACE_CHARS", "ascii_lower", "join_groups", "let", "materialise", "shared_folder"]
+__all__ = ["SPACE", "NOT_SPACE", "SPACE_CHARS", "ascii_lower", "bound_batches", "join_groups", "let", "materialise", "shared_folder"]
 
 #: The white space of the contracts, ``[\x20\x09-\x0D]``.
 SPACE = r"[\x20\x09-\x0D]"
@@ -20,6 +22,17 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 HEAVY_KEYS = 1000
 
 
+#: Bytes of a batch of texts that a Python worker gets, if one text alone is not longer.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session by bytes, as texts may be long; a tighter bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not re.fullmatch(r"\d+b?", now := spark.conf.get(name)) or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all other characters as they are."""
     plain = F.length(text) == F.octet_length(text)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialise
+from .common import bound_batches, join_groups, materialise
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -298,6 +298,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: Fraction = S
     doc_id never is the smallest one of a component with others.  Further columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     profiles = texts.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Character n-grams of these lengths, a word's ends included, share the rows of the embedding.
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -17,8 +19,8 @@ DIM = 4
 #: The average is scaled up, as a few words decide among hundreds.
 SCALE = 300.0
 EPOCHS = 6
-#: The classifier is fitted on at most so many labelled documents of each class, and on
-#: texts of at most so many characters.  Scores use whole texts of any length.
+#: The classifier is fitted on at most so many labelled documents of each class, and on at
+#: most so many characters of each.  Scores use whole texts of any length.
 MAX_TOXIC, MAX_CLEAN, MAX_SAMPLE_CHARS = 2000, 4000, 50_000
 FOLDS = 5
 
@@ -108,12 +110,11 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 0) -> S
     return Softmax(rows * SCALE, weights, bias + shift)
 
 
-
 #: Words whose n-grams are looked up at a time.
 SLICE = 50_000
 
 
-def score_texts(texts: list[str], margins: np.ndarray, rest: float) -> list[float]:
+def score_texts(texts: Iterable[str], margins: np.ndarray, rest: float) -> list[float]:
     """The probability of class 1 for each text: softmax over the average of its n-grams."""
     found = []
     for text in texts:
@@ -127,18 +128,43 @@ def score_texts(texts: list[str], margins: np.ndarray, rest: float) -> list[floa
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int], float]:
-    """Texts and labels of a bounded sample of the rows outside the held-out fold, and the share of toxic ones."""
+    """Texts and labels of a bounded sample of the rows outside the held-out fold, and the share of toxic ones.
+
+    At most ``MAX_TOXIC`` and ``MAX_CLEAN`` documents in the order of a seeded hash; of rows
+    that repeat a doc_id the one with the least hash of its text.  Each gives at most
+    ``MAX_SAMPLE_CHARS`` code points, so the sample is bounded in rows and characters.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= MAX_SAMPLE_CHARS)
-    counts = dict(known.groupBy("toxic").count().collect())
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = F.xxhash64("doc_id")
     # The limits are the bound of the sample that the classifier is fitted on.
     chosen = known.where("toxic = 1").orderBy(order).limit(MAX_TOXIC).union(known.where("toxic = 0").orderBy(order).limit(MAX_CLEAN))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (r[0], r[2]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce(F.col("text"), F.lit("")), 1, MAX_SAMPLE_CHARS).alias("text"))
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = sorted(found.collect())
     n = sum(counts.values())
-    return [r[2] for r in rows], [r[1] for r in rows], counts.get(1, 0) / n if n else 0.0
+    return [r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / n if n else 0.0
+
+
+def _score_column(docs: DataFrame, labels: DataFrame) -> tuple[Column, bool]:
+    """The score of ``text``, and whether there were rows of both classes to learn from.
+
+    Only texts go to the Python workers, in batches of bounded bytes, and only numbers come back.
+    """
+    bound_batches(docs.sparkSession)
+    texts, toxic, prior = _sample(docs, labels)
+    learned = 0 < sum(toxic) < len(toxic)
+    if learned:
+        margins, rest = train(texts, toxic, prior).margins()
+    else:
+        margins, rest = np.zeros(BUCKETS, dtype=np.float32), (50.0 if prior == 1 else -50.0)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(score_texts(texts, margins, rest), dtype=float)
+
+    return score(F.coalesce(F.col("text").cast("string"), F.lit(""))), learned
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -151,36 +177,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     both classes every score is their share.  Rows that repeat are scored alike; further
     columns are ignored.
     """
-    texts, toxic, prior = _sample(docs, labels)
-    if 0 < sum(toxic) < len(toxic):
-        margins, rest = train(texts, toxic, prior).margins()
-    else:
-        margins, rest = np.zeros(BUCKETS, dtype=np.float32), (50.0 if prior == 1 else -50.0)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = pa.array(score_texts(batch.column("text").to_pylist(), margins, rest), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), scores], ["doc_id", "held_out", "score"])
-
-    rows = docs.select(
+    score, _ = _score_column(docs, labels)
+    scored = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False)).alias("held_out"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        score.alias("score"),
     )
-    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their columns."""
-    texts, toxic, prior = _sample(docs, labels)
-    if not 0 < sum(toxic) < len(toxic):
-        return docs
-    margins, rest = train(texts, toxic, prior).margins()
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(np.array(score_texts(texts, margins, rest), dtype=float) < 0.5))
-
-    return docs.mapInArrow(keep, docs.schema)
+    """The rows of ``docs`` that are not predicted toxic, with their columns; all if nothing can be learned."""
+    score, learned = _score_column(docs, labels)
+    return docs.where(score < 0.5) if learned else docs
