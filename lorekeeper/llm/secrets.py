@@ -6,11 +6,14 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 # The base patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -19,10 +22,11 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # Parts that alone are too weak to report.
 _ID = re.compile(r"(?<![A-Za-z0-9])(?:(?:ASIA|AIDA|AROA|AGPA|ANPA)[A-Z0-9]{8,}|AKIA[A-Z0-9]{4,11}(?![A-Z0-9]))")
-_NAMED_ID = re.compile(r"""(?:client|account|access)_?(?:key_?)?id["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.-]{6,})|\buser(?:name)?["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
+_NAMED_ID = re.compile(r"""(?:client|account|access)_?(?:key_?)?id["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.-]{6,})|(?<!//)\buser(?:name)?["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
 _KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
 _SHORT_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,31}(?![0-9A-Za-z])")
-_ENDPOINT = re.compile(r"\b(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+")
+#: A URL; its part is what is neither user-info nor query.
+_ENDPOINT = re.compile(r"\b(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://(?:[^\s\"'<>/@?#]*@)?([^\s\"'<>?#]+)")
 
 _ID_PREFIXES = ("ASIA", "AIDA", "AROA", "AGPA", "ANPA", "AKIA")
 _ID_WORDS = ("keyid", "key_id", "clientid", "client_id", "accountid", "account_id", "accessid", "access_id", "user")
@@ -51,57 +55,50 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _weak_spans(text: str, base: list[Span]) -> list[Span]:
-    found = []
+    found: list[Span] = []
     if any(p in text for p in _ID_PREFIXES):
         found += [(m.start(), 3, m.end()) for m in _ID.finditer(text)]
     if any(w in text.lower() for w in _ID_WORDS):
         found += [(m.start(), 3, m.end()) for m in _NAMED_ID.finditer(text)]
     if "://" in text:
-        found += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
+        found += [(m.start(1) if "@" in m[0][: m.start(1) - m.start()] else m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
+    found = _apart(found, base)
     if not found and not any(k == 1 for _, k, _ in base):
         return []  # parts of one role alone link with nothing
-    found += [(m.start(), 4, m.end()) for p in (_KEY, _SHORT_HEX) for m in p.finditer(text)]
-    found.sort()
-    taken, kept = sorted((s, e) for s, _, e in base), []
-    starts = [s for s, _ in taken]
-    ends: list[int] = []
-    for _, e in taken:
-        ends.append(max(e, ends[-1] if ends else 0))
-    for start, kind, end in found:
-        i = bisect_left(starts, end)
-        if i and ends[i - 1] > start:
-            continue  # a base span has it already
-        kept.append((start, kind, end))
-    return kept
+    keys = [(m.start(), 4, m.end()) for p in (_KEY, _SHORT_HEX) for m in p.finditer(text)]
+    return sorted(found + _apart(keys, base + found))
+
+
+def _apart(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """The spans that overlap none of those taken; both are sorted once."""
+    ordered = sorted((s, e) for s, _, e in taken)
+    starts = [s for s, _ in ordered]
+    ends = list(accumulate((e for _, e in ordered), max))
+    return [x for x in spans if not (i := bisect_left(starts, x[2])) or ends[i - 1] <= x[0]]
 
 
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
-    """The weak parts that have a part of another role within their scope.
+    """The weak parts that have a complementary part within their scope, which is never a part of the same span.
 
-    An interval join: intervals of parts, widened by ``reach``, against the parts of each
-    other role, both sorted; the nearest ones on either side decide, so a text with many
-    parts takes no more than the time to sort them.
+    A secret completes an identifier or an endpoint, and either of them a secret; without a
+    secret nothing is reported, so an ordinary link is not.  An interval join: intervals of
+    parts, widened by ``reach``, against the parts that complete them, both sorted; the
+    nearest ones on either side decide, so a text with many parts takes no more than the time
+    to sort them.
     """
     weak = _weak_spans(text, base)
     if not weak:
         return []
-    by_role: dict[str, list[tuple[int, int]]] = {}
-    for start, kind, end in sorted(base + weak):
-        by_role.setdefault(ROLE[KINDS[kind]], []).append((start, end))
     sides = {}
-    for role, parts in by_role.items():
-        furthest, ends = 0, []
-        for _, end in parts:
-            furthest = max(furthest, end)
-            ends.append(furthest)
-        sides[role] = ([s for s, _ in parts], ends)
+    for secret in (False, True):
+        parts = sorted((s, e) for s, k, e in base + weak if (ROLE[KINDS[k]] == "secret") == secret)
+        sides[secret] = ([s for s, _ in parts], list(accumulate((e for _, e in parts), max)))
     linked = []
     for start, kind, end in weak:
-        for role, (starts, ends) in sides.items():
-            i = bisect_left(starts, end + reach) if role != ROLE[KINDS[kind]] else 0
-            if i and ends[i - 1] > start - reach:
-                linked.append((start, kind, end))
-                break
+        starts, ends = sides[ROLE[KINDS[kind]] != "secret"]
+        i = bisect_left(starts, end + reach)
+        if i and ends[i - 1] > start - reach:
+            linked.append((start, kind, end))
     return linked
 
 
@@ -125,11 +122,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """Counts and spans of secrets in every row of ``docs``.
 
-    Base spans hold on their own.  Identifiers, keys and endpoints that are too weak
-    alone are added when a part of another role lies within ``REACH`` code points; those
-    inside a base span are not repeated.  Positions are code points of the whole text,
+    Base spans hold on their own.  Keys that are too weak alone are added when an identifier
+    or endpoint lies within ``REACH`` code points, and these when a key or base secret does;
+    parts that overlap a base span, and keys that overlap an identifier or the host and path
+    of an endpoint, are no parts.  Positions are code points of the whole text,
     however long; a null text counts as empty and has no spans.  Repeated rows give
     repeated results; further columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
