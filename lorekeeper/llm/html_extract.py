@@ -12,8 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Weights are learned from at most so many pages that mark their own content.
-MAX_LABELLED = 500
+from .common import bound_batches
+
+#: Weights are learned from at most so many pages that mark their own content, each of at
+#: most so many characters.
+MAX_LABELLED, MAX_LABELLED_CHARS = 500, 200_000
 #: A word's score, and the range of a learned tag's.
 WORD, LEAST_TAG, MOST_TAG = 1.0, -40.0, -0.1
 #: Scores of tags that the labelled pages do not have: of text, of links, of structure, and
@@ -23,9 +26,9 @@ TEXT_TAG, LINK_TAG, OTHER_TAG, BOILERPLATE_TAG = -0.1, -2.0, -4.0, -3.0
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 # Elements of HTML by what they hold.
-_RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
+_RAW = frozenset("script style noscript template textarea title svg annotation iframe object canvas".split())
 _BOILERPLATE = frozenset("nav footer aside form header menu dialog button select head".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTENT = frozenset(("article", "main"))
 #: Elements whose end tag may be left out: what the opening tag ends if no wall is between.
@@ -35,21 +38,43 @@ _CELLS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")} | di
 #: Elements that an item's end passes through; all others are walls.
 _LOOSE = _INLINE | frozenset(("p", "div", "address"))
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd figcaption td th".split())
-_COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])", re.I)
+_COMMENT_NAMES = re.compile(r"comments?|repl(?:y|ies)", re.I)
 _BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|gdpr|modal|recommend\w*|replies|respond)(?:$|[\s_-])",
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|header|masthead|menu|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|gdpr|modal|recommend\w*|replies|respond",
     re.I,
 )
+#: Words that beside such a name say where it stands or what holds it; beside any other word
+#: (``share-price``, ``related-work``) a name is not boilerplate's.
+_PLACES = frozenset(
+    "site page main global local top bottom left right upper lower inner outer primary secondary sticky fixed mobile desktop wp block box area section container wrapper wrap row column col bar panel group body content text title heading list item items entry article post posts story stories link links button buttons btn icon icons form signup slot unit tower count number label thread tree author meta policy message overlay dialog".split()
+)
+_OWN = frozenset("article post entry story section content".split())
+_PARTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 #: Key of a tag or "", text, block number, and whether boilerplate holds it.
 Token = tuple[str, str, int, bool]
 
 
+def _is_named(names: list[str], known: re.Pattern, in_content: bool) -> bool:
+    """Whether one of an element's names is a known one, alone or beside words of place only.
+
+    The header of an article, a section or a post is its own, not the site's.
+    """
+    for name in names:
+        parts = [p for p in _PARTS.split(name) if p and not p.isdigit()]
+        hits = [bool(known.fullmatch(p)) for p in parts]
+        if any(hits) and all(h or p.lower() in _PLACES for p, h in zip(parts, hits, strict=True)):
+            own = {p.lower() for p, h in zip(parts, hits, strict=True) if h} == {"header"} and (in_content or any(p.lower() in _OWN for p in parts))
+            if not own:
+                return True
+    return False
+
+
 def tokens(page: str) -> list[Token]:
     """Tags and texts of a page in order: key, text, block number and whether boilerplate holds it.
 
-    The key of a tag is its name, after ``/`` if it closes and with ``!`` if its names
-    mark boilerplate.  Raw elements are left out with what they hold.  A closing tag ends the
+    The key of a tag is its name, after ``/`` if it closes and with ``!`` if it is boilerplate;
+    its class, id and the like follow as keys of their own, after a dot.  Raw elements are left out with what they hold.  A closing tag ends the
     last open element of its name at any depth; ends that HTML lets out are implied for
     paragraphs, items of lists and menus, and parts of tables.
     """
@@ -59,6 +84,7 @@ def tokens(page: str) -> list[Token]:
     depth = 0  # of boilerplate
     places: dict[str, list[int]] = {}  # of the open tags of each name
     walls: list[int] = []
+    endless: set[str] = set()  # raw elements without an end from here on
 
     def end_from(i: int) -> None:
         """Ends the open tags from place ``i`` on; each is ended once, so a tag costs the same at any depth."""
@@ -87,7 +113,9 @@ def tokens(page: str) -> list[Token]:
         name, closing = m[1].lower(), m[0][1] == "/"
         if name in _RAW and not closing and not m[2].endswith("/"):
             # What a raw element holds is no markup, so its end is looked for as it is.
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            end = None if name in endless else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            if end is None:
+                endless.add(name)
             at = end.end() if end else len(page) if name in ("script", "style") else at
             block += 1
             continue
@@ -100,10 +128,13 @@ def tokens(page: str) -> list[Token]:
                 end_from(places[name][-1])
             found.append((f"/{name}", "", block, depth > 0))
             continue
-        names = " ".join(a or b or c for _, a, b, c in _ATTR.findall(m[2]))
-        article_header = name == "header" and last(*_CONTENT) >= 0
-        marked = _COMMENT_NAMES if name in _CONTENT else _BOILERPLATE_NAMES
-        named = name not in ("html", "body") and bool(names) and bool(marked.search(names))
+        names: list[str] = []
+        for what, a, b, c in _ATTR.findall(m[2]):
+            names += [a or b or c] if what.lower() == "aria-label" else (a or b or c).split()
+        in_content = last(*_CONTENT) >= 0
+        article_header = name == "header" and in_content
+        known = _COMMENT_NAMES if name in _CONTENT else _BOILERPLATE_NAMES
+        named = name not in ("html", "body") and _is_named(names, known, in_content)
         bad = named or (name in _BOILERPLATE and not article_header)
         if name == "p":
             # A paragraph ends the one before it, and inline elements left open in it.
@@ -122,6 +153,8 @@ def tokens(page: str) -> list[Token]:
             open_tags.append((name, bad))
             depth += bad
         found.append((name + "!" * bad, "", block, depth > 0))
+        if not depth and name not in _CONTENT:
+            found += [(f".{n}", "", block, False) for n in names]
     text(page[at:])
     return found
 
@@ -150,19 +183,23 @@ def learn_weights(pages: list[str]) -> dict[str, float]:
                 continue
             if key and key.lstrip("/") not in _CONTENT:
                 (inside if within else outside)[key] += 1
-                tags += within
+                tags += within and key[0] != "."
             elif within:
                 words += len(text.split())
     gap = min(max(words / max(1, tags), 2.0), 40.0)
-    n_in, n_out = sum(inside.values()) + 1, sum(outside.values()) + 1
     weights = {}
-    for key in inside.keys() | outside.keys():
-        odds = math.log(((outside[key] + 0.5) / n_out) / ((inside[key] + 0.5) / n_in))
-        weights[key] = min(MOST_TAG, max(LEAST_TAG, -gap * odds))
+    for named in (False, True):  # names are weighed against names, tags against tags
+        keys = [k for k in inside.keys() | outside.keys() if (k[0] == ".") == named]
+        n_in, n_out = sum(inside[k] for k in keys) + 1, sum(outside[k] for k in keys) + 1
+        for key in keys:
+            odds = math.log(((outside[key] + 0.5) / n_out) / ((inside[key] + 0.5) / n_in))
+            weights[key] = min(MOST_TAG, max(LEAST_TAG, -gap * odds))
     return weights
 
 
 def _tag_score(key: str, weights: dict[str, float]) -> float:
+    if key[0] == ".":
+        return weights.get(key, MOST_TAG)
     name = key.lstrip("/")
     if name.endswith("!"):
         return BOILERPLATE_TAG
@@ -205,13 +242,14 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages``.
 
     Weights are learned from at most ``MAX_LABELLED`` pages that hold one ``article`` or
-    ``main`` element, in the order of a hash; the tags themselves score nothing, so
+    ``main`` element and at most ``MAX_LABELLED_CHARS`` characters, in the order of a hash; the tags themselves score nothing, so
     pages without them are read by the same weights.  A null or empty page, or one
     without words, has the empty text.  Pages of any length are read whole; repeated rows
     give repeated results; further columns are ignored.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    marked = rows.where(F.length("html") < 200_000).where(F.rlike("html", F.lit("(?i)<(article|main)[\\s>]"))).select("html", F.xxhash64("html").alias("h"))
+    marked = rows.where(F.length("html") <= MAX_LABELLED_CHARS).where(F.rlike("html", F.lit("(?i)<(article|main)[\\s>]"))).select("html", F.xxhash64("html").alias("h"))
     # The limit is the bound of the sample that the weights are fitted on.
     chosen = marked.select("h").distinct().orderBy("h").limit(MAX_LABELLED)
     labelled = [r["html"] for r in marked.join(F.broadcast(chosen), "h").groupBy("h").agg(F.any_value("html").alias("html")).orderBy("h").collect()]
