@@ -12,23 +12,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialise, shared_folder
+from .common import bound_batches, join_groups, materialise, shared_folder
 
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT_BYTES = 1000
-#: Records of an archive file, which is read as one.
-FILE_RECORDS = 1000
-#: The date of captures that have none of their own.
-EPOCH = "1970-01-01T00:00:00Z"
+#: Records of an archive file, which is read as one, of payloads up to ``LARGE_BYTES``, and of larger ones.
+FILE_RECORDS, LARGE_BYTES, LARGE_RECORDS = 1000, 1 << 16, 16
+#: Captures without a date of their own follow each other by page_id, a second each, from
+#: this time on (2020-01-01), and start again after 2**30 seconds.
+FIRST_CAPTURE, SECONDS = 1_577_836_800, 1 << 30
+#: Index rows of a range that a loser tree merges in one task.
+RANGE_ROWS = 50_000
 _CRLF = "\r\n"
 _HEAD_END = b"\r\n\r\n"
 
 
+def _date(pages: DataFrame) -> Column:
+    """When each page was captured, in UTC: its ``date`` if that is a time, else one made from page_id."""
+    made = F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(SECONDS)))
+    known = dict(pages.dtypes).get("date") in ("timestamp", "timestamp_ntz", "date", "string")
+    time = F.coalesce(F.col("date").try_cast("timestamp"), made) if known else made
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def _captures(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
+        _date(pages).alias("date"),
         payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha1(payload.cast("binary")).alias("payload_digest"),
@@ -36,7 +48,7 @@ def _captures(pages: DataFrame) -> DataFrame:
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """The captures with record_type and refers_to.
+    """The captures with their dates, record_type and refers_to.
 
     Of records with equal payloads of at least ``MIN_REVISIT_BYTES`` bytes the one with
     the largest page_id is the response and others revisit it.  Rows that repeat that
@@ -48,7 +60,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     joined = join_groups(rows, materialise(groups, "payloads"), ["payload_digest"], "n_rows")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")) & (F.col("payload_bytes") >= MIN_REVISIT_BYTES)
     return joined.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest",
+        "page_id", "url", "date", "payload", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("keeper")).alias("refers_to"),
     )
@@ -80,26 +92,42 @@ def write_archives(records: DataFrame, path: str) -> None:
     """Write planned records as gzip-compressed WARC files under ``path``.
 
     The text writer puts the record separator of the format after each row, so files
-    are written by Spark to any file system and survive retried tasks.
+    are written by Spark to any file system and survive retried tasks.  A file is read
+    as one, so files of large payloads have few records.
     """
-    records = records if "date" in records.columns else records.withColumn("date", F.lit(EPOCH))
     value = _record(F.col("record_type")).alias("value")
-    records.select(value).write.option("lineSep", _CRLF + _CRLF).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    large = F.col("payload_bytes") > LARGE_BYTES
+    for name, which, most in (("small", ~large, FILE_RECORDS), ("large", large, LARGE_RECORDS)):
+        writer = records.where(which).select(value).write.option("lineSep", _CRLF + _CRLF).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", most).text(f"{path}/{name}")
 
 
 def _parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Offset, length, headers and payload of each record of an uncompressed archive."""
-    at = 0
-    while at < len(content):
-        end = content.index(_HEAD_END, at)
-        headers = dict(line.split(": ", 1) for line in content[at:end].decode("utf-8").split(_CRLF)[1:])
+    """Offset, length, headers and payload of each record of a compressed archive, unpacked piece by piece."""
+    unpacker, at, held = zlib.decompressobj(47), 0, bytearray()
+
+    def more() -> bool:
+        nonlocal content
+        piece = unpacker.decompress(content, 1 << 20)
+        content = unpacker.unconsumed_tail
+        held.extend(piece)
+        return bool(piece)
+
+    while held or more():
+        while (end := held.find(_HEAD_END)) < 0:
+            if not more():
+                raise ValueError(f"the record at byte {at} has no headers")
+        headers = dict(line.split(": ", 1) for line in held[:end].decode("utf-8").split(_CRLF)[1:])
         start = end + 4
         stop = start + int(headers["Content-Length"])
-        block = content[start:stop]
-        if content[stop : stop + 4] != _HEAD_END:
+        while len(held) < stop + 4 and more():
+            pass
+        if held[stop : stop + 4] != _HEAD_END:
             raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield at, stop + 4 - at, headers, block[block.index(_HEAD_END) + 4 :]
-        at = stop + 4
+        block = bytes(held[start:stop])
+        yield at, stop + 4, headers, block[block.index(_HEAD_END) + 4 :]
+        at += stop + 4
+        del held[: stop + 4]
 
 
 def _number(text: str | None) -> int | None:
@@ -119,7 +147,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
-                for offset, length, h, payload in _parse(zlib.decompress(content, 47)):
+                for offset, length, h, payload in _parse(content):
                     response = h["WARC-Type"] == "response"
                     digest = hashlib.sha1(payload).hexdigest() if response else h["WARC-Payload-Digest"].removeprefix("sha1:")
                     if response and digest != h["WARC-Payload-Digest"].removeprefix("sha1:"):
@@ -129,7 +157,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                 out = pd.DataFrame(rows, columns=["page_id", "url", "date", "record_type", "payload_bytes", "payload_digest", "refers_to", "file", "offset", "length", "payload"])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, "page_id long, url string, date string, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, offset long, length long, payload string")
 
 
@@ -186,40 +214,48 @@ _ORDER = ["url_key", "date", "sort_id", "file", "offset"]
 
 
 def _merge_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of one range in order: its pieces of the runs, merged by a loser tree."""
+    """The rows of one range in order: its pieces of the runs, which come one after the other, merged by a loser tree."""
     parts = list(batches)
     if not parts:
         return
     part = pd.concat(parts, ignore_index=True)
-    # The shuffle may deliver a piece in blocks, so each is put back in its run's order.
-    pieces = [g.sort_values(_ORDER) for _, g in part.groupby("file", sort=True)]
-    runs = [list(zip(*(g[c] for c in _ORDER), g.index, strict=True)) for g in pieces]
-    yield part.loc[np.array([row[-1] for row in LoserTree(runs)], dtype=np.int64)]
+    files = part["file"].to_numpy()
+    edges = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(part)]
+    columns = [part[c].tolist() for c in _ORDER]
+    runs = [list(zip(*(c[a:b] for c in columns), range(a, b), strict=True)) for a, b in zip(edges, edges[1:]) if a < b]
+    order = np.array([row[-1] for row in LoserTree(runs)], dtype=np.int64)
+    for at in range(0, len(order), 10_000):
+        yield part.loc[order[at : at + 10_000]]
 
 
 def capture_index(records: DataFrame, ranges: int | None = None) -> DataFrame:
-    """The index of all captures in the order of URL key, date and page_id.
+    """The index of all captures in the order of URL key, date and page_id: the history of each page in turn.
 
-    Each archive is a run that is sorted where it was read.  Keys are dealt to ranges,
-    with date and page_id so that one page's many captures are divided too; in each
-    range a loser tree merges the pieces of the runs.  Ranges follow each other, so the
-    whole is in order.  A range has a bounded share of the index and no payloads.
+    Each archive is a run that is sorted where it was read.  Rows are dealt to ranges by
+    key, date and place, so that one page's many captures are divided too; in each range
+    the sorted pieces of the runs come one after the other and a loser tree merges them.
+    Ranges follow each other, so the whole is in order.  The number of ranges grows with
+    the records, so that a task holds about ``RANGE_ROWS`` index rows, without payloads.
     """
     spark = records.sparkSession
-    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = records.drop("payload").withColumns({"url_key": url_key(F.col("url")), "sort_id": F.coalesce("page_id", F.lit(-(2**63)))})
     runs = materialise(rows.sortWithinPartitions("file", *_ORDER[:3]), "runs")
-    return runs.repartitionByRange(ranges, *_ORDER[:3]).mapInPandas(_merge_runs, runs.schema).drop("sort_id")
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS), 1)
+    pieces = runs.repartitionByRange(ranges, *_ORDER).sortWithinPartitions("file", *_ORDER[:3], "offset")
+    return pieces.mapInPandas(_merge_runs, runs.schema).drop("sort_id")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``pages`` as archives and give what reading them back finds, one row a page.
 
     The rows are those of the merged capture index, in its order: what each record says
-    and where it is.  A null html counts as empty; null or odd urls
-    are kept without white space; an empty table gives no record.
+    and where it is.  A null html counts as empty; null or odd urls are kept without white
+    space; a ``date`` that is a time, or a string that reads as one, is the capture's, other
+    captures are dated by page_id; captures of one key and date are in the order of page_id;
+    an empty table gives no record.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     path = path or f"{shared_folder(spark)}/warc/{uuid.uuid4().hex}"
     write_archives(plan_records(pages), path)
     return capture_index(read_archives(spark, path))
