@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -78,6 +79,15 @@ def test_lines(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_many_shared_lines_take_linear_time(spark):
+    shared = "\n".join(f"this is shared line number {i}" for i in range(100_000))
+    docs = spark.createDataFrame([(i, f"{shared}\nend {i}") for i in range(3)], "doc_id long, text string")
+    began = time.time()
+    got = {(r.doc_id, r.n_lines, r.n_dropped, r.kept_text[-5:], len(r.kept_text) > 10) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {(0, 100_001, 100_000, "end 0", False), (1, 100_001, 100_000, "end 1", False), (2, 100_001, 0, "end 2", True)}
+    assert time.time() - began < 60
+
+
 def shingles(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(UP))
     return frozenset(tuple(words[j : j + k]) for j in range(len(words) - k + 1)) if len(words) >= k else frozenset([tuple(words)] if words else [])

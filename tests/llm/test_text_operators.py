@@ -3,11 +3,13 @@ import html
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeeper.llm import html_extract, mixing, quality, secrets, sentencepiece_codec, toxicity, warc
 
@@ -49,6 +51,35 @@ def test_toxicity_odd(odd, none, spark):
     assert toxicity.drop_toxic(odd, marks).columns == odd.columns
 
 
+def test_scores_are_the_softmax_of_averaged_rows():
+    rng = np.random.default_rng(5)
+    model = toxicity.Softmax(rng.normal(0, 1, (toxicity.BUCKETS, toxicity.DIM)).astype(np.float32), rng.normal(0, 1, (toxicity.DIM, 2)), np.array([0.3, -0.2]))
+    texts = ["Some words here", "", "x", "Élan  vital\nÉlan", "aa aa aa aa"]
+    want = []
+    for text in texts:
+        grams = []
+        for word in text.lower().split():
+            word = f" {word} "
+            grams += [word[i : i + n] for n in toxicity.GRAMS for i in range(len(word) - n + 1)]
+        rows = []
+        for g in grams:
+            value = ord(g[0])
+            for c in g[1:]:
+                value = (value * 0x100000001B3 + ord(c)) % 2**64
+            rows.append(model.rows[(value * 0x9E3779B97F4A7C15) % 2**64 >> 47].astype(float))
+        z = (np.mean(rows, axis=0) if rows else np.zeros(toxicity.DIM)) @ model.weights + model.bias
+        want.append(float(np.exp(z[1]) / np.exp(z).sum()))
+    assert toxicity.score_texts(texts, *model.margins()) == pytest.approx(want, abs=1e-5)
+
+
+def test_training_sample_is_one_bounded_text_a_document(spark):
+    docs = spark.createDataFrame([(1, "b" * 90_000), (1, "a" * 10), (3, None), (3, "")], "doc_id long, text string")
+    texts, toxic, prior = toxicity._sample(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int"))
+    assert len(texts) == len(toxic) == len({*toxic}) and all(len(t) <= toxicity.MAX_SAMPLE_CHARS for t in texts) and prior == 0.5
+    only = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(docs, only).count() == 4
+
+
 def base_by_hand(text):
     found = []
     for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
@@ -83,6 +114,23 @@ def test_secret_linking(odd, none, spark):
 MODEL = pytest.mark.skipif(not os.path.exists(sentencepiece_codec.MODEL), reason="no tokenizer files")
 
 
+def test_linked_spans_are_all_close_complements():
+    rng = random.Random(9)
+    parts = ["AKIA12345678", "AKIA" + "Q7" * 8, "client_id=abc123xyz", "https://x.org/wiki/2024_Summer_Olympics_Medals", "Zx9" * 8, "0a1b2c3d4e5f60718", "password=hunter2hunter2", "postgres://bob:Zk3Zk3Zk3Zk3Zk3Zk3Zk3@db.org/t?key=1", "a" * 60]
+    for _ in range(300):
+        text = " ".join(rng.choice(parts) if rng.random() < 0.4 else "word" * rng.randint(1, 30) for _ in range(rng.randint(1, 25)))
+        base = secrets.base_spans(text)
+        weak = secrets._weak_spans(text, base)
+        assert all(b <= c or d <= a for a, _, b in weak for c, _, d in base)
+        secret = lambda k: secrets.ROLE[secrets.KINDS[k]] == "secret"
+        near = lambda x, y: x[0] < y[2] + secrets.REACH and y[0] < x[2] + secrets.REACH
+        assert secrets.linked_spans(text, base) == [x for x in weak if any(secret(x[1]) != secret(y[1]) and near(x, y) for y in base + weak)]
+    for text in ("see https://en.wikipedia.org/wiki/2024_Summer_Olympics_Medals for more", "user: bob went to https://x.org"):
+        assert secrets.linked_spans(text, secrets.base_spans(text)) == []
+    text = "postgres://bob:Zk3Zk3Zk3Zk3Zk3Zk3Zk3@db.org/t"
+    assert [text[a:b] for a, _, b in secrets.linked_spans(text, [])] == ["Zk3Zk3Zk3Zk3Zk3Zk3Zk3", "db.org/t"]
+
+
 @MODEL
 def test_codec_without_dropout_is_the_model():
     import sentencepiece
@@ -222,6 +270,29 @@ def test_warc(spark):
     assert warc.archive_pages(pages.where("false")).count() == 0
 
 
+def test_capture_histories(spark):
+    dates = ["2021-05-01 00:00:00", "2020-01-01 10:00:00", "2021-05-01 00:00:00", "not a date", None]
+    rows = [(i, f"http://h{i % 2}.org/a", f"page {i}", dates[i % 5]) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, date string").repartition(5)
+    index = warc.archive_pages(pages).collect()
+    made = lambda i: f"2020-01-01T00:00:{i:02d}Z"
+    date = {i: made(i) if i % 5 > 2 else d.replace(" ", "T") + "Z" for i, _, _, d in rows}
+    assert [(r.url_key, r.date, r.page_id) for r in index] == sorted((f"org,h{i % 2})/a", date[i], i) for i, *_ in rows)
+    timed = pages.withColumn("date", F.col("page_id"))  # no time: dated by page_id
+    assert {r.page_id: r.date for r in warc.archive_pages(timed).collect()} == {i: made(i) for i in range(40)}
+
+
+def test_large_and_small_records_keep_their_bytes(spark):
+    rng = random.Random(2)
+    rows = [(i, "u", "".join(rng.choices("ab\r\né", k=rng.choice((0, 10, 200_000))))) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"{warc.shared_folder(spark)}/warc-large"
+    warc.write_archives(warc.plan_records(pages), path)
+    back = warc.read_archives(spark, path, payloads=True).where("record_type = 'response'").collect()
+    assert {r.payload for r in back} == {h for _, _, h in rows}
+    assert max(Counter(r.file for r in back if r.payload_bytes > warc.LARGE_BYTES).values()) <= warc.LARGE_RECORDS
+
+
 def test_loser_tree():
     rng = random.Random(4)
     for k in range(9):
@@ -288,5 +359,28 @@ def test_implied_ends():
     assert key('<table><tr><td class="ads"><table><tr><td>a<td>b<tr><td>c</table>d<td>e<tr><th class="promo"><ul><li>f<th>g<tbody><tr><td>h</table>') == [("a", True), ("b", True), ("c", True), ("d", True), ("e", False), ("f", True), ("g", False), ("h", False)]
 
 
+def test_names_of_boilerplate_beside_other_words():
+    page = lambda name: f'<p>{"Before it are words. " * 5}</p><div class="{name}"><p>The market rose by many points today.</p></div><p>{"After it are words. " * 5}</p>'
+    for name in ("share-price", "related-work", "notice-of-intent", "entry-header"):
+        assert html_extract.main_text(page(name), {}).count("\n") == 2, name
+    for name in ("ad", "sidebar-left", "related-posts", "siteHeader", "cookie-notice", "x comments", "social-links"):
+        assert html_extract.main_text(page(name), {}).count("\n") == 1, name
+    assert html_extract.main_text('<article><div class="header"><h1>A title</h1></div><p>Let <math><mi>x</mi></math> be.</p></article>', {}) == "A title\nLet x be."
+
+
+def test_learned_names_cut_what_stands_outside():
+    inside = "<p>" + "word " * 30 + "</p>"
+    outside = '<div class="teaser"><p>' + "other " * 12 + "</p></div>"
+    weights = html_extract.learn_weights([f"<body>{outside * 4}<article>{inside * 3}</article></body>"] * 5)
+    assert weights[".teaser"] < weights.get("p", 0)
+    assert "other" not in html_extract.main_text(f"<body>{outside}<section>{inside * 3}</section></body>", weights)
+
+
+def test_raw_elements_without_end_take_linear_time():
+    began = time.time()
+    html_extract.main_text("<svg>" * 200_000 + "<textarea>" * 50_000, {})
+    assert time.time() - began < 20
+
+
 def test_unescape_is_not_repeated():
     assert html_extract.main_text("<p>&amp;lt;b&amp;gt; stays</p>", {}) == html.unescape("&amp;lt;b&amp;gt;") + " stays"
