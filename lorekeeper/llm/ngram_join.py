@@ -27,8 +27,8 @@ from .shingles import mix, shingle_sets
 
 WORDS = 5
 SIMILARITY = Fraction(4, 5)
-#: Coordinates of a count vector.
-GROUPS = 256
+#: Coordinates of a count vector, a byte each where no count is larger than that.
+GROUPS = 512
 #: A band of sizes goes up to this times its smallest size.
 BAND = Fraction(3, 2)
 #: Groups beyond those that a link needs, for each shingle in which linked sets may differ.
@@ -121,7 +121,7 @@ def _profiles(k: int, similarity: Fraction):
                     two.append(mix(hashes ^ _SECOND).sum(dtype=np.uint64))
                     sizes.append(len(hashes))
                     keys.append(_keys(hashes, sums, similarity).view(np.int64))
-                    counts.append(np.diff(_cut(hashes, GROUPS)))
+                    counts.append(_packed(np.diff(_cut(hashes, GROUPS))))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row_id"),
@@ -130,7 +130,7 @@ def _profiles(k: int, similarity: Fraction):
                         pa.array(np.array(one, dtype=np.uint64).view(np.int64)),
                         pa.array(np.array(two, dtype=np.uint64).view(np.int64)),
                         _lists(keys, np.int64),
-                        _lists(counts, np.int32),
+                        pa.array(counts, pa.binary()),
                     ],
                     ["row_id", "doc_id", "n_shingles", "set_a", "set_b", "keys", "counts"],
                 )
@@ -143,6 +143,19 @@ def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(kind) if arrays else np.zeros(0, kind)))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A count vector with a byte a coordinate, or four if one of them needs more."""
+    return counts.astype(np.uint8 if counts.max() < 256 else "<i4").tobytes()
+
+
+def _points(column: pa.Array) -> np.ndarray:
+    """The count vectors that ``_packed`` made, one a row."""
+    values = column.to_pylist()
+    if all(len(v) == GROUPS for v in values):
+        return np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(v, dtype=np.uint8 if len(v) == GROUPS else "<i4").astype(np.int32) for v in values])
+
+
 def _sets(k: int):
     """Arrow batches of text to set identity and sorted hashes."""
 
@@ -184,7 +197,7 @@ class RTree:
     def __init__(self, points: np.ndarray):
         self.order = self._tile(points, np.arange(len(points)), 0)
         self.points = points[self.order]
-        self.sizes = self.points.sum(axis=1)
+        self.sizes = self.points.sum(axis=1, dtype=np.int64)
         #: From the leaves up: the smallest size and the largest coordinates below each node.
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         least, high = self.sizes, self.points
@@ -197,7 +210,7 @@ class RTree:
         """Row numbers in an order that keeps near points together: halves along the widest coordinate."""
         if len(rows) <= LEAF:
             return rows
-        wide = int(np.ptp(points[rows], axis=0).argmax())
+        wide = int((points[rows].max(axis=0) - points[rows].min(axis=0)).argmax())
         rows = rows[np.argsort(points[rows, wide], kind="stable")]
         half = (len(rows) // 2 + LEAF - 1) // LEAF * LEAF
         return np.concatenate((self._tile(points, rows[:half], depth + 1), self._tile(points, rows[half:], depth + 1)))
@@ -211,12 +224,12 @@ class RTree:
 
         All probes go down the tree together, a level at a time.
         """
-        sizes = probes.sum(axis=1)
+        sizes = probes.sum(axis=1, dtype=np.int64)
 
         def hopeful(at: np.ndarray, who: np.ndarray, least: np.ndarray, high: np.ndarray) -> np.ndarray:
             """Which (node, probe) pairs may hold a link, computed for so many pairs at a time."""
             need = _needed(least[at], sizes[who], similarity)
-            return np.concatenate([np.minimum(high[at[i : i + PAIRS]], probes[who[i : i + PAIRS]]).sum(axis=1) >= need[i : i + PAIRS] for i in range(0, max(len(at), 1), PAIRS)])
+            return np.concatenate([np.minimum(high[at[i : i + PAIRS]], probes[who[i : i + PAIRS]]).sum(axis=1, dtype=np.int64) >= need[i : i + PAIRS] for i in range(0, max(len(at), 1), PAIRS)])
 
         at, who = np.zeros(len(probes), dtype=np.int64), np.arange(len(probes))
         for i in reversed(range(len(self.levels))):
@@ -233,28 +246,24 @@ def _compare(similarity: Fraction):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("key", "ascending"), ("data_block", "ascending"), ("probe_block", "ascending")])
-        key, data_block, probe_block, ids, labels, probe = (table[c].to_numpy() for c in ("key", "data_block", "probe_block", "row_id", "label", "probe"))
-        points = table["counts"].combine_chunks().flatten().to_numpy().astype(np.int32).reshape(-1, GROUPS)
+        key, data_block, probe_block, ids, labels, probe, stored = (table[c].to_numpy() for c in ("key", "data_block", "probe_block", "row_id", "label", "probe", "stored"))
+        points = _points(table["counts"])
         new = (key[1:] != key[:-1]) | (data_block[1:] != data_block[:-1]) | (probe_block[1:] != probe_block[:-1])
         edges = np.concatenate(([0], np.flatnonzero(new) + 1, [len(key)]))
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            probes, data = start + np.flatnonzero(probe[start:stop]), start + np.flatnonzero(~probe[start:stop])
+            probes, data = start + np.flatnonzero(probe[start:stop]), start + np.flatnonzero(stored[start:stop])
             if len(probes) and len(data):
                 who, where = RTree(points[data]).search_all(points[probes], similarity)
                 x, y = probes[who], data[where]
                 apart = labels[x] != labels[y]
                 found.append((np.maximum(ids[x], ids[y])[apart], np.minimum(ids[x], ids[y])[apart]))
-        pairs = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else ((), ()))]
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+        pairs = np.unique(np.concatenate([np.stack(p, axis=1) for p in found]), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return run
 
 
-def _overlap(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
-
-
 def _dealt(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
     """Pairs (a, b) with ``value`` of both.  A row in very many pairs is copied for each ``BLOCK`` of them."""
     degree = pairs.groupBy("b").agg((F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")).where("parts > 0")
@@ -269,10 +278,16 @@ def _dealt(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
 
 def _bounded(pairs: DataFrame, profiles: DataFrame, similarity: Fraction) -> DataFrame:
     """The pairs whose summed coordinate minima allow a link."""
-    p, q = similarity.numerator, similarity.denominator
-    size = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
-    may = (p + q) * _overlap(F.col("x"), F.col("y")) >= p * (size("x") + size("y"))
-    return _dealt(pairs, profiles, "counts").where(may).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = _points(batch.column("x")), _points(batch.column("y"))
+                total = lambda v: v.sum(axis=1, dtype=np.int64)
+                may = total(np.minimum(x, y)) >= _needed(total(x), total(y), similarity)
+                yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    return _dealt(pairs, profiles, "counts").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, members: DataFrame, words: int, similarity: Fraction) -> DataFrame:
@@ -302,7 +317,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: Fraction = S
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     profiles = texts.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(
-        _profiles(words, similarity), "row_id long, doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, counts array<int>"
+        _profiles(words, similarity), "row_id long, doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, counts binary"
     )
     profiles = materialise(profiles, "profiles")
 
@@ -356,12 +371,16 @@ def _rest(met: DataFrame, labels: DataFrame, profiles: DataFrame, similarity: Fr
     rows = materialise(rows.join(profiles.select("row_id", "counts"), "row_id").withColumns({"blocks": blocks, "probe": F.col("label") != F.col("main"), "own": block(1)}), "mixed_rows")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cols = ["key", "row_id", "label", "counts", "blocks"]
-    data = rows.select(*cols, F.lit(False).alias("probe"), F.col("own").alias("data_block"), every.alias("probe_block"))
-    probes = rows.where("probe").select(*cols, "probe", every.alias("data_block"), F.col("own").alias("probe_block"))
+    one = F.lit(0).alias("data_block"), F.lit(0).alias("probe_block")
+    alone = rows.where("blocks = 1").select(*cols, "probe", F.lit(True).alias("stored"), *one)
+    many = rows.where("blocks > 1")
+    data = many.select(*cols, F.lit(False).alias("probe"), F.lit(True).alias("stored"), F.col("own").alias("data_block"), every.alias("probe_block"))
+    probes = many.where("probe").select(*cols, "probe", F.lit(False).alias("stored"), every.alias("data_block"), F.col("own").alias("probe_block"))
     total = mixed.where(F.col("n_key") < BLOCK).agg(F.sum("n_key")).first()[0] or 0
     lot = F.when(F.col("blocks") > 1, F.xxhash64("key", "data_block", "probe_block")).otherwise(F.pmod(F.xxhash64("key"), F.lit(2 * total // TOGETHER + 1)))
-    lots = data.unionByName(probes).withColumn("lot", lot).groupBy("lot")
-    return lots.applyInArrow(_compare(similarity), "a long, b long").distinct()
+    lots = alone.unionByName(data).unionByName(probes).withColumn("lot", lot).groupBy("lot")
+    # Written, so that pairs are made distinct before they are joined to anything.
+    return materialise(lots.applyInArrow(_compare(similarity), "a long, b long").distinct(), "found")
 
 
 def drop_similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
