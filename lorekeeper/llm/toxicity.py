@@ -72,7 +72,7 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 0) -> S
     bags = []
     for t in texts:
         ids, counts = np.unique(subword_buckets(t), return_counts=True)
-        bags.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
+        bags.append((ids.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
     y = np.array(labels)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     rows = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
