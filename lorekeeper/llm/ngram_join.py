@@ -41,6 +41,8 @@ TOGETHER = 1024
 LEAF = 16
 #: Pairs of a node and a probe that are bounded at a time.
 PAIRS = 4096
+#: Smallest keys of a document that go with it, to report a pair at one of its keys only.
+LEAST = 8
 
 
 def _groups(high: int, similarity: Fraction) -> tuple[int, int]:
@@ -241,13 +243,31 @@ class RTree:
         return who[keep], self.order[at[keep]]
 
 
+def _padded(column: pa.ChunkedArray) -> np.ndarray:
+    """``LEAST`` keys a row, the largest number where there are fewer."""
+    lists = column.combine_chunks()
+    sizes = lists.value_lengths().to_numpy()
+    out = np.full((len(sizes), LEAST), np.iinfo(np.int64).max)
+    out[np.arange(LEAST) < sizes[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def _seen_before(least: np.ndarray, x: np.ndarray, y: np.ndarray, key: int) -> np.ndarray:
+    """Which pairs share a smaller key among their smallest ones: they are compared there too, as one of them is a probe of it."""
+    parts = [np.zeros(0, dtype=bool)]
+    for i in range(0, len(x), PAIRS):
+        a, b = least[x[i : i + PAIRS]], least[y[i : i + PAIRS]]
+        parts.append(((a[:, :, None] == b[:, None, :]) & (a < key)[:, :, None]).any(axis=(1, 2)))
+    return np.concatenate(parts)
+
+
 def _compare(similarity: Fraction):
     """Rows of keys, each with a pair of blocks, to pairs of documents of different components that may link."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("key", "ascending"), ("data_block", "ascending"), ("probe_block", "ascending")])
         key, data_block, probe_block, ids, labels, probe, stored = (table[c].to_numpy() for c in ("key", "data_block", "probe_block", "row_id", "label", "probe", "stored"))
-        points = _points(table["counts"])
+        points, least = _points(table["counts"]), _padded(table["least"])
         new = (key[1:] != key[:-1]) | (data_block[1:] != data_block[:-1]) | (probe_block[1:] != probe_block[:-1])
         edges = np.concatenate(([0], np.flatnonzero(new) + 1, [len(key)]))
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -257,6 +277,7 @@ def _compare(similarity: Fraction):
                 who, where = RTree(points[data]).search_all(points[probes], similarity)
                 x, y = probes[who], data[where]
                 apart = labels[x] != labels[y]
+                apart[apart] = ~_seen_before(least, x[apart], y[apart], key[start])
                 found.append((np.maximum(ids[x], ids[y])[apart], np.minimum(ids[x], ids[y])[apart]))
         pairs = np.unique(np.concatenate([np.stack(p, axis=1) for p in found]), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
@@ -368,9 +389,13 @@ def _rest(met: DataFrame, labels: DataFrame, profiles: DataFrame, similarity: Fr
     rows = join_groups(rows, mixed, ["key"], "n_key", "inner")
     blocks = (F.col("n_key") / BLOCK).cast("int") + 1
     block = lambda salt: F.pmod(F.xxhash64("row_id", F.lit(salt)), blocks).cast("int")
-    rows = materialise(rows.join(profiles.select("row_id", "counts"), "row_id").withColumns({"blocks": blocks, "probe": F.col("label") != F.col("main"), "own": block(1)}), "mixed_rows")
+    # A document's keys together, so that its vector is sent once; their number is bounded by its size.
+    held = rows.groupBy("row_id", "label").agg(F.collect_list(F.struct("key", "n_key", "main")).alias("held"))
+    held = held.withColumn("least", F.slice(F.sort_array(F.transform("held", lambda x: x["key"])), 1, LEAST))
+    rows = held.join(profiles.select("row_id", "counts"), "row_id").select("row_id", "label", "counts", "least", F.inline("held"))
+    rows = materialise(rows.withColumns({"blocks": blocks, "probe": F.col("label") != F.col("main"), "own": block(1)}), "mixed_rows")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cols = ["key", "row_id", "label", "counts", "blocks"]
+    cols = ["key", "row_id", "label", "counts", "least", "blocks"]
     one = F.lit(0).alias("data_block"), F.lit(0).alias("probe_block")
     alone = rows.where("blocks = 1").select(*cols, "probe", F.lit(True).alias("stored"), *one)
     many = rows.where("blocks > 1")
