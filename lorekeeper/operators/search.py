@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -9,6 +15,8 @@ from pyspark.sql.utils import AnalysisException
 from ..functions.similarity import cosine, store_score
 
 RRF_K = 60
+#: Queries that go to the tasks at a time, and rows that are scored against them at a time.
+QUERY_BLOCK, ROW_BLOCK = 1000, 2000
 
 
 def vector_search(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, id_col: str = "id") -> DataFrame:
@@ -23,6 +31,59 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, where: Column
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
+def _units(vectors: pa.Array) -> np.ndarray:
+    """Rows of unit length, zero where a vector is null, empty or zero."""
+    lists = vectors.to_pylist()
+    width = max((len(v) for v in lists if v), default=0)
+    rows = np.zeros((len(lists), width))
+    for i, v in enumerate(lists):
+        if v and len(v) == width:
+            rows[i] = v
+    size = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+
+
+def _best_of_block(points: np.ndarray, names: list, k: int, id_col: str):
+    """Arrow batches of id and vector to the ``k`` best rows that the task has for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, ids = np.zeros((0, len(names))), np.zeros((0, len(names)), dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(at, ROW_BLOCK)
+                rows = _units(part.column("embedding"))
+                cosines = rows @ points.T if rows.shape[1] == points.shape[1] else np.zeros((len(rows), len(points)))
+                own = np.repeat(part.column(id_col).to_numpy()[:, None], len(names), axis=1)
+                scores, ids = np.vstack([scores, np.round((1 + cosines) / 2, 9)]), np.vstack([ids, own])
+                order = np.lexsort((ids, -scores), axis=0)[:k]
+                scores, ids = np.take_along_axis(scores, order, 0), np.take_along_axis(ids, order, 0)
+        query = pa.array(np.tile(np.array(names, dtype=np.int64), len(ids)))
+        yield pa.RecordBatch.from_arrays([query, pa.array(ids.ravel()), pa.array(scores.ravel())], ["query_id", id_col, "score"])
+
+    return run
+
+
+def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, id_col: str = "id") -> DataFrame:
+    """For each row of ``queries(query_id, embedding)`` its ``k`` nearest vectors, with their index scores.
+
+    Queries go to the tasks in blocks of about ``QUERY_BLOCK``; a task multiplies its rows
+    with a block and keeps its own best ``k`` of each query, so that a shuffle takes at
+    most ``k`` rows a task and query, whatever the size of the table.  Exact; ids are
+    integers and ties go to the smaller one.
+    """
+    rows = (vectors if where is None else vectors.where(where)).select(F.col(id_col).cast("long").alias(id_col), "embedding")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    parts = []
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        run = _best_of_block(_units(block.column("embedding").combine_chunks()), block.column("query_id").to_pylist(), k, id_col)
+        parts.append(rows.mapInArrow(run, f"query_id long, `{id_col}` long, score double"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    ranked_rows = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best) - 1)
+    return ranked_rows.where(F.col("rank") < k)
+
+
 def nearest_in_block(left: DataFrame, right: DataFrame, block: list[str], k: int, id_col: str = "id") -> DataFrame:
     """For each row of ``left`` its ``k`` nearest rows of ``right`` in the same block.
 
@@ -49,7 +110,7 @@ def text_search(docs: DataFrame, query: str, k: int, id_col: str = "id", text_co
     Only the terms of the query are counted in each row, so no index of all terms is
     built; document frequencies and the mean length are one aggregate.
     """
-    words = sorted({w for w in query.lower().split() if len(w) >= 2})
+    words = sorted({w for w in re.split(r"[\W_]+", query.lower()) if len(w) >= 2})
     held = docs.select(id_col, terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
 
     def count(word: str) -> Column:

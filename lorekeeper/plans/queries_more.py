@@ -103,11 +103,14 @@ def j14_as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("as_of", F.last(F.when(signup, F.col("value")), ignorenulls=True).over(w)).where(~signup).select("event_id", "as_of")
 
 
-@query("SELECT 'n' AS a UNION ALL SELECT c FROM (VALUES ('n'), ('x')) v(c) WHERE c = 'x' UNION ALL SELECT 'y'")
+@query("""SELECT 't' || c_custkey AS a FROM customer WHERE c_custkey = 42
+UNION SELECT 't' || CASE WHEN c_custkey // 2 = 42 THEN c_custkey ELSE c_custkey // 2 END FROM customer WHERE c_custkey // 2 = 42 OR c_custkey = 42""")
 def g6_same_as_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A node and all nodes one same_as edge away."""
-    edges = spark.createDataFrame([("1", "n", "x", "same_as"), ("2", "y", "n", "same_as"), ("3", "y", "z", "same_as"), ("4", "n", "q", "has")], "id string, source_node_id string, target_node_id string, type string")
-    return traversal.same_as_cluster(edges, "n").select(F.col("id").alias("a"))
+    """A customer and all customers one same_as edge away, each customer being linked to that of half its key."""
+    name = lambda c: F.concat(F.lit("t"), c.cast("long").cast("string"))
+    k = F.col("c_custkey")
+    edges = G.table(spark, sf_dir, "customer").select(k.cast("string").alias("id"), name(k).alias("source_node_id"), name(F.floor(k / 2)).alias("target_node_id"), F.lit("same_as").alias("type"))
+    return traversal.same_as_cluster(edges, "t42").select(F.col("id").alias("a"))
 
 
 @query("SELECT c_custkey AS id FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 15")
@@ -138,11 +141,12 @@ def d9_preference_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(T.slugify(F.concat(F.lit("User "), "user_id", F.lit(" prefers: "), "event_type", F.lit("!"))).alias("name"))
 
 
-@query("SELECT source AS family, count(*) AS n, list_sort(list(doc_id)) AS ids FROM documents WHERE doc_id < 200 GROUP BY source")
+@query("SELECT source AS family, doc_id, count(*) OVER (PARTITION BY source) AS n FROM documents")
 def d41_platform_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources grouped by family."""
-    d = G.table(spark, sf_dir, "documents").where("doc_id < 200")
-    return d.groupBy(F.col("source").alias("family")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    """The family of every document, a row each, with the size of the family, counted before the join."""
+    d = G.table(spark, sf_dir, "documents").select(F.col("source").alias("family"), "doc_id")
+    sizes = d.groupBy(F.col("family").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    return d.join(sizes, F.col("family").eqNullSafe(F.col("of"))).select("family", "doc_id", "n")
 
 
 @query("SELECT doc_id AS video_id, CASE WHEN doc_id % 2 = 0 THEN 'E' || doc_id % 5 || ': failed' END AS ingest_error, CASE WHEN doc_id % 2 = 1 THEN source END AS content FROM documents")
@@ -185,13 +189,15 @@ def xj_tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.coalesce(F.from_json(raw, "k long")["k"], F.lit(-1)).alias("k"))
 
 
-@query("SELECT doc_id, source, 'missing_type' AS reason FROM documents WHERE doc_id % 50 = 0")
+@query("SELECT conv_id, turn, role AS type, count(*) AS n FROM conversations GROUP BY ALL")
 def s20_audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rejections appended to an audit table and read back."""
+    """Turns emitted as nodes of the type of their role, all rejected by the parser, appended to an audit table and read back."""
+    from ..operators.validation import parse_nodes
     from ..storage import materialise
 
-    rows = G.table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select("doc_id", "source", F.lit("missing_type").alias("reason"))
-    return materialise(rows, "audit")
+    emitted = G.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("name"), F.col("role").alias("type"), F.lit(None).cast("string").alias("subtype"), F.lit(None).cast("map<string,string>").alias("properties"))
+    rejected = materialise(parse_nodes(emitted).where(F.col("reason").isNotNull()), "audit")
+    return rejected.groupBy("conv_id", "turn", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT label, count(*) AS n, round(avg(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))), 6) AS mean FROM embeddings GROUP BY label")

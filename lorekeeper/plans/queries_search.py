@@ -30,16 +30,26 @@ def _point(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(_vectors(spark, sf_dir).where("vec_id = 0").select("embedding").first()[0])
 
 
-@query(f"SELECT vec_id, round((1 + {_COS}) / 2, 9) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+#: The query set of searches: every row whose id is divisible by 100, against all rows.
+_ALL_COS = """SELECT q.vec_id AS query_id, e.vec_id, e.label, round((1 + list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2, 9) AS score
+FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0"""
+_BEST = "SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM (%s)) WHERE r <= %d"
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(_BEST % (_ALL_COS, 10))
 def v1_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors."""
-    return search.vector_search(_vectors(spark, sf_dir), _point(spark, sf_dir), 10, id_col="vec_id").select("vec_id", "score")
+    """The ten nearest vectors of every query."""
+    return search.vector_search_all(_vectors(spark, sf_dir), _queries(spark, sf_dir), 10, id_col="vec_id").select("query_id", "vec_id", "score")
 
 
-@query(f"SELECT vec_id, round((1 + {_COS}) / 2, 9) AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, vec_id LIMIT 5")
+@query(_BEST % (_ALL_COS + " AND e.label = 3", 5))
 def v2_filtered_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest vectors of a type, the filter first."""
-    return search.vector_search(_vectors(spark, sf_dir), _point(spark, sf_dir), 5, F.col("label") == 3, "vec_id").select("vec_id", "score")
+    """The five nearest vectors of a type for every query, the filter first."""
+    return search.vector_search_all(_vectors(spark, sf_dir), _queries(spark, sf_dir), 5, F.col("label") == 3, "vec_id").select("query_id", "vec_id", "score")
 
 
 @query(f"SELECT vec_id, round(greatest(0, least(1, {_COS})), 9) AS sim, round(greatest(-1, least(1, 2 * ((1 + {_COS}) / 2) - 1)), 9) AS raw FROM embeddings")
