@@ -14,6 +14,7 @@ def graph_lookup(edges: DataFrame, seeds: DataFrame, max_depth: int, direction:
     Each step joins the new frontier with the edges once; nodes seen before are left
     out by an anti join, so a cycle ends.  Each step is written to the shared folder, so
     that later ones do not walk again.  Depth is bounded by ``max_depth``.
+    ``seeds`` and ``edges`` are read at each step, so they should be tables, not long plans.
     """
     near, far = ("source_node_id", "target_node_id") if direction == "down" else ("target_node_id", "source_node_id")
     frontier = seen = seeds.select(F.col("id").alias("at")).distinct()
@@ -21,13 +22,15 @@ def graph_lookup(edges: DataFrame, seeds: DataFrame, max_depth: int, direction:
     for depth in range(max_depth + 1):
         step = materialise(edges.join(frontier, F.col(near) == F.col("at"), "left_semi").withColumn("depth", F.lit(depth)), "walk")
         found = step if found is None else found.unionByName(step)
-        frontier = step.select(F.col(far).alias("at")).distinct().join(seen, "at", "left_anti")
-        seen = seen.union(frontier)
+        if depth < max_depth:
+            frontier = materialise(step.select(F.col(far).alias("at")).distinct().join(seen, "at", "left_anti"), "frontier")
+            seen = seen.union(frontier)
     return found.groupBy(*edges.columns).agg(F.min("depth").alias("depth"))
 
 
 def expand_graph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges within ``max_hops`` of the seeds, walking all edges down and all up, not turning."""
+    seeds = materialise(seeds.select("id").distinct(), "seeds")
     walks = [graph_lookup(edges, seeds, max_hops - 1, d).drop("depth") for d in ("down", "up")]
     reached = materialise(walks[0].unionByName(walks[1]).dropDuplicates(["id"]), "reached")
     ids = reached.select(F.explode(F.array("source_node_id", "target_node_id")).alias("id")).union(seeds.select("id")).distinct()

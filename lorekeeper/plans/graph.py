@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import edge_id, node_id
+from ..storage import materialise
 
 CHUNK_WORDS, CHUNK_OVERLAP = 512, 64
 
@@ -177,3 +178,8 @@ WITH words AS (
   FROM events GROUP BY ALL
 )
 """
+
+
+def walkable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a walk reads of the edges, derived once: each step scans this table, not the joins behind it."""
+    return materialise(edges(spark, sf_dir).select("id", "source_node_id", "target_node_id", "type"), "edges")

@@ -176,14 +176,14 @@ walk AS (SELECT * FROM d0 UNION SELECT * FROM d1 UNION SELECT * FROM u0 UNION SE
 def j5_expand_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges within two hops of a node, walked down and up."""
     seeds = spark.createDataFrame([(_SEED,)], "id string")
-    return traversal.expand_graph(G.nodes(spark, sf_dir), G.edges(spark, sf_dir), seeds, 2)[1].select("id", "source_node_id", "target_node_id")
+    return traversal.expand_graph(G.nodes(spark, sf_dir), G.walkable_edges(spark, sf_dir), seeds, 2)[1].select("id", "source_node_id", "target_node_id")
 
 
 @query(_WALK + f"SELECT id, type FROM nodes WHERE id IN (SELECT source_node_id FROM walk UNION SELECT target_node_id FROM walk UNION SELECT '{_SEED}')")
 def j5_expand_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes within two hops of a node."""
     seeds = spark.createDataFrame([(_SEED,)], "id string")
-    return traversal.expand_graph(G.nodes(spark, sf_dir), G.edges(spark, sf_dir), seeds, 2)[0].select("id", "type")
+    return traversal.expand_graph(G.nodes(spark, sf_dir), G.walkable_edges(spark, sf_dir), seeds, 2)[0].select("id", "type")
 
 
 @query(KG + f""", links AS (SELECT source_node_id AS a, target_node_id AS b FROM edges WHERE type = 'related_to' UNION ALL SELECT target_node_id, source_node_id FROM edges WHERE type = 'related_to'),
@@ -191,7 +191,7 @@ h1 AS (SELECT DISTINCT b AS id FROM links WHERE a = '{_SEED}' AND b <> '{_SEED}'
 SELECT id, 1 AS hops FROM h1 UNION ALL SELECT id, 2 FROM h2""")
 def j6_find_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes within two hops over edges taken either way."""
-    return traversal.find_neighbors(G.edges(spark, sf_dir), _SEED, 2, ["related_to"])
+    return traversal.find_neighbors(G.walkable_edges(spark, sf_dir), _SEED, 2, ["related_to"])
 
 
 @query(KG + ", kept AS (SELECT * FROM nodes WHERE type <> 'location') SELECT DISTINCT x.id, 'unknown' AS type FROM (SELECT source_node_id AS id FROM edges UNION SELECT target_node_id FROM edges) x WHERE x.id NOT IN (SELECT id FROM kept)")

@@ -104,7 +104,7 @@ SELECT id, source_node_id FROM edges WHERE source_node_id IN (SELECT id FROM see
 def h3_search_and_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges one hop around the documents that a search finds."""
     seeds = _text_hits(spark, sf_dir).select(T.node_id(G.tenant(F.col("doc_id")), F.lit("document"), F.concat(F.lit("doc://"), "doc_id")).alias("id"))
-    return traversal.expand_graph(G.nodes(spark, sf_dir), G.edges(spark, sf_dir), seeds, 1)[1].select("id", "source_node_id")
+    return traversal.expand_graph(G.nodes(spark, sf_dir), G.walkable_edges(spark, sf_dir), seeds, 1)[1].select("id", "source_node_id")
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import os
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,3 +311,24 @@ def test_video_sources(spark):
     assert [r.video_id for r in documents.video_metadata(feed).collect()] == ["abcdefghijk"]
     assert documents.embed_metadata(spark.createDataFrame([("v", '{"title": "T"'), ("w", '{"title": "T", "author_name": "A"}')], "video_id string, body string")).where("channel = 'A'").count() == 1
     assert documents.source_rows(spark, [{"uri": "u", "max": 3}]).first().options == {"max": "3"}
+
+
+def test_search_for_many_queries_is_the_search_for_each(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-2, 3, 5).astype(float).tolist()) for i in range(300)] + [(300, None), (301, []), (302, [0.0] * 5)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(4)
+    queries = vectors.where("id % 100 = 0 and id < 300").withColumnRenamed("id", "query_id")
+    got = {}
+    for r in search.vector_search_all(vectors, queries, 7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
+    assert set(got) == {0, 100, 200}
+    for q, found in got.items():
+        want = [(r.id, r.score) for r in search.vector_search(vectors, rows[q][1], 7).collect()]
+        assert [(i, s) for _, i, s in sorted(found)] == want
+    assert search.vector_search_all(vectors.where("false"), queries, 7).count() == 0
+    assert search.vector_search_all(vectors, queries.where("false"), 7).count() == 0
+
+
+def test_queries_are_cut_as_texts_are(spark):
+    docs = spark.createDataFrame([(1, "a knowledge graph memory"), (2, "nothing here")], "id long, text string")
+    assert [r.id for r in search.text_search(docs, "Knowledge-graph?", 5).collect()] == [1]
