@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 VIDEO_HOSTS = ("youtube.com", "m.youtube.com", "music.youtube.com")
-SEARCH_HOSTS = ("google.com", "googleusercontent.com", "gstatic.com", "youtube.com")
+SEARCH_HOSTS = ("google.com", "googleusercontent.com", "gstatic.com")
+REDIRECTS = ("youtube.com/redirect",)
 
 
 def host(url: Column) -> Column:
@@ -66,6 +67,8 @@ def is_organic(url: Column) -> Column:
     own = F.lit(False)
     for x in SEARCH_HOSTS:
         own = own | (h == x) | F.endswith(h, F.lit("." + x))
+    for x in REDIRECTS:
+        own = own | F.startswith(F.concat(h, path(url)), F.lit(x))
     return F.coalesce(~own, F.lit(False))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_similarity
-from ..functions.text import capped_union, edge_id, merge_maps, per_key_merge
+from ..functions.text import capped_union, edge_id, merge_maps, normalize_name, per_key_merge
 from .search import nearest_in_block
 
 MAX_ALIASES, MAX_SOURCES = 50, 500
@@ -31,9 +31,9 @@ class DedupConfig:
 
 
 def surfaces(prefix: str = "") -> Column:
-    """The distinct names by which a node is known, in lower case."""
+    """The distinct names by which a node is known, normalised."""
     names = F.concat(F.array(F.col(prefix + "name"), F.col(prefix + "canonical_name")), F.coalesce(F.col(prefix + "aliases"), F.array().cast("array<string>")))
-    return F.array_distinct(F.transform(F.filter(names, lambda x: x.isNotNull() & (x != "")), lambda x: F.lower(x)))
+    return F.array_distinct(F.transform(F.filter(names, lambda x: x.isNotNull() & (x != "")), normalize_name))
 
 
 def rejected_pairs(same_as: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def decide(drivers: DataFrame, nodes: DataFrame, same_as: DataFrame | None = Non
     near = nearest_in_block(drivers, pool, ["user_id", "type"], config.candidates + config.filter_first)
     near = near.where(F.col("left_id") != F.col("right_id"))
     near = near.join(alive.select(F.col("id").alias("right_id"), surfaces().alias("surfaces")), "right_id")
-    near = near.join(drivers.select(F.col("id").alias("left_id"), F.lower("name").alias("left_name")), "left_id")
+    near = near.join(drivers.select(F.col("id").alias("left_id"), normalize_name(F.col("name")).alias("left_name")), "left_id")
     if same_as is not None:
         near = ordered_pairs(near, "left_id", "right_id").join(rejected_pairs(same_as), ["low_id", "high_id"], "left_anti").drop("low_id", "high_id")
     semantic = F.col("score")

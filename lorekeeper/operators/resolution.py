@@ -64,8 +64,10 @@ def resolve(mentions: DataFrame, candidates: DataFrame, semantic: bool = False,
     The first stage that matches decides; in it the best score, then the
     candidate with the smallest id.
     """
-    found = [alias_matches(mentions, candidates), exact_matches(mentions, candidates), fuzzy_matches(mentions, candidates, fuzzy)]
-    found += [semantic_matches(mentions, candidates, near)] if semantic else []
+    found = [alias_matches(mentions, candidates), exact_matches(mentions, candidates)]
+    # Only what equality leaves over is compared name by name.
+    rest = mentions.join(found[0].unionByName(found[1]).select("mention_id"), "mention_id", "left_anti")
+    found += [fuzzy_matches(rest, candidates, fuzzy)] + ([semantic_matches(rest, candidates, near)] if semantic else [])
     best = reduce(DataFrame.unionByName, found).groupBy("mention_id").agg(F.min(F.struct("stage", (-F.col("score")).alias("score"), "matched_id")).alias("best"))
     names = F.array(*[F.lit(s) for s in STAGES])
     out = mentions.select("mention_id").join(best, "mention_id", "left")
