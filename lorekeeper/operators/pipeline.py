@@ -8,14 +8,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .search import vector_search
-from .traversal import graph_lookup
+from .traversal import graph_lookup, graph_lookup_each
 
 #: Rows that a pipeline returns at most, and hops that a lookup goes.
 MAX_RESULTS, MAX_DEPTH = 100, 5
+_PLACE = "__place"
 
 
 class PipelineError(ValueError):
@@ -30,6 +32,8 @@ def field(path: str) -> Column:
 
 def expression(e) -> Column:
     """A computed value: ``$field``, a literal, or one operator with its arguments."""
+    if e == "$$ROOT":
+        return F.struct("*")
     if isinstance(e, str) and e.startswith("$"):
         return field(e[1:])
     if not isinstance(e, dict):
@@ -75,21 +79,25 @@ _OPERATORS: dict[str, Callable[..., Column]] = {
 }
 
 
-def predicate(query: dict) -> Column:
-    """A filter; null and missing are one, so ``{field: None}`` matches both."""
+def predicate(query: dict, columns: list[str] | None = None) -> Column:
+    """A filter; null and missing are one, so ``{field: None}`` matches both.
+
+    With ``columns`` a field that is none of them is null.
+    """
+    value = lambda k: field(k) if columns is None or k.split(".")[0] in columns else F.lit(None)
     tests = []
     for key, want in query.items():
         if key in ("$and", "$or", "$nor"):
-            each = [predicate(q) for q in want]
+            each = [predicate(q, columns) for q in want]
             tests.append(reduce(Column.__and__, each) if key == "$and" else reduce(Column.__or__, each) if key == "$or" else ~reduce(Column.__or__, each))
         elif key == "$expr":
             tests.append(expression(want))
         elif key.startswith("$"):
             raise PipelineError(f"unknown operator {key}")
         elif isinstance(want, dict) and any(k.startswith("$") for k in want):
-            tests += [_test(field(key), op, v) for op, v in want.items()]
+            tests += [_test(value(key), op, v) for op, v in want.items()]
         else:
-            tests.append(field(key).eqNullSafe(F.lit(want)))
+            tests.append(value(key).eqNullSafe(F.lit(want)))
     return reduce(Column.__and__, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(True))
 
 
@@ -117,7 +125,13 @@ def _test(c: Column, op: str, v) -> Column:
 
 
 def _match(df: DataFrame, a: dict, _) -> DataFrame:
-    return df.where(predicate(a))
+    return df.where(predicate(a, df.columns))
+
+
+def _sort(df: DataFrame, a: dict, context: dict) -> DataFrame:
+    """Ordered rows; a later ``$group`` takes its first and last rows in this order."""
+    context["order"] = _order(a)
+    return df.orderBy(*context["order"])
 
 
 def _project(df: DataFrame, a: dict, _) -> DataFrame:
@@ -138,24 +152,34 @@ def _order(a: dict) -> list[Column]:
     return [field(k).asc_nulls_first() if v > 0 else field(k).desc_nulls_last() for k, v in a.items()]
 
 
-def _group(df: DataFrame, a: dict, _) -> DataFrame:
+def _group(df: DataFrame, a: dict, context: dict) -> DataFrame:
+    """Accumulators by key.  ``$first`` and ``$last`` of a value take the order of the ``$sort`` before, by a window within each key."""
     key = a["_id"]
+    order = context.pop("order", None)
+    placed = order is not None and any(k in ("$first", "$last") and not isinstance(x, list) for v in a.values() if isinstance(v, dict) for k, x in v.items())
     if isinstance(key, dict) and not any(k.startswith("$") for k in key):
         keys = [expression(v).alias(k) for k, v in key.items()]
     else:
         keys = [] if key is None else [expression(key).alias("_id")]
-    aggs = [_accumulator(v).alias(k) for k, v in a.items() if k != "_id"]
+    if placed:
+        # Values that the accumulators name are read as they were, so the place is a column beside them.
+        df = df.withColumn(_PLACE, F.row_number().over(Window.partitionBy(*([F.lit(0)] if key is None else keys)).orderBy(*order)))
+    aggs = [_accumulator(v, placed).alias(k) for k, v in a.items() if k != "_id"]
     return (df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()) if keys else df.agg(*aggs)
 
 
-def _accumulator(spec: dict) -> Column:
+def _accumulator(spec: dict, placed: bool = False) -> Column:
     (op, arg), = spec.items()
+    if op == "$push" and arg == "$$ROOT":
+        return F.collect_list(expression(arg))
+    if placed and op in ("$first", "$last") and not isinstance(arg, list):
+        return (F.min_by if op == "$first" else F.max_by)(expression(arg), F.col(_PLACE))
     if op == "$count":
         return F.count(F.lit(1))
     if op in ("$first", "$last"):
         value, by = arg if isinstance(arg, list) else (arg, None)
         if by is None:
-            raise PipelineError(f"{op} needs [value, order]: rows of a table have no order of their own")
+            raise PipelineError(f"{op} needs a $sort before, or [value, order]: rows of a table have no order of their own")
         return (F.min_by if op == "$first" else F.max_by)(expression(value), expression(by))
     c = expression(arg)
     found = {"$sum": F.sum, "$avg": F.avg, "$min": F.min, "$max": F.max, "$push": lambda x: F.array_sort(F.collect_list(x)), "$addToSet": lambda x: F.array_sort(F.collect_set(x))}
@@ -197,7 +221,16 @@ def _bucket_auto(df: DataFrame, a: dict, _) -> DataFrame:
     to_here = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = counts.withColumn("upto", F.sum("n").over(to_here)).withColumn("total", F.sum("n").over(Window.partitionBy()))
     bucket = F.floor((F.col("upto") - F.col("n")) * n / F.col("total")).cast("long")
-    return placed.groupBy(bucket.alias("bucket")).agg(F.min("value").alias("min"), F.max("value").alias("max"), F.sum("n").alias("count"))
+    placed = placed.withColumn("bucket", bucket)
+    bounds = placed.groupBy("bucket").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.sum("n").alias("count"))
+    if "output" not in a:
+        return bounds
+    # Rows find their bucket by its bounds' values, of which there are as many as distinct values.
+    rows = df.join(placed.select(F.col("value").alias("__value"), F.col("bucket").alias("__bucket")), expression(a["groupBy"]).eqNullSafe(F.col("__value"))).drop("__value")
+    inner = [c for c in rows.columns if c != "__bucket"]
+    root = lambda v: F.collect_list(F.struct(*inner)) if v == {"$push": "$$ROOT"} else _accumulator(v)
+    out = rows.groupBy(F.col("__bucket").alias("bucket")).agg(*[root(v).alias(k) for k, v in a["output"].items()])
+    return bounds.drop("count").join(out, "bucket")
 
 
 def _redact(df: DataFrame, a: dict, _) -> DataFrame:
@@ -220,8 +253,15 @@ def _redact(df: DataFrame, a: dict, _) -> DataFrame:
 def _graph_lookup(df: DataFrame, a: dict, context: dict) -> DataFrame:
     depth = min(int(a.get("maxDepth", 0)), MAX_DEPTH)
     edges = context["edges"] if "restrictSearchWithMatch" not in a else context["edges"].where(predicate(a["restrictSearchWithMatch"]))
-    seeds = df.select(expression(a["startWith"]).alias("id"))
-    return graph_lookup(edges, seeds, depth, "down" if a.get("connectFromField", "target_node_id") == "target_node_id" else "up")
+    direction = "down" if a.get("connectFromField", "target_node_id") == "target_node_id" else "up"
+    start = expression(a["startWith"])
+    if "as" not in a:
+        return graph_lookup(edges, df.select(start.alias("id")), depth, direction)
+    reached = graph_lookup_each(edges, df.select(start.alias("id")), depth, direction)
+    met = reached.groupBy("root").agg(F.collect_list(F.struct(*edges.columns, F.col("depth").alias(a.get("depthField", "depth")))).alias("__met"))
+    empty = F.array().cast(met.schema["__met"].dataType)
+    out = df.join(met, start.eqNullSafe(F.col("root")), "left").drop("root")
+    return out.withColumn(a["as"], F.coalesce("__met", empty)).drop("__met")
 
 
 def _vector(df: DataFrame, a: dict, context: dict) -> DataFrame:
@@ -233,7 +273,7 @@ STAGES: dict[str, Callable[[DataFrame, object, dict], DataFrame]] = {
     "$vectorSearch": _vector,
     "$match": _match,
     "$project": _project,
-    "$sort": lambda df, a, _: df.orderBy(*_order(a)),
+    "$sort": _sort,
     "$limit": lambda df, a, _: df.limit(int(a)),
     "$skip": lambda df, a, _: df.offset(int(a)),
     "$count": lambda df, a, _: df.agg(F.count(F.lit(1)).alias(a)).where(F.col(a) > 0),
@@ -278,7 +318,7 @@ def for_tenant(stages: list[dict], user_id: str) -> list[dict]:
     out = []
     for i, stage in enumerate(stages):
         (name, a), = stage.items()
-        if name == "$match" and i == 0:
+        if name == "$match" and (i == 0 or "user_id" in a):
             a = {**{k: v for k, v in a.items() if k != "user_id"}, **mine}
         elif name == "$vectorSearch":
             a = {**a, "filter": {**a.get("filter", {}), **mine}}
@@ -300,22 +340,23 @@ def with_embedding(stages: list[dict], embed: Callable[[str], list[float]]) -> l
 
 
 def run_pipeline(df: DataFrame, stages: list[dict], user_id: str | None = None, max_results: int | None = MAX_RESULTS, **context) -> DataFrame:
-    """Apply validated stages in turn."""
+    """Apply validated stages in turn.  A validated pipeline never returns the column ``embedding``."""
+    validated = max_results is not None
     stages = validate(stages, max_results) if max_results is not None else stages
     stages = for_tenant(stages, user_id) if user_id is not None else stages
     for stage in stages:
         (name, a), = stage.items()
         df = STAGES[name](df, a, context)
-    return df
+    return df.drop("embedding") if validated else df
 
 
 def ask(question: str, translate: Callable[[str, str | None], list[dict]], execute: Callable[[list[dict]], DataFrame], max_retries: int = 2) -> DataFrame:
-    """Translate a question and run it; an error is told to the translator, which may try again."""
+    """Translate a question and run it; an error in the stages is told to the translator, which may try again."""
     problem = None
     for attempt in range(max_retries + 1):
         try:
             return execute(translate(question, problem))
-        except Exception as e:
+        except (PySparkException, LookupError, TypeError, ValueError) as e:
             problem = str(e)
             if attempt == max_retries:
                 raise

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
@@ -28,6 +28,22 @@ def graph_lookup(edges: DataFrame, seeds: DataFrame, max_depth: int, direction:
     return found.groupBy(*edges.columns).agg(F.min("depth").alias("depth"))
 
 
+def graph_lookup_each(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "down") -> DataFrame:
+    """As ``graph_lookup`` for each seed alone: edges with ``root``, the seed, and the least depth from it."""
+    near, far = ("source_node_id", "target_node_id") if direction == "down" else ("target_node_id", "source_node_id")
+    frontier = seen = materialise(seeds.where("id is not null").select(F.col("id").alias("root"), F.col("id").alias("at")).distinct(), "roots")
+    found = None
+    for depth in range(max_depth + 1):
+        step = edges.join(frontier, F.col(near) == F.col("at")).select("root", *edges.columns, F.lit(depth).alias("depth"))
+        step = materialise(step, "walk_each")
+        found = step if found is None else found.unionByName(step)
+        if depth < max_depth:
+            frontier = materialise(step.select("root", F.col(far).alias("at")).distinct().join(seen, ["root", "at"], "left_anti"), "frontier_each")
+            seen = seen.union(frontier)
+    first = F.row_number().over(Window.partitionBy("root", "id").orderBy("depth"))
+    return found.withColumn("__n", first).where("__n = 1").drop("__n")
+
+
 def expand_graph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int = 1) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges within ``max_hops`` of the seeds, walking all edges down and all up, not turning."""
     seeds = materialise(seeds.select("id").distinct(), "seeds")

@@ -151,6 +151,14 @@ def a8_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_pipeline(_customers(spark, sf_dir), [{"$group": group}], None, None).withColumn("total", F.round("total", 2))
 
 
+@query("SELECT c_mktsegment AS _id, arg_max(c_name, (c_acctbal, -c_custkey)) AS richest, arg_min(c_name, (c_acctbal, -c_custkey)) AS poorest, list_sort(list(c_custkey)) AS keys FROM customer GROUP BY 1")
+def a8_sorted_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last of sorted rows, and whole rows pushed."""
+    group = {"_id": "$c_mktsegment", "richest": {"$first": "$c_name"}, "poorest": {"$last": "$c_name"}, "rows": {"$push": "$$ROOT"}}
+    rows = run_pipeline(_customers(spark, sf_dir), [{"$sort": {"c_acctbal": -1, "c_custkey": 1}}, {"$group": group}], None, None)
+    return rows.select("_id", "richest", "poorest", F.array_sort(F.transform("rows", lambda x: x["c_custkey"])).alias("keys"))
+
+
 @query("SELECT doc_id, i - 1 AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(source, 'r') AS w FROM documents))")
 def a9_unwind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of an array with their places."""
@@ -178,6 +186,30 @@ def a12_bucket_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_pipeline(G.table(spark, sf_dir, "part"), [{"$bucketAuto": {"groupBy": "$p_size", "buckets": 5}}], None, None)
 
 
+@query("""WITH c AS (SELECT p_size AS value, count(*) AS n FROM part GROUP BY 1), p AS (SELECT *, sum(n) OVER (ORDER BY value) AS upto, sum(n) OVER () AS total FROM c),
+b AS (SELECT value, floor((upto - n) * 5 / total)::BIGINT AS bucket FROM p)
+SELECT bucket, min(value) AS min, max(value) AS max, max(p_retailprice) AS dearest, list_sort(list(p_partkey)) AS keys FROM b JOIN part ON p_size = value GROUP BY 1""")
+def a12_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five buckets with accumulators of their own."""
+    output = {"dearest": {"$max": "$p_retailprice"}, "rows": {"$push": "$$ROOT"}}
+    rows = run_pipeline(G.table(spark, sf_dir, "part"), [{"$bucketAuto": {"groupBy": "$p_size", "buckets": 5, "output": output}}], None, None)
+    return rows.select("bucket", "min", "max", "dearest", F.array_sort(F.transform("rows", lambda x: x["p_partkey"])).alias("keys"))
+
+
+@query("SELECT CASE WHEN p_size < 10 THEN '1' WHEN p_size < 30 THEN '10' ELSE 'other' END AS _id, list_sort(list(p_partkey)) AS keys FROM part GROUP BY 1")
+def a11_bucket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rows pushed into half-open buckets."""
+    stage = {"$bucket": {"groupBy": "$p_size", "boundaries": [1, 10, 30], "default": "other", "output": {"rows": {"$push": "$$ROOT"}}}}
+    return run_pipeline(G.table(spark, sf_dir, "part"), [stage], None, None).select("_id", F.array_sort(F.transform("rows", lambda x: x["p_partkey"])).alias("keys"))
+
+
+@query("SELECT count(*) AS n FROM customer WHERE c_nationkey % 3 = 1 AND c_acctbal > 0")
+def a18_every_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenant that a later stage names is overwritten; fields that no row has are null."""
+    stages = [{"$match": {"nickname": None}}, {"$match": {"user_id": "t2", "c_acctbal": {"$gt": 0}}}, {"$count": "n"}]
+    return run_pipeline(_customers(spark, sf_dir), stages, "t1")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_acctbal >= 0")
 def a14_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that a condition keeps."""
@@ -194,6 +226,24 @@ def a15_graph_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_pipeline(G.nodes(spark, sf_dir), stages, None, None, edges=G.edges(spark, sf_dir)).select("id", F.col("depth").cast("int").alias("depth"))
 
 
+@query(KG + """, r AS (SELECT id FROM nodes WHERE type = 'person'),
+d0 AS (SELECT r.id AS root, e.id, e.target_node_id, 0 AS depth FROM r JOIN edges e ON e.source_node_id = r.id),
+d1 AS (SELECT d0.root, e.id, e.target_node_id, 1 AS depth FROM d0 JOIN edges e ON e.source_node_id = d0.target_node_id),
+m AS (SELECT root, id, min(depth) AS depth FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1) GROUP BY ALL)
+SELECT r.id, count(m.id) AS n, count(*) FILTER (WHERE m.depth = 0) AS direct FROM r LEFT JOIN m ON m.root = r.id GROUP BY r.id""")
+def a15_lookup_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each person reaches in two steps, as an array of its own."""
+    stages = [{"$match": {"type": "person"}}, {"$graphLookup": {"startWith": "$id", "connectFromField": "target_node_id", "connectToField": "source_node_id", "maxDepth": 1, "as": "met", "depthField": "level"}}]
+    rows = run_pipeline(G.nodes(spark, sf_dir), stages, None, None, edges=G.walkable_edges(spark, sf_dir))
+    return rows.select("id", F.size("met").cast("long").alias("n"), F.size(F.filter("met", lambda x: x["level"] == 0)).cast("long").alias("direct"))
+
+
+@query("SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 50")
+def p13_no_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline's rows come without their vectors."""
+    return run_pipeline(G.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), [{"$sort": {"vec_id": 1}}, {"$limit": 50}])
+
+
 @query(f"SELECT vec_id FROM embeddings WHERE label % 3 = 1 ORDER BY round((1 + {_COS}) / 2, 9) DESC, vec_id LIMIT 7")
 def a16_vector_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector stage within a tenant."""

@@ -79,6 +79,7 @@ def test_web_functions(spark):
     assert one(spark, web.html_text(F.lit("<p>a<br>b</p><script>x</script><div> c <b>d</b></div>"))) == "a\nb\nc d"
     assert one(spark, web.meta(F.lit('<meta name="author" content="Ann">'), "author")) == "Ann"
     assert one(spark, web.is_organic(F.lit("https://maps.google.com/x"))) is False and one(spark, web.is_organic(F.lit("https://a.b"))) is True
+    assert one(spark, web.is_organic(F.lit("https://www.youtube.com/watch?v=abcdefghijk"))) is True and one(spark, web.is_organic(F.lit("https://www.youtube.com/redirect?q=x"))) is False
 
 
 def test_ontology(spark):
@@ -101,6 +102,27 @@ def test_chunks(spark):
         graph.chunks(docs, 4, 4)
 
 
+def test_first_needs_an_order(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    with pytest.raises(pipeline.PipelineError, match="sort"):
+        pipeline.run_pipeline(df, [{"$group": {"_id": None, "x": {"$first": "$name"}}}])
+    rows = pipeline.run_pipeline(df, [{"$sort": {"id": -1}}, {"$group": {"_id": None, "x": {"$first": "$name"}, "y": {"$last": "$name"}}}]).collect()
+    assert [(r.x, r.y) for r in rows] == [("b", "a")]
+    assert pipeline.run_pipeline(df, [{"$match": {"gone": None}}]).count() == 2 and pipeline.run_pipeline(df, [{"$match": {"gone": 1}}]).count() == 0
+
+
+def test_lookup_of_each_root_ends_on_a_cycle(spark):
+    edges = spark.createDataFrame([("e1", "a", "b"), ("e2", "b", "a"), ("e3", "b", "c")], "id string, source_node_id string, target_node_id string")
+    seeds = spark.createDataFrame([("a",), ("c",), (None,), ("a",)], "id string")
+    got = sorted((r.root, r.id, r.depth) for r in traversal.graph_lookup_each(edges, seeds, 4).collect())
+    assert got == [("a", "e1", 0), ("a", "e2", 1), ("a", "e3", 1)]
+
+
+def test_surfaces_are_normalised(spark):
+    df = spark.createDataFrame([(" Ada \t Lovelace", "ADA lovelace", ["Countess ", None, ""])], "name string, canonical_name string, aliases array<string>")
+    assert df.select(dedup.surfaces().alias("x")).first().x == ["ada lovelace", "countess"]
+
+
 def test_tenant_lock(spark):
     nodes = spark.createDataFrame([("a", "u1", "person", "x"), ("b", "u2", "person", "x")], "id string, user_id string, type string, name string")
     q = filters.GraphQuery("u1", nodes, nodes)
