@@ -16,8 +16,9 @@ COMMON_WORDS = {
 }
 LANGS = tuple(COMMON_WORDS)
 OTHER = "other"
-#: Patterns of character classes; what none of them matches is the last class.
-CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[^\x00-\x7F]", SPACE, r"[#*$%&|<>]", r"[.,;:!?]")
+#: Patterns of character classes that share no character; what none of them matches is the last class.
+SYMBOLS = r"[#*$%&|<>]"
+CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[^\x00-\x7F]", SPACE, SYMBOLS, r"[.,;:!?]")
 #: Documents whose distances to their language's reference reach these are dropped.
 MAX_CLASS_DISTANCE = 0.2
 MAX_WORD_DISTANCE = 0.3
@@ -26,26 +27,30 @@ MIN_CHARS = 200
 MIN_WORDS = 50
 
 
-def _repeated_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the array."""
+def _windows(words: Column) -> Column:
+    """The 3-word windows of an array as strings; words hold no spaces, so equal strings are equal windows."""
+    n = F.greatest(F.size(words) - 2, F.lit(0))
+    return F.arrays_zip(*[F.slice(words, i, n) for i in (1, 2, 3)]).cast("array<string>")
 
-    def of(w: Column) -> Column:
-        spots = F.sequence(F.lit(0), F.size(w) - 3)
-        grams = F.transform(spots, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")))
 
-        def count(s: Column) -> Column:
-            same = lambda x, k: F.get(s, k - 1)["g"].eqNullSafe(x["g"]) | F.get(s, k + 1)["g"].eqNullSafe(x["g"])
-            twice = F.filter(s, lambda x, k: same(x, k))
-            covered = F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
-            return F.size(F.array_distinct(covered))
+def _repeated_words(windows: Column) -> Column:
+    """Words inside windows that occur twice or more in the array.
+
+    Only texts with such a window take the part with lambdas, which are interpreted.
+    """
+
+    def count(grams: Column) -> Column:
+        marked = F.sort_array(F.transform(grams, lambda g, i: F.struct(F.xxhash64(g).alias("g"), i.alias("i"))))
 
-        def all_once(g: Column) -> Column:
-            once = F.size(F.array_distinct(F.transform(g, lambda x: x["g"]))) == F.size(g)
-            return F.when(once, F.lit(0)).otherwise(let(F.sort_array(g), count))
+        def covered(s: Column) -> Column:
+            same = lambda x, k: F.get(s, k - 1)["g"].eqNullSafe(x["g"]) | F.get(s, k + 1)["g"].eqNullSafe(x["g"])
+            spots = F.transform(F.filter(s, same), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
+            return F.size(F.array_distinct(F.flatten(spots)))
 
-        return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(grams, all_once))
+        return let(marked, covered)
 
-    return let(words, of).cast("long")
+    once = F.size(F.array_distinct(windows)) == F.size(windows)
+    return F.when(once, F.lit(0)).otherwise(count(windows)).cast("long")
 
 
 def _lang(lang: Column) -> Column:
@@ -56,28 +61,47 @@ def quality_features(docs: DataFrame) -> DataFrame:
     """doc_id, the language of reference, the base counts and two histograms of each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lang = _lang(F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(NOT_SPACE)))
-    common = F.element_at(F.create_map(*[y for k in LANGS for y in (F.lit(k), F.array(*[F.lit(w) for w in COMMON_WORDS[k]]))], F.lit(OTHER), F.array(F.lit(""))), lang)
     size = max(map(len, COMMON_WORDS.values()))
-
-    def histogram(ws: Column) -> Column:
-        spots = F.filter(F.transform(ws, lambda w: F.array_position(common, w)), lambda p: p > 0)
-        bins = let(spots, lambda s: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.size(F.filter(s, lambda p: p == k)).cast("long")))
-        return let(bins, lambda b: F.concat(b, F.array((F.size(ws) - F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x)).cast("long"))))
-
-    letters = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    counts = F.array(*[F.regexp_count(text, F.lit(c)).cast("long") for c in CLASSES])
-    return docs.select(
+    common = F.element_at(F.create_map(*[y for k in LANGS for y in (F.lit(k), F.array(*[F.lit(w) for w in COMMON_WORDS[k]]))], F.lit(OTHER), F.array(*[F.lit("")] * size)), lang)
+    # Each step names what the next one uses more than once, which keeps the steps apart in the plan.
+    cut = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         lang.alias("reference"),
         F.length(text).cast("long").alias("n_chars"),
-        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"), _repeated_words(w).alias("n_repeat_words"))).alias("w"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        counts.alias("classes"),
-        let(letters, histogram).alias("common"),
-    ).select("doc_id", "reference", "n_chars", "w.*", "n_symbols", "n_dup_lines", F.concat("classes", F.array(F.col("n_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x))).alias("classes"), "common")
+        F.regexp_replace(text, CLASSES[0] + "+", "").alias("rest"),
+        F.array_remove(F.split(text, SPACE + "+"), "").alias("words"),
+        F.split(text, "\n").alias("lines"),
+        F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "").alias("letters"),
+        common.alias("known"),
+    )
+    # The first class has been removed from ``rest`` and the others are apart from it.
+    classes = [F.col("n_chars") - F.length("rest"), *[F.regexp_count("rest", F.lit(c)) for c in CLASSES[1:]]]
+    # One pass over the letters for each common word; a loop over words of the text would be interpreted.
+    bins = F.transform("known", lambda w: (F.size("letters") - F.size(F.array_remove("letters", w))).cast("long"))
+    counted = cut.select(
+        "doc_id", "reference", "n_chars", "lines",
+        F.size("words").cast("long").alias("n_words"),
+        _windows(F.col("words")).alias("windows"),
+        F.size("letters").alias("n_letters"),
+        *[c.cast("long").alias(f"class{i}") for i, c in enumerate(classes)],
+        bins.alias("bins"),
+    )
+    full = F.filter("lines", lambda x: F.rlike(x, F.lit(NOT_SPACE)))
+    repeated_lines = F.when(F.size(F.array_distinct("lines")) == F.size("lines"), F.lit(0)).otherwise(let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))))
+
+    def whole(parts: list[Column], total: Column) -> Column:
+        """The counts, and what is left of the total."""
+        return F.array(*parts, total - sum(parts[1:], parts[0]))
+
+    return counted.select(
+        "doc_id", "reference", "n_chars", "n_words",
+        (F.col("n_chars") - F.col(f"class{CLASSES.index(SPACE)}")).alias("word_chars"),
+        _repeated_words(F.col("windows")).alias("n_repeat_words"),
+        F.col(f"class{CLASSES.index(SYMBOLS)}").alias("n_symbols"),
+        repeated_lines.cast("long").alias("n_dup_lines"),
+        whole([F.col(f"class{i}") for i in range(len(CLASSES))], F.col("n_chars")).alias("classes"),
+        whole([F.get("bins", F.lit(i)) for i in range(size)], F.col("n_letters").cast("long")).alias("common"),
+    )
 
 
 def _shares(counts: Column) -> Column:
