@@ -54,6 +54,37 @@ STRENGTHS = ("weak", "moderate", "strong")
 MATCH_TYPES = ("embedding", "fuzzy", "both")
 REVIEW_STATES = ("pending", "confirmed", "rejected")
 SUPERSESSION_REASONS = ("contradiction", "stale")
+_NAMED = {"aliases": None}
+_ROLE, _DATES, _STAY = {"role": None}, {"start_date": None, "end_date": None}, {"from_date": None, "to_date": None}
+_SOURCE = {"source_type": None, "source_uri": None, "date": None}
+# The properties that each type, or type/subtype, knows.  A tuple has all values, a number the longest text.
+_NODE_PROPERTIES = {
+    "document": _SOURCE,
+    "chunk": _SOURCE | {"content": None},
+    "person": _NAMED | {"email": None, "date_of_birth": None, "nationality": None, "occupation": None},
+    "organization": _NAMED | {"jurisdiction": None, "registration_number": None},
+    "location": _NAMED | {"address": None, "city": None, "country": None, "coordinates": None},
+    "event": _NAMED | {"date": None, "time": None, "duration": None, "outcome": None},
+    "object": _NAMED | {"identifier": None, "make": None, "model": None, "serial_number": None},
+    "object/project": {"external_ref": None},
+    "preference": {"statement": 80, "category": PREFERENCE_CATEGORIES, "target": None, "over": None, "context": None, "strength": STRENGTHS},
+    "fact": {"subject": None, "predicate": None, "object": None},
+}
+# The same for edges, by the semantic type of related_to and by the type of all others.
+_EDGE_PROPERTIES = {
+    "member_of": _ROLE | _DATES,
+    "employed_by": _ROLE | _DATES,
+    "owns": {"acquisition_date": None},
+    "located_at": _STAY,
+    "resides_at": _STAY,
+    "participated_in": _ROLE,
+    "involved": _ROLE,
+    "has_task": {"status": None},
+    "experienced_by": _ROLE,
+    "mentions": {"confidence": None, "start_pos": None, "end_pos": None},
+    "same_as": {"confidence": None, "match_type": MATCH_TYPES, "status": REVIEW_STATES},
+    "superseded_by": {"superseded_at": None, "reason": SUPERSESSION_REASONS, "judge_confidence": None},
+}
 SOURCE_TYPES = ("substack", "huggingface", "latent", "file", "conversation", "web", "youtube")
 
 
@@ -65,6 +96,9 @@ class Ontology:
     edges: dict[str, tuple[tuple[tuple[str, str], ...], bool]] = field(default_factory=lambda: dict(_EDGES))
     semantics: dict[str, tuple[tuple[str, str], ...]] = field(default_factory=lambda: dict(_SEMANTICS))
 
+    node_properties: dict[str, dict] = field(default_factory=lambda: dict(_NODE_PROPERTIES))
+    edge_properties: dict[str, dict] = field(default_factory=lambda: dict(_EDGE_PROPERTIES))
+
     @staticmethod
     def _register(registry: dict, name: str, spec) -> None:
         if registry.setdefault(name, spec) != spec:
@@ -86,6 +120,17 @@ class Ontology:
         known, extractable = self.edges["related_to"]
         self.edges["related_to"] = (tuple(sorted({*known, *pairs})), extractable)
 
+    def register_properties(self, owner: str, fields: dict, edge: bool = False) -> None:
+        """Fields of a node's type, or type/subtype, or of an edge's type or semantic."""
+        self._register(self.edge_properties if edge else self.node_properties, owner, dict(fields))
+
+    def node_fields(self, kind: str, subtype: str | None = None) -> dict:
+        """Fields of a type, those of the subtype with them; none for what is not registered."""
+        return self.node_properties.get(kind, {}) | self.node_properties.get(f"{kind}/{subtype}", {})
+
+    def edge_fields(self, kind: str, semantic: str | None = None) -> dict:
+        return self.edge_properties.get((semantic or "") if kind == "related_to" else kind, {})
+
     def node_types(self, spark: SparkSession) -> DataFrame:
         """type, subtype (null for none) and extractable: a few rows, made to be broadcast."""
         rows = [(t, s, x) for t, (subs, x) in self.nodes.items() for s in (subs or (None,))]

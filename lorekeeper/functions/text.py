@@ -89,6 +89,32 @@ def embedding_text(kind: Column, headline: Column, properties: Column) -> Column
     return F.array_join(F.filter(F.concat(F.array(head), F.coalesce(lines, F.array().cast("array<string>")), F.array(content)), lambda x: x.isNotNull()), "\n")
 
 
+def typed_embedding_text(kind: Column, headline: Column, properties: Column) -> Column:
+    """A preference's statement or a fact's object, trimmed; for all else, or without one, the general text."""
+    own = lambda name: F.nullif(F.trim(F.element_at(properties, name)), F.lit(""))
+    general = embedding_text(kind, headline, F.map_filter(properties, lambda k, _: ~k.isin("aliases", "confidence")))
+    return F.coalesce(F.when(kind == "preference", own("statement")).when(kind == "fact", F.coalesce(own("object"), own("object_"))), general)
+
+
+def query_slug(text: Column, limit: int = 48) -> Column:
+    """A file stem from a query, ``graph`` if nothing is left of it."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.coalesce(F.nullif(F.regexp_replace(F.substring(slug, 1, limit), "^-+|-+$", ""), F.lit("")), F.lit("graph"))
+
+
+def node_line(kind: Column, name: Column, properties: Column, n: int = 120) -> Column:
+    """A node in one line: its content, else its properties in the order of their keys."""
+    head = F.concat(kind, F.lit(": "), name)
+    entries = F.array_sort(F.map_entries(F.map_filter(properties, lambda k, v: (k != "content") & v.isNotNull() & (v != ""))))
+    detail = F.nullif(F.array_join(F.transform(entries, lambda e: F.concat_ws(": ", e["key"], e["value"])), "; "), F.lit(""))
+    content = F.nullif(F.element_at(properties, "content"), F.lit(""))
+    return F.when(content.isNotNull(), F.concat(head, F.lit(" — "), truncate(content, n))).otherwise(truncate(F.concat_ws(" — ", head, detail), n))
+
+
+def edge_line(source: Column, kind: Column, target: Column) -> Column:
+    return F.concat(source, F.lit(" —["), kind, F.lit("]→ "), target)
+
+
 def per_key_merge(primary: Column, incoming: Column) -> Column:
     """Two string maps as one: a missing key is filled, of two values the longer stays."""
 

@@ -51,6 +51,27 @@ def source_type(url: Column) -> Column:
     )
 
 
+# Types that a source may be given with its uri, and what engines say when they find nothing.
+SOURCE_ENTRY_TYPES = ("substack_rss", "substack_article", "huggingface_dataset", "youtube_video", "youtube_rss", "web")
+NOTHING_FOUND = ("did not match any documents", "did not match any", "no results found", "ничего не нашлось")
+
+
+def uri_token(token: Column) -> Column:
+    """uri and type of ``uri=type``; an end that is no known type belongs to the uri."""
+    kind = F.regexp_extract(token, "=([^=]*)$", 1)
+    typed = kind.isin(*SOURCE_ENTRY_TYPES)
+    return F.struct(F.when(typed, F.regexp_replace(token, "=[^=]*$", "")).otherwise(token).alias("uri"), F.when(typed, kind).alias("type"))
+
+
+def nothing_found(body: Column) -> Column:
+    """Whether a page of results says that there are none, as against one that could not be read."""
+    low = F.lower(F.coalesce(body, F.lit("")))
+    found = F.lit(False)
+    for words in NOTHING_FOUND:
+        found = found | F.contains(low, F.lit(words))
+    return found
+
+
 def url_problem(url: Column) -> Column:
     """Why a url cannot be ingested, or null."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))

@@ -105,6 +105,40 @@ def split_fields(rows: DataFrame, allowed: dict[str, list[str]]) -> tuple[DataFr
     return kept, dropped
 
 
+def split_schema(rows: DataFrame, ontology: Ontology = ONTOLOGY, edges: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows with the properties that their registered schema takes, and id, type, field, value and reason of all others.
+
+    A node knows the fields of its type and of its subtype, an edge those of its semantic type
+    or, if it is no related_to, of its type.  What has no schema knows no field.  A value that is
+    too long or not one of a closed vocabulary is dropped too; a null value is kept.
+    """
+    specs = ontology.edge_properties if edges else ontology.node_properties
+    if edges:
+        owners = F.array(F.when(F.col("type") == "related_to", F.coalesce("semantic_type", F.lit(""))).otherwise(F.col("type")))
+    else:
+        owners = F.array(F.col("type"), F.concat_ws("/", "type", F.coalesce("subtype", F.lit(""))))
+    fields = [(f"{o}|{f}", v) for o, fs in sorted(specs.items()) for f, v in sorted(fs.items())]
+    closed = [(k, v) for k, v in fields if isinstance(v, tuple)]
+    short = [(k, v) for k, v in fields if isinstance(v, int)]
+    known = F.array(*[F.lit(k) for k, _ in fields])
+
+    def reason(k: Column, v: Column) -> Column:
+        keys = F.transform(owners, lambda o: F.concat_ws("|", o, k))
+        bad = F.lit(False)
+        for key, values in closed:
+            bad = bad | (F.array_contains(keys, key) & ~v.isin(*values))
+        for key, limit in short:
+            bad = bad | (F.array_contains(keys, key) & (F.length(v) > limit))
+        return F.when(~F.arrays_overlap(keys, known), "unknown_field").when(bad, "invalid_value")
+
+    marked = F.map_filter(F.transform_values("properties", reason), lambda _, r: r.isNotNull())
+    both = rows.withColumn("__reasons", marked)
+    gone = both.select("id", "type", "properties", F.explode("__reasons").alias("field", "reason"))
+    dropped = gone.select("id", "type", "field", F.element_at("properties", F.col("field")).alias("value"), "reason")
+    fits = F.map_filter("properties", lambda k, _: ~F.map_contains_key(F.col("__reasons"), k))
+    return both.withColumn("properties", fits).drop("__reasons"), dropped
+
+
 def redirect_first_person(people: DataFrame, users: DataFrame) -> DataFrame:
     """People who go by a name of the tenant's user become ``self``, their name an alias.
 

@@ -129,6 +129,12 @@ def video_metadata(entries: DataFrame) -> DataFrame:
     return rows.select("video_id", W.canonical_video_url(F.col("video_id")).alias("source_uri"), "title", F.col("author").alias("channel"), W.parse_date(F.col("published"), F.lit(None)).alias("published_at"))
 
 
+def split_videos(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Urls with their video's id, and a failure row for each that names none."""
+    rows = urls.withColumn("video_id", W.video_id(F.col("url")))
+    return rows.where("video_id is not null"), rows.where("video_id is null").select("url", F.lit("invalid_video: no id in the url").alias("ingest_error"))
+
+
 def embed_metadata(answers: DataFrame) -> DataFrame:
     """Title and channel from captured oEmbed answers (video_id, body as JSON); malformed ones have none."""
     j = F.from_json("body", "title string, author_name string")
