@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, line_dedup, mixing, ngram_join, quality, secrets, sentencepiece_codec, toxicity, warc
+from . import exact_dedup, exact_topk, hard_negatives, html_extract, line_dedup, mixing, ngram_join, prefix_trie, quality, secrets, sentencepiece_codec, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,22 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives in the whole of ``embeddings`` for every vec_id divisible by 100, with every seventh label changed."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations of ``conversations``."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows of ``embeddings`` for every vec_id divisible by 50, against all rows."""
+    return exact_topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -84,6 +100,9 @@ QUERIES: dict[str, Query] = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_exact_topk": op13_exact_topk,
 }
 
 
@@ -137,6 +156,17 @@ FROM d
 """
 
 
+def _vectors_sql(label: str, more: str = "") -> str:
+    fine = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    return f"v AS (SELECT DISTINCT vec_id AS id, {label} AS label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND {fine}{more})"
+
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = (
+    "xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), "
+    "lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+)
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TRIM = "trim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
@@ -220,4 +250,59 @@ SELECT page_id, payload_bytes, sha1(h) AS payload_digest,
 FROM p LEFT JOIN g USING (h)
 """,
     "op9_quality_rules": _quality_sql(),
+    "op11_hard_negatives": f"""
+WITH {_vectors_sql("(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)", " AND label IS NOT NULL")},
+positives AS (
+  SELECT q.id AS anchor_id, q.v, q.label, p.id AS positive_id, list_inner_product(q.v, p.v)::BIGINT AS positive_score,
+         row_number() OVER (PARTITION BY q.id, q.v, q.label ORDER BY list_inner_product(q.v, p.v) DESC, p.id) AS place
+  FROM v q JOIN v p ON q.label = p.label AND q.id <> p.id WHERE q.id % 100 = 0
+), negatives AS (
+  SELECT p.*, n.id AS negative_id, list_inner_product(p.v, n.v)::BIGINT AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, p.v, p.label, place ORDER BY list_inner_product(p.v, n.v) DESC, n.id)::INT AS rank
+  FROM positives p JOIN v n ON p.label <> n.label
+  WHERE place <= 5 AND 100 * list_inner_product(p.v, n.v) BETWEEN 30 * positive_score AND 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+""",
+    "op12_prefix_trie": f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(text, '') AS text, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS turn,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS part, t.* EXCLUDE (conv_id) FROM convs c JOIN turns t ON t.conv_id = c.base AND t.place <= c.h
+  UNION ALL SELECT c.conv_id, 1 AS part, t.* EXCLUDE (conv_id) FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place > c.h
+), steps AS (
+  SELECT conv_id, strlen(text) AS bytes, row_number() OVER w AS depth, string_agg(turn, '') OVER w AS path,
+         lead(turn) OVER w IS NULL AS ends
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)
+), members AS (
+  SELECT conv_id, depth, path, bytes, ends FROM steps
+  UNION ALL SELECT conv_id, 0, '', 0, conv_id NOT IN (SELECT conv_id FROM steps) FROM convs
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY path, depth
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, p.path AS up FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = left(n.path, 64 * (n.depth - 1))
+), weighed AS (
+  SELECT l.*, coalesce(k.n, 0) AS n_children FROM linked l LEFT JOIN (SELECT up, count(*) AS n FROM linked WHERE depth > 0 GROUP BY up) k ON k.up = l.path
+), below AS (
+  SELECT a.path, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(list_transform(range(depth + 1), lambda i: left(path, 64 * i))) AS above FROM weighed) b JOIN weighed a ON a.path = b.above
+  GROUP BY a.path
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM weighed JOIN below USING (path)
+""",
+    "op13_exact_topk": f"""
+WITH {_vectors_sql("0")},
+scores AS (
+  SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score,
+         row_number() OVER (PARTITION BY q.id, q.v ORDER BY list_inner_product(q.v, c.v) DESC, c.id)::INT AS rank
+  FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 50 = 0
+)
+SELECT query_id, rank, vec_id, score FROM scores WHERE rank <= 5
+""",
 }
