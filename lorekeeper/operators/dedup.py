@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_similarity
 from ..functions.text import capped_union, edge_id, merge_maps, normalize_name, per_key_merge
-from .search import nearest_in_block
+from .neighbors import nearest_in_tiles
 
 MAX_ALIASES, MAX_SOURCES = 50, 500
 
@@ -57,7 +57,7 @@ def decide(drivers: DataFrame, nodes: DataFrame, same_as: DataFrame | None = Non
     """
     alive = nodes.where(F.coalesce("merged_into", F.lit("")) == "")
     pool = alive if config.filter_first else nodes
-    near = nearest_in_block(drivers, pool, ["user_id", "type"], config.candidates + config.filter_first)
+    near = nearest_in_tiles(drivers, pool, ["user_id", "type"], config.candidates + config.filter_first)
     near = near.where(F.col("left_id") != F.col("right_id"))
     near = near.join(alive.select(F.col("id").alias("right_id"), surfaces().alias("surfaces")), "right_id")
     near = near.join(drivers.select(F.col("id").alias("left_id"), normalize_name(F.col("name")).alias("left_name")), "left_id")

@@ -7,19 +7,22 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import cosine_clamped, token_sort_ratio
+from ..functions.similarity import token_sort
 from ..functions.text import normalize_name
+from .fuzzy import similar_names
+from .neighbors import nearest_in_tiles
 
 FUZZY, SEMANTIC = 0.85, 0.80
 STAGES = ("alias", "exact", "fuzzy", "semantic")
 
 
 def live_candidates(nodes: DataFrame, cap: int | None = None) -> DataFrame:
-    """All nodes, or with ``cap`` the first of each tenant and type by their ids."""
+    """All nodes but tombstones, or with ``cap`` the first of each tenant and type by their ids."""
+    alive = nodes.where(F.coalesce("merged_into", F.lit("")) == "") if "merged_into" in nodes.columns else nodes
     if cap is None:
-        return nodes
+        return alive
     order = Window.partitionBy("user_id", "type").orderBy("id")
-    return nodes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).drop("place")
+    return alive.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).drop("place")
 
 
 def alias_matches(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -37,25 +40,22 @@ def exact_matches(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
 def fuzzy_matches(mentions: DataFrame, candidates: DataFrame, threshold: float = FUZZY) -> DataFrame:
     """Mentions whose sorted words are like a candidate's.
 
-    Equal names are compared once.  Names whose lengths alone keep the ratio under the
-    threshold are left out before any is compared.
+    Names are compared with their words in order, equal ones once, and only those that
+    share a signature (``fuzzy``), which no pair that reaches the threshold misses.
     """
-    names = mentions.select("user_id", "type", normalize_name(F.col("name")).alias("left_name")).distinct()
-    known = candidates.select("user_id", "type", normalize_name(F.col("name")).alias("right_name")).distinct()
-    shorter, longer = F.least(F.length("left_name"), F.length("right_name")), F.greatest(F.length("left_name"), F.length("right_name"))
-    pairs = names.join(known, ["user_id", "type"]).where(2 * shorter >= threshold * (shorter + longer))
-    scored = pairs.withColumn("score", F.round(token_sort_ratio(F.col("left_name"), F.col("right_name")), 9)).where(F.col("score") >= threshold)
-    by_name = candidates.select("user_id", "type", F.col("id").alias("matched_id"), normalize_name(F.col("name")).alias("right_name"))
-    found = mentions.withColumn("left_name", normalize_name(F.col("name"))).join(scored, ["user_id", "type", "left_name"]).join(by_name, ["user_id", "type", "right_name"])
+    sorted_name = token_sort(normalize_name(F.col("name")))
+    left, right = (df.select("user_id", "type", sorted_name.alias("name")) for df in (mentions, candidates))
+    scored = similar_names(left, right, ["user_id", "type"], threshold)
+    by_name = candidates.select("user_id", "type", F.col("id").alias("matched_id"), sorted_name.alias("right_name"))
+    found = mentions.withColumn("left_name", sorted_name).join(scored, ["user_id", "type", "left_name"]).join(by_name, ["user_id", "type", "right_name"])
     return found.select("mention_id", "matched_id", F.lit(2).alias("stage"), "score")
 
 
 def semantic_matches(mentions: DataFrame, candidates: DataFrame, threshold: float = SEMANTIC) -> DataFrame:
     """Mentions whose embedding is near a candidate's; both sides need an ``embedding``."""
-    a = mentions.where(F.size("embedding") > 0).select("user_id", "type", "mention_id", F.col("embedding").alias("x"))
-    b = candidates.where(F.size("embedding") > 0).select("user_id", "type", F.col("id").alias("matched_id"), F.col("embedding").alias("y"))
-    scored = a.join(b, ["user_id", "type"]).withColumn("score", F.round(cosine_clamped(F.col("x"), F.col("y")), 9))
-    return scored.where(F.col("score") >= threshold).select("mention_id", "matched_id", F.lit(3).alias("stage"), "score")
+    side = lambda df, i: df.where(F.size("embedding") > 0).select("user_id", "type", F.col(i).alias("id"), "embedding")
+    found = nearest_in_tiles(side(mentions, "mention_id"), side(candidates, "id"), ["user_id", "type"], least=threshold, clamp=True)
+    return found.select(F.col("left_id").alias("mention_id"), F.col("right_id").alias("matched_id"), F.lit(3).alias("stage"), "score")
 
 
 def resolve(mentions: DataFrame, candidates: DataFrame, semantic: bool = False, fuzzy: float = FUZZY, near: float = SEMANTIC) -> DataFrame:

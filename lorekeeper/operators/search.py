@@ -84,37 +84,30 @@ def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int, where: Col
     return ranked_rows.where(F.col("rank") < k)
 
 
-def nearest_in_block(left: DataFrame, right: DataFrame, block: list[str], k: int, id_col: str = "id") -> DataFrame:
-    """For each row of ``left`` its ``k`` nearest rows of ``right`` in the same block.
-
-    Both sides have ``id_col``, ``block`` and ``embedding``; a row does meet itself.
-    Norms are taken once a row, not once a pair.
-    """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double"))
-    a = left.select(*block, F.col(id_col).alias("left_id"), unit("embedding").alias("left_vector"))
-    b = right.select(*block, F.col(id_col).alias("right_id"), unit("embedding").alias("right_vector"))
-    pairs = a.join(b, block).withColumn("score", F.round(cosine(F.col("left_vector"), F.col("right_vector")), 9))
-    order = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
-    ranked = pairs.drop("left_vector", "right_vector").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k)
-
-
 def terms(text: Column) -> Column:
     """Letters and digits in runs of two or more, in lower case."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
 
 
+def node_text() -> Column:
+    """What a node is searched by: its name, aliases, content and the aliases among its properties."""
+    return F.concat_ws(" ", "name", F.array_join("aliases", " "), F.element_at("properties", "content"), F.element_at("properties", "aliases"))
+
+
 def text_search(docs: DataFrame, query: str, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """The ``k`` best rows that hold any term of ``query``, by BM25 (k1 1.2, b 0.75).
 
     Only the terms of the query are counted in each row, so no index of all terms is
-    built; document frequencies and the mean length are one aggregate.
+    built; document frequencies and the mean length are one aggregate.  A query without
+    terms finds nothing.  ``text_index`` answers many queries without reading texts.
     """
     words = sorted({w for w in re.split(r"[\W_]+", query.lower()) if len(w) >= 2})
+    if not words:
+        return docs.select(id_col, F.lit(0.0).alias("score")).limit(0)
     held = docs.select(id_col, terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
 
     def count(word: str) -> Column:
-        return F.size(F.filter("terms", lambda t: t == word))
+        return F.size("terms") - F.size(F.array_remove("terms", word))
 
     counts = [count(w).alias(f"n{i}") for i, w in enumerate(words)]
     held = held.select(id_col, F.size("terms").alias("n_terms"), *counts)
@@ -127,7 +120,7 @@ def text_search(docs: DataFrame, query: str, k: int, id_col: str = "id", text_co
         idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
         return idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * F.col("n_terms") / F.col("mean")))
 
-    score = sum((part(i) for i in range(1, len(words))), start=part(0)) if words else F.lit(0.0)
+    score = sum((part(i) for i in range(1, len(words))), start=part(0))
     return rows.select(id_col, F.round(score, 9).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as T
 from ..functions import web as W
-from ..operators import search, traversal
+from ..operators import neighbors, search, text_index, traversal
 from ..operators.pipeline import run_pipeline
 from ..sources import documents as D
 from . import graph as G
@@ -52,6 +52,20 @@ def v2_filtered_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector_search_all(_vectors(spark, sf_dir), _queries(spark, sf_dir), 5, F.col("label") == 3, "vec_id").select("query_id", "vec_id", "score")
 
 
+@query(_BEST % (_ALL_COS, 10))
+def v1_index_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every query from an index of which all cells are visited, which is exact."""
+    index = neighbors.build_vector_index(_vectors(spark, sf_dir), "vec_id", ["label"])
+    return neighbors.vector_search_probed(index, _queries(spark, sf_dir), 10, probes=neighbors.CELLS).select("query_id", "vec_id", "score")
+
+
+@query()
+def v1_index_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the ten nearest vectors of every query, from the cells next to it."""
+    index = neighbors.build_vector_index(_vectors(spark, sf_dir), "vec_id", ["label"])
+    return neighbors.vector_search_probed(index, _queries(spark, sf_dir), 10).select("query_id", "vec_id", "score")
+
+
 @query(f"SELECT vec_id, round(greatest(0, least(1, {_COS})), 9) AS sim, round(greatest(-1, least(1, 2 * ((1 + {_COS}) / 2) - 1)), 9) AS raw FROM embeddings")
 def v3_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clamped cosine and the score transform and back."""
@@ -68,8 +82,52 @@ FROM c, s WHERE a > 0 OR b > 0 ORDER BY score DESC, doc_id LIMIT 20)
 """
 
 
+#: The written index of each input, by the session that wrote it.
+_INDEXES: dict[tuple[str, str], text_index.TextIndex] = {}
+
+
+def _text_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = text_index.build_text_index(G.table(spark, sf_dir, "documents"), "doc_id")
+    return _INDEXES[key]
+
+
 def _text_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.text_search(G.table(spark, sf_dir, "documents"), "the idiot", 20, "doc_id")
+    return text_index.text_search_indexed(_text_index(spark, sf_dir), "the idiot", 20, "doc_id")
+
+
+_FIVE = "array_to_string(list_slice(regexp_extract_all(coalesce(text, ''), '\\S+'), 1, 5), ' ')"
+_BM25_ALL = f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pN]+'), lambda w: length(w) >= 2) AS w FROM documents),
+tf AS (SELECT doc_id, t, size, count(*) AS n FROM (SELECT doc_id, len(w) AS size, unnest(w) AS t FROM d) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
+q AS (SELECT doc_id AS query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower({_FIVE}), '[^\\pL\\pN]+'), lambda w: length(w) >= 2))) AS t FROM documents WHERE doc_id % 100 = 0),
+hits AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score FROM q JOIN tf USING (t) JOIN df USING (t), s GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM hits) WHERE r <= 10"""
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search phrase from every document whose id is divisible by 100: its first five words."""
+    words = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""), 1, 5)
+    return G.table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(words, " ").alias("text"))
+
+
+@query(_BM25_ALL)
+def t1_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for the phrase of every query, from the postings of its terms."""
+    found = text_index.text_search_all(_text_index(spark, sf_dir), _phrases(spark, sf_dir), 10)
+    return found.select("query_id", F.col("id").alias("doc_id"), "score")
+
+
+@query(_BM25_ALL)
+def t1_merged_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index of all documents with old texts, after a merge that brought the present ones of two thirds and more."""
+    docs = G.table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise("an older text"))
+    index = text_index.build_text_index(old, "doc_id")
+    merged = text_index.merge_text_index(index, docs.where("doc_id % 3 <> 0"), "doc_id")
+    found = text_index.text_search_all(merged, _phrases(spark, sf_dir), 10)
+    return found.select("query_id", F.col("id").alias("doc_id"), "score")
 
 
 @query(_BM25 + "SELECT * FROM hits")
