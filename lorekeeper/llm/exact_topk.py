@@ -72,7 +72,8 @@ class _Shape:
     def reach(self, rows: np.ndarray, least: np.ndarray) -> np.ndarray:
         """The distance within which all rows lie that score ``least`` or more with a query."""
         norm = np.sqrt((rows.astype(np.float64) ** 2).sum(1))
-        least = np.where(least > -np.inf, least, 0).astype(np.float64) / np.where(norm > 0, norm, 1) + np.where(least > -np.inf, 0, -self.top)
+        least = V.useful(least)
+        least = np.where(least > -np.inf, least, 0) / np.where(norm > 0, norm, 1) + np.where(least > -np.inf, 0, -self.top)
         out = np.sqrt(np.maximum(2 * self.top * (self.top - least), 0))
         return np.where(norm > 0, out, self.top) + self.slack
 
@@ -143,7 +144,7 @@ class _Search:
 
     def results(self) -> pa.RecordBatch:
         b = self.best
-        columns = [self.ids[b.q], self.hashes[b.q], b.ids, V.as_longs(b.scores)]
+        columns = [self.ids[b.q], self.hashes[b.q], b.ids, b.scores.astype(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "hash", "vec_id", "score"])
 
 
@@ -172,7 +173,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, id_
     counts = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    placed = queries.withColumn("block", V.block_of(V.group_cells(counts, shape.lifted)))
+    placed = queries.withColumn("block", V.block_of(V.group_cells(counts, shape.lifted, V.BLOCK)))
     blocks = materialise(placed.groupBy("block").applyInArrow(_pack_queries(shape), BLOCK_SCHEMA), "blocks")
 
     spans = F.posexplode(F.arrays_zip("lows", "highs")).alias("cell", "span")

@@ -161,14 +161,14 @@ class _Positives(_Anchors):
 
     def visit(self, piece: dict) -> None:
         _, above = self.index.sides(self.rows, piece["cell"], piece["far"])
-        for q, ids, _, scores in self._scores(piece, np.flatnonzero(above >= self.best.least)):
+        for q, ids, _, scores in self._scores(piece, np.flatnonzero(above >= V.useful(self.best.least))):
             scores = np.where(self.ids[q][:, None] == ids, -np.inf, scores)
             i, j = V.best_columns(scores, self.best.least[q], self.best.k)
             self.best.add(q[i], scores[i, j], ids[j])
 
     def results(self) -> pa.RecordBatch:
         b = self.best
-        columns = [self.ids[b.q], self.hashes[b.q], b.ids, V.as_longs(b.scores)]
+        columns = [self.ids[b.q], self.hashes[b.q], b.ids, b.scores.astype(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["anchor_id", "hash", "row_id", "score"])
 
 
@@ -184,7 +184,7 @@ class _Negatives(_Anchors):
 
     def visit(self, piece: dict) -> None:
         below, above = self.index.sides(self.rows, piece["cell"], piece["far"])
-        open_ = (above[self.at] >= self.best.least) & (below[self.at] <= self.high)
+        open_ = (above[self.at] >= V.useful(self.best.least)) & (below[self.at] <= self.high)
         if piece["label"] is not None:
             open_ &= self.own[self.at] != piece["label"]
         use = np.unique(self.at[open_])
@@ -205,7 +205,7 @@ class _Negatives(_Anchors):
     def results(self) -> pa.RecordBatch:
         b = self.best
         at = self.at[b.q]
-        columns = [self.ids[at], self.hashes[at], self.slot[b.q], b.ids, V.as_longs(b.scores)]
+        columns = [self.ids[at], self.hashes[at], self.slot[b.q], b.ids, b.scores.astype(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["anchor_id", "hash", "slot", "row_id", "score"])
 
 
@@ -253,7 +253,7 @@ def mine_hard_negatives(
     counts = {r["cell"]: r["n"] for r in held.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return df.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
-    blocks = held.withColumn("block", V.block_of(V.group_cells(counts, index.centroids)).cast("string"))
+    blocks = held.withColumn("block", V.block_of(V.group_cells(counts, index.centroids, V.BLOCK)).cast("string"))
     schema = f"{_ANCHORS}, at binary, low binary, high binary, slot binary, reach array<double>, tops array<double>, longest double"
     blocks = materialise(blocks.groupBy("block").applyInArrow(_pack_windows(index, window), schema), "blocks")
 

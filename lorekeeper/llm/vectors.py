@@ -29,6 +29,7 @@ RINGS = 8
 MAX_PARTS, PART_ROWS = 256, 8192
 #: Rounding of bounds: they are widened by this share of the largest value they can take.
 SLACK = 1e-9
+LONGS = (-(2**63), 2**63 - 1)
 
 PIECE_SCHEMA = "cell int, near double, far double, label long, ids binary, labels binary, vectors binary"
 
@@ -88,25 +89,26 @@ def products(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
     """Exact inner products of integer rows whose norms multiply to ``bound`` at most.
 
     By Cauchy-Schwarz no partial sum exceeds the bound, so floats hold all of them
-    exactly up to their number of digits; beyond that Python's integers do.
+    exactly up to their number of digits; beyond that Python's integers do.  Those
+    beyond a long become the nearest long.
     """
-    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
+    if bound >= 2**53:
+        return np.clip(a.astype(object) @ b.astype(object).T, *LONGS)
+    kind = np.float32 if bound < 2**24 else np.float64
     return a.astype(kind) @ b.astype(kind).T
 
 
+def useful(least: np.ndarray) -> np.ndarray:
+    """The least scores of use as floats; scores beyond a long count as the least one, so that one rules nothing out."""
+    return np.where(least > LONGS[0], least, -np.inf).astype(np.float64)
+
+
 def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Euclidean distances of float rows to all centres."""
     gaps = (rows**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * rows @ centres.T
     return np.sqrt(np.maximum(gaps, 0))
 
 
-def as_longs(scores: np.ndarray) -> np.ndarray:
-    """Scores as longs; those beyond a long become the nearest one."""
-    if scores.dtype == object:
-        return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in scores], dtype=np.int64)
-    return scores.astype(np.int64)
-
-
 def in_cells(rows: DataFrame, nearest: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], dim: int) -> DataFrame:
     """``rows`` with the cell that ``nearest`` gives for their vectors, and the distance to its centre."""
     bound_batches(rows.sparkSession)
@@ -157,7 +159,7 @@ def unpack(row: dict, stored: str, dim: int) -> tuple[np.ndarray, np.ndarray, np
     return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["labels"], "<i8"), np.frombuffer(row["vectors"], stored).reshape(-1, dim)
 
 
-def group_cells(counts: dict[int, int], centres: np.ndarray, block: int = BLOCK) -> dict[int, tuple[int, int]]:
+def group_cells(counts: dict[int, int], centres: np.ndarray, block: int) -> dict[int, tuple[int, int]]:
     """Cell -> (first block, number of blocks): neighbouring cells share a block, large cells are split.
 
     ``counts`` has one entry a centre.  A block starts at the free cell that lies farthest
