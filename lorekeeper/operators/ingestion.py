@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ontology import ONTOLOGY, Ontology
-from ..functions.text import capped_union, edge_id, embedding_text, node_id, normalize_name, per_key_merge
+from ..functions.text import capped_union, edge_id, node_id, normalize_name, per_key_merge, slugify, typed_embedding_text
 from ..storage import materialise
 from . import dedup, resolution, validation
+from .chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_texts
 
 #: text -> (nodes, edges), each a dict with the fields that the model found.
 Extractor = Callable[[str], tuple[list[dict], list[dict]]]
@@ -64,11 +65,15 @@ class Validated:
     dropped: DataFrame
 
 
+_AUDIT = ("user_id", "source_uri", "seq", "kind", "id", "type", "field", "value", "reason")
+
+
 def validate(nodes: DataFrame, edges: DataFrame, allowed: dict[str, list[str]] | None = None, ontology: Ontology = ONTOLOGY) -> Validated:
     """Parse and check emitted rows.  The first rule that a row breaks is its reason.
 
-    With ``allowed`` (type to its property names) properties that a type does not know are
-    dropped, each with an audit row, and the row stays.
+    A property that the registered schema of a node or edge does not take is dropped, with an
+    audit row and its reason, and the row stays.  ``allowed`` (type to its property names)
+    takes the place of the schemas of nodes.
     """
     parsed = validation.parse_nodes(nodes, ontology)
     parsed = parsed.withColumn("reason", F.coalesce("reason", validation.node_reason(ontology)))
@@ -79,12 +84,22 @@ def validate(nodes: DataFrame, edges: DataFrame, allowed: dict[str, list[str]] |
     linked = linked.drop("source_node_id", "target_node_id")
     audit = lambda df, kind, name: df.where("reason is not null").select("user_id", "source_uri", "seq", F.lit(kind).alias("kind"), "type", name.alias("name"), "reason")
     rejected = audit(parsed, "node", F.col("name")).unionByName(audit(linked, "edge", F.concat_ws("|", "source_name", "target_name")))
-    kept, good = parsed.where("reason is null").drop("reason"), linked.where("reason is null").drop("reason")
+    kept = parsed.where("reason is null").drop("reason").withColumn("id", own_id(F.col("user_id"), F.col("type"), F.col("name")))
+    good = linked.where("reason is null").drop("reason").withColumn("id", edge_id(*_ends()))
     if allowed is None:
-        none = kept.where(F.lit(False)).select(F.lit("").alias("id"), "type", F.lit("").alias("field"), F.lit("").alias("value"))
-        return Validated(kept, good, rejected, none)
-    kept, dropped = validation.split_fields(kept.withColumn("id", node_id(F.col("user_id"), F.col("type"), normalize_name(F.col("name")))), allowed)
-    return Validated(kept.drop("id"), good, rejected, dropped)
+        kept, lost = validation.split_schema(kept, ontology)
+    else:
+        kept, lost = validation.split_fields(kept, allowed)
+        lost = lost.withColumn("reason", F.lit("unknown_field"))
+    good, unknown = validation.split_schema(good, ontology, edges=True)
+    dropped = lost.withColumn("kind", F.lit("node")).unionByName(unknown.withColumn("kind", F.lit("edge")))
+    return Validated(kept.drop("id"), good.drop("id"), rejected, dropped.select(*_AUDIT))
+
+
+def _ends() -> tuple[Column, Column, Column]:
+    """Both ends of an emitted edge as ids, its type between them."""
+    source, target = (own_id(F.col("user_id"), F.col(f"{e}_type"), F.col(f"{e}_name")) for e in ("source", "target"))
+    return source, F.col("type"), target
 
 
 def own_id(user: Column, kind: Column, name: Column) -> Column:
@@ -119,6 +134,10 @@ def collapse_nodes(emitted: DataFrame) -> DataFrame:
     out = rows.groupBy("id").agg(*firsts)
     out = out.join(_merged_properties(rows, "id", F.struct("seq", "value")), "id", "left").join(_first_values(rows, "id", F.col("source_uri"), dedup.MAX_SOURCES, "sources"), "id", "left")
     empty = {"properties": F.create_map().cast(_STRINGS), "sources": F.array().cast("array<string>")}
+    if "aliases" in emitted.columns:
+        names = rows.select("id", F.explode("aliases").alias("alias"))
+        out = out.join(_first_values(names, "id", F.col("alias"), dedup.MAX_ALIASES, "aliases"), "id", "left")
+        empty["aliases"] = F.array().cast("array<string>")
     return out.withColumns({c: F.coalesce(c, v) for c, v in empty.items()})
 
 
@@ -146,7 +165,7 @@ def _upsert_new(nodes: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
     out = {c: F.coalesce(f"n_{c}", c) for c in ("user_id", "type", "subtype", "name", "canonical_name", "confidence", "embedding")}
     out |= {
         "properties": F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(add, k)), add),
-        "aliases": F.coalesce("aliases", F.array().cast("array<string>")),
+        "aliases": capped_union(F.col("aliases"), F.col("n_aliases"), dedup.MAX_ALIASES) if "aliases" in rows.columns else F.coalesce("aliases", F.array().cast("array<string>")),
         "sources": capped_union(F.col("sources"), F.col("n_sources"), dedup.MAX_SOURCES),
         "created_at": F.coalesce("created_at", F.when(came & F.col("user_id").isNull(), now)),
         "updated_at": F.when(came, now).otherwise(F.col("updated_at")),
@@ -233,7 +252,7 @@ def apply_writes(
     rows = collapse_nodes(new_nodes)
     if embed is not None:
         vector = F.pandas_udf(lambda s: pd.Series(list(embed(s.tolist()))), "array<double>")
-        rows = rows.withColumn("embedding", vector(embedding_text(F.col("type"), F.col("name"), F.col("properties"))))
+        rows = rows.withColumn("embedding", vector(typed_embedding_text(F.col("type"), F.col("name"), F.col("properties"))))
     elif "embedding" not in rows.columns:
         rows = rows.withColumn("embedding", F.lit(None).cast("array<double>"))
     # Written: resolution, comparison, nodes and edges all read these rows.
@@ -241,7 +260,8 @@ def apply_writes(
     if config is None:
         decided = rows.withColumns({"action": F.lit("none"), "target_id": F.col("id"), "score": F.lit(None).cast("double"), "kind": F.lit(None).cast("string")})
     else:
-        asked = rows.withColumns({"aliases": F.array().cast("array<string>"), "merged_into": F.lit(None).cast("string")})
+        known = F.col("aliases") if "aliases" in rows.columns else F.array().cast("array<string>")
+        asked = rows.withColumns({"aliases": known, "merged_into": F.lit(None).cast("string")})
         same = edges.where("type = 'same_as'")
         choice = dedup.decide(asked, nodes, same, config).select(F.col("left_id").alias("id"), F.col("matched_id").alias("near_id"), "score", F.col("match_type").alias("kind"), "action")
         decided = rows.join(choice, "id").withColumn("target_id", F.when(F.col("action") == "merged", F.col("near_id")).otherwise(F.col("id")))
@@ -264,3 +284,100 @@ def apply_writes(
         )
         links = links.unionByName(flagged)
     return out, upsert_edges(edges, links, now), decided.select("id", "target_id", "action", "match_type", "score")
+
+
+@dataclass(frozen=True)
+class Ingested:
+    """The tables after documents came in, the audit rows, and what was decided on each node."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    rejected: DataFrame
+    dropped: DataFrame
+    failed: DataFrame
+    decisions: DataFrame
+
+
+def structural_rows(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Emitted nodes and edges of documents and chunks: each chunk is part of its document and follows the one before."""
+    text = lambda x: F.lit(x).cast("string")
+    chunk = F.concat("source_uri", F.lit("#chunk-"), "seq")
+    node = lambda kind, name, props: (F.lit(kind).alias("type"), text(None).alias("subtype"), name.alias("name"), props.cast(_STRINGS).alias("properties"))
+    documents = pieces.groupBy("user_id", "source_uri").agg(F.min("seq").alias("seq")).select("user_id", "source_uri", "seq", *node("document", F.col("source_uri"), F.create_map(text("source_uri"), F.col("source_uri"))))
+    parts = pieces.select("user_id", "source_uri", "seq", *node("chunk", chunk, F.create_map(text("content"), F.col("text"))))
+
+    def link(rows: DataFrame, kind: str, source: Column, target: tuple[str, Column]) -> DataFrame:
+        return rows.select(
+            "user_id", "source_uri", "seq", F.lit(kind).alias("type"), text(None).alias("semantic_type"), F.lit("chunk").alias("source_type"), source.alias("source_name"),
+            F.lit(target[0]).alias("target_type"), target[1].alias("target_name"), F.create_map().cast(_STRINGS).alias("properties"),
+        )
+
+    before = F.concat("source_uri", F.lit("#chunk-"), F.col("seq") - 1)
+    links = link(pieces, "part_of", chunk, ("document", F.col("source_uri"))).unionByName(link(pieces.where("seq > 0"), "next", before, ("chunk", chunk)))
+    return documents.unionByName(parts), links
+
+
+def _redirected(nodes: DataFrame, edges: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """People of a tenant's own names become ``self`` in nodes and in the ends of edges."""
+    nodes = validation.redirect_first_person(nodes, users)
+    rows = edges.join(users.select("user_id", F.filter("known", lambda x: F.trim(x) != "").alias("__known")), "user_id", "left")
+    for end in ("source", "target"):
+        me = (F.col(f"{end}_type") == "person") & F.coalesce(F.array_contains("__known", F.lower(F.trim(f"{end}_name"))), F.lit(False))
+        rows = rows.withColumn(f"{end}_name", F.when(me, "self").otherwise(F.col(f"{end}_name")))
+    return nodes, rows.drop("__known")
+
+
+def _own_preferences(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes with preferences named by their statements, the tenants' own people, and an edge from these to each preference."""
+    slug = F.nullif(slugify(F.element_at("properties", "statement")), F.lit(""))
+    nodes = nodes.withColumn("name", F.when(F.col("type") == "preference", F.coalesce(slug, "name")).otherwise(F.col("name")))
+    held = nodes.where("type = 'preference'").groupBy("user_id", "source_uri", "name").agg(F.max("seq").alias("seq"))
+    me = held.groupBy("user_id", "source_uri").agg(F.max("seq").alias("seq")).select("user_id", "source_uri", "seq", F.lit("person").alias("type"), F.lit("individual").alias("subtype"), F.lit("self").alias("name"), F.create_map().cast(_STRINGS).alias("properties"))
+    links = held.select(
+        "user_id", "source_uri", "seq", F.lit("has").alias("type"), F.lit(None).cast("string").alias("semantic_type"), F.lit("person").alias("source_type"), F.lit("self").alias("source_name"),
+        F.lit("preference").alias("target_type"), F.col("name").alias("target_name"), F.create_map().cast(_STRINGS).alias("properties"),
+    )
+    return nodes, me, links
+
+
+def ingest_documents(
+    documents: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    extractor: Extractor,
+    now: Column,
+    users: DataFrame | None = None,
+    config: dedup.DedupConfig | None = None,
+    strategy: str = "merge_properties",
+    embed: Callable[[list[str]], list[list[float]]] | None = None,
+    semantic: bool = False,
+    size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
+    encode: Callable[[str], list[int]] | None = None,
+    decode: Callable[[list[int]], str] | None = None,
+    ontology: Ontology = ONTOLOGY,
+) -> Ingested:
+    """The whole write path: chunks, extraction, validation, own names, resolution, vectors, comparison, writes.
+
+    ``documents`` has user_id, source_uri and content; those without words are left out.
+    ``users`` has a row a tenant: user_id and known (its own names in lower case).  Each
+    chunk is given to the extractor once and its answer written; a failed call is a row of
+    ``failed``.  Preferences are named by their statements and held by the tenant's ``self``.
+    The same documents with the same ``now`` change nothing the second time.
+    """
+    pieces = chunk_texts(documents.select("user_id", "source_uri", "content"), ["user_id", "source_uri"], "content", size, overlap, encode, decode)
+    pieces = materialise(pieces.withColumnRenamed("chunk_index", "seq"), "chunks")
+    emitted = materialise(extract(pieces, extractor), "emitted")
+    fields = ["user_id", "source_uri", "seq"]
+    new_nodes = emitted.where("kind = 'node'").select(*fields, "type", "subtype", "name", "properties")
+    new_edges = emitted.where("kind = 'edge'").select(*fields, "type", "semantic_type", "source_type", "source_name", "target_type", "target_name", "properties")
+    found = validate(new_nodes, new_edges, None, ontology)
+    named, links = found.nodes.withColumn("aliases", F.array().cast("array<string>")), found.edges
+    if users is not None:
+        named, links = _redirected(named, links, users)
+    named, me, holds = _own_preferences(named)
+    parts, joins = structural_rows(pieces)
+    every = named.unionByName(me, allowMissingColumns=True).unionByName(parts, allowMissingColumns=True)
+    out, out_edges, decisions = apply_writes(nodes, edges, materialise(every, "rows"), links.unionByName(holds).unionByName(joins), now, config, strategy, embed, semantic)
+    failed = emitted.where("kind = 'failed'").select(*fields, F.col("name").alias("error"))
+    return Ingested(out, out_edges, found.rejected, found.dropped, failed, decisions)

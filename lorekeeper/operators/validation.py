@@ -95,13 +95,18 @@ def edge_reason(ontology: Ontology = ONTOLOGY) -> Column:
     )
 
 
+def _where(rows: DataFrame) -> list[str]:
+    """The columns that say where a row was emitted, as far as it has them."""
+    return [c for c in ("user_id", "source_uri", "seq") if c in rows.columns]
+
+
 def split_fields(rows: DataFrame, allowed: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
     """Rows with the properties that their type knows, and a row for each key that was dropped."""
     known = F.array(*[F.lit(f"{t}|{k}") for t, ks in sorted(allowed.items()) for k in ks])
     fits = lambda k, _: F.array_contains(known, F.concat_ws("|", F.col("type"), k))
     kept = rows.withColumn("properties", F.map_filter("properties", fits))
     gone = F.map_entries(F.map_filter("properties", lambda k, v: ~fits(k, v)))
-    dropped = rows.select("id", "type", F.explode(gone).alias("entry")).select("id", "type", F.col("entry.key").alias("field"), F.col("entry.value").alias("value"))
+    dropped = rows.select(*_where(rows), "id", "type", F.explode(gone).alias("entry")).select(*_where(rows), "id", "type", F.col("entry.key").alias("field"), F.col("entry.value").alias("value"))
     return kept, dropped
 
 
@@ -133,8 +138,8 @@ def split_schema(rows: DataFrame, ontology: Ontology = ONTOLOGY, edges: bool = F
 
     marked = F.map_filter(F.transform_values("properties", reason), lambda _, r: r.isNotNull())
     both = rows.withColumn("__reasons", marked)
-    gone = both.select("id", "type", "properties", F.explode("__reasons").alias("field", "reason"))
-    dropped = gone.select("id", "type", "field", F.element_at("properties", F.col("field")).alias("value"), "reason")
+    gone = both.select(*_where(rows), "id", "type", "properties", F.explode("__reasons").alias("field", "reason"))
+    dropped = gone.select(*_where(rows), "id", "type", "field", F.element_at("properties", F.col("field")).alias("value"), "reason")
     fits = F.map_filter("properties", lambda k, _: ~F.map_contains_key(F.col("__reasons"), k))
     return both.withColumn("properties", fits).drop("__reasons"), dropped
 

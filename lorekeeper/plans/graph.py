@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import edge_id, node_id
+from ..operators.chunking import chunk_texts
 from ..storage import materialise
 
 CHUNK_WORDS, CHUNK_OVERLAP = 512, 64
@@ -36,18 +37,8 @@ def _node(df: DataFrame, kind: str, subtype: str | None, user: Column, name: Col
 
 
 def chunks(documents: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """doc_id, chunk_index and text: windows of ``size`` words that start every ``size - overlap``.
-
-    Windows go on until one would start past the last word, so the last may lie within
-    the one before it.  A text without words has none.
-    """
-    if not 0 <= overlap < size:
-        raise ValueError("the overlap must be smaller than the window")
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    rows = documents.select("doc_id", words.alias("words")).where(F.size("words") > 0)
-    starts = F.posexplode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(size - overlap)))
-    rows = rows.select("doc_id", "words", starts.alias("chunk_index", "start"))
-    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(F.slice("words", F.col("start") + 1, size), " ").alias("text"))
+    """doc_id, chunk_index and text: windows of words."""
+    return chunk_texts(documents, ["doc_id"], "text", size, overlap)
 
 
 def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ingestion
+from ..functions.ontology import Ontology
+from ..operators import dedup, ingestion
 from . import graph as G
 from .queries_maintenance import _EDGES_SQL, _NODES_SQL, _SEM_PAIRS, _emitted_edges, _emitted_nodes
 from .registry import query
@@ -15,6 +16,13 @@ _STRINGS = "map<string,string>"
 _NOW = "2024-06-01"
 
 
+def _ontology() -> Ontology:
+    """The registered types, with the order that a person was met in."""
+    known = Ontology()
+    known.register_properties("person/individual", {"order": None})
+    return known
+
+
 def _text(value: str | None = None):
     return F.lit(value).cast("string")
 
@@ -48,7 +56,7 @@ def _emissions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges = _current(spark, sf_dir)
-    found = ingestion.validate(*_emissions(spark, sf_dir))
+    found = ingestion.validate(*_emissions(spark, sf_dir), ontology=_ontology())
     return ingestion.apply_writes(nodes, edges, found.nodes, found.edges, F.lit(_NOW).cast("timestamp"))[:2]
 
 
@@ -76,7 +84,7 @@ def s19_edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT u || ':event:order ' || k, 'order ' || k, 'none', 1.0 FROM o""")
 def d18_resolve_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emitted names with the nodes of the graph that they are."""
-    found = ingestion.validate(*_emissions(spark, sf_dir))
+    found = ingestion.validate(*_emissions(spark, sf_dir), ontology=_ontology())
     resolved = ingestion.resolve_nodes(ingestion.collapse_nodes(found.nodes), _current(spark, sf_dir)[0])
     return resolved.select("id", "canonical_name", "match_type", "confidence")
 
@@ -98,3 +106,57 @@ def d7_validation_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ingestion.validate(nodes, edges)
     kept = [df.select("seq", F.lit(kind).alias("kind"), F.lit("kept").alias("outcome")) for df, kind in ((found.nodes, "node"), (found.edges, "edge"))]
     return found.rejected.select("seq", "kind", F.col("reason").alias("outcome")).unionByName(kept[0]).unionByName(kept[1])
+
+
+@query(_ORDERS_SQL + "SELECT u AS user_id, 'order://' || k AS source_uri, 'node' AS kind, u || ':person:' || p AS id, 'order' AS field, 'order://' || k AS value, 'unknown_field' AS reason FROM o")
+def d7_dropped_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of all orders' people that the registered schemas do not know."""
+    found = ingestion.validate(*_emissions(spark, sf_dir))
+    return found.dropped.select("user_id", "source_uri", "kind", "id", "field", "value", "reason")
+
+
+def _things(text: str) -> tuple[list[dict], list[dict]]:
+    """A stand-in for a model: one thing a chunk, named by its number of words."""
+    return [{"type": "object", "subtype": "device", "name": f"{len(text.split())} words"}], []
+
+
+@query(G.GRAPH_SQL + """, c AS (SELECT 't' || (doc_id % 3) AS u, doc_id, chunk_index, len(regexp_extract_all(text, '\\S+')) AS n FROM chunks)
+SELECT 'node' AS kind, 'document' AS type, count(DISTINCT doc_id) AS n FROM c UNION ALL SELECT 'node', 'chunk', count(*) FROM c UNION ALL SELECT 'node', 'object', count(DISTINCT (u, n)) FROM c
+UNION ALL SELECT 'edge', 'part_of', count(*) FROM c UNION ALL SELECT 'edge', 'next', count(*) FROM c WHERE chunk_index > 0""")
+def d29_ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges by type after the whole write path over all documents."""
+    docs = G.table(spark, sf_dir, "documents").select(G.tenant(F.col("doc_id")).alias("user_id"), F.concat(F.lit("doc://"), "doc_id").alias("source_uri"), F.col("text").alias("content"))
+    nodes, edges = _current(spark, sf_dir)
+    got = ingestion.ingest_documents(docs, nodes.limit(0), edges, _things, F.lit(_NOW).cast("timestamp"))
+    count = lambda df, kind: df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
+    return count(got.nodes, "node").unionByName(count(got.edges, "edge"))
+
+
+_NEAR_SQL = """WITH v AS (SELECT 'v' || lpad(vec_id::VARCHAR, 6, '0') AS id, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+c AS (SELECT n.id, o.id AS near, round(list_cosine_similarity(n.e, o.e), 9) AS s FROM v n JOIN v o ON n.label = o.label WHERE n.vec_id % 2 = 1 AND o.vec_id % 2 = 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, near) AS r FROM c)
+"""
+
+
+@query(_NEAR_SQL + """SELECT 't:object:' || v.id AS id, CASE WHEN s >= 0.45 THEN 't:object:' || near ELSE 't:object:' || v.id END AS target_id, CASE WHEN s >= 0.45 THEN 'merged' WHEN s >= 0.35 THEN 'flagged' ELSE 'none' END AS action
+FROM v LEFT JOIN b ON b.id = v.id AND r = 1 WHERE v.vec_id % 2 = 1""")
+def d29_merge_and_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd rows of the vectors come into a graph of the even ones: merged into, flagged as like, or new beside the nearest."""
+    e = G.table(spark, sf_dir, "embeddings")
+    name = F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 6, "0"))
+    user = F.lit("t")
+    when = F.lit("2020-01-01").cast("timestamp")
+    kind = F.concat(F.lit("kind "), F.col("label").cast("string"))
+    # The label is the tenant here, so that only vectors of one label are compared.
+    values = {
+        "id": T.node_id(user, F.lit("object"), name), "user_id": kind, "type": _text("object"), "subtype": _text("device"), "name": name, "canonical_name": name, "aliases": F.array().cast("array<string>"),
+        "sources": F.array(_text("old")), "properties": F.create_map().cast(_STRINGS), "confidence": F.lit(1.0), "embedding": F.col("embedding").cast("array<double>"), "merged_into": _text(), "created_at": when, "updated_at": when,
+    }
+    nodes = e.where("vec_id % 2 = 0").select(*[v.alias(k) for k, v in values.items()])
+    new = e.where("vec_id % 2 = 1").select(kind.alias("user_id"), _text("doc://v").alias("source_uri"), F.col("vec_id").alias("seq"), _text("object").alias("type"), _text("device").alias("subtype"), name.alias("name"), F.create_map().cast(_STRINGS).alias("properties"), F.col("embedding").cast("array<double>").alias("embedding"))
+    edges = _current(spark, sf_dir)[1]
+    links = _emissions(spark, sf_dir)[1].limit(0)
+    config = dedup.DedupConfig(merge=0.45, flag=0.35, use_fuzzy=False)
+    decided = ingestion.apply_writes(nodes, edges, new, links, F.lit(_NOW).cast("timestamp"), config)[2]
+    plain = lambda c: F.concat(F.lit("t:object:"), F.element_at(F.split(F.col(c), ":"), -1)).alias(c)
+    return decided.select(plain("id"), plain("target_id"), "action")

@@ -111,3 +111,62 @@ def test_extract_and_validate(spark):
     reasons = sorted((r.kind, r.seq, r.reason) for r in found.rejected.collect())
     assert reasons == [("edge", 1, "missing_endpoint_name"), ("edge", 3, "missing_endpoint_name"), ("node", 1, "unknown_type"), ("node", 3, "missing_name"), ("node", 3, "unknown_type")]
     assert [(r.field, r.value) for r in found.dropped.where("id = 'u:person:ann'").collect()] == [("odd", "1")]
+
+
+def talk(text):
+    """A model that reads ``kind name key=value`` and ``a knows b`` lines."""
+    nodes, edges = [], []
+    for line in text.split(";"):
+        words = line.split()
+        if "fail" in words:
+            raise RuntimeError("no answer")
+        if len(words) == 3 and words[1] == "knows":
+            edges.append({"type": "related_to", "semantic_type": "knows", "source_type": "person", "source_name": words[0], "target_type": "person", "target_name": words[2], "properties": {"since": "1999", "role": "x"}})
+        elif words and words[0] == "person":
+            nodes.append({"type": "person", "subtype": "individual", "name": words[1], "properties": dict(w.split("=") for w in words[2:])})
+        elif words and words[0] == "likes":
+            nodes.append({"type": "preference", "name": "p", "properties": {"statement": "Likes " + words[1], "category": words[2]}})
+    return nodes, edges
+
+
+DOCS = [
+    ("u", "doc://1", "person Ann email=a@b shoe=42 ; person Me occupation=cook ; Me knows Ann"),
+    ("u", "doc://2", "likes Tea food ; likes Rain weather ; person ann nationality=it"),
+    ("u", "doc://3", "fail"),
+    ("v", "doc://1", "person Me"),
+    ("u", "doc://4", "   "),
+    ("u", "doc://5", None),
+]
+
+
+def test_ingest_documents(spark):
+    docs = spark.createDataFrame(DOCS, "user_id string, source_uri string, content string")
+    users = spark.createDataFrame([("u", ["me", "i"]), ("v", ["nobody", ""])], "user_id string, known array<string>")
+    nodes, edges, *_ = tables(spark)
+    got = ingestion.ingest_documents(docs, nodes, edges, talk, now(), users)
+    n, e = by_id(got.nodes), by_id(got.edges)
+    people = {k: v for k, v in n.items() if v["type"] == "person"}
+    assert set(people) == {"u:person:ann", "u:person:self", "v:person:me"}
+    assert people["u:person:ann"]["properties"] == {"email": "a@b", "nationality": "it"} and people["u:person:ann"]["sources"] == ["doc://1", "doc://2"]
+    assert people["u:person:self"]["aliases"] == ["me"] and people["u:person:self"]["properties"] == {"occupation": "cook"}
+    assert {k for k, v in n.items() if v["type"] == "preference"} == {"u:preference:likes-tea", "u:preference:likes-rain"}
+    assert "category" not in n["u:preference:likes-rain"]["properties"]
+    assert {k for k in n if n[k]["type"] == "chunk"} == {"u:chunk:doc://1#chunk-0", "u:chunk:doc://2#chunk-0", "u:chunk:doc://3#chunk-0", "v:chunk:doc://1#chunk-0"}
+    assert {k for k in e if "|has|" in k} == {"u:person:self|has|u:preference:likes-tea", "u:person:self|has|u:preference:likes-rain"}
+    assert e["u:person:self|related_to|u:person:ann"]["semantic_type"] == "knows"
+    assert "u:chunk:doc://1#chunk-0|part_of|u:document:doc://1" in e and "u:document:doc://1|mentions|u:person:self" in e
+    drops = {(r.kind, r.field, r.reason) for r in got.dropped.collect()}
+    assert drops == {("node", "shoe", "unknown_field"), ("node", "category", "invalid_value"), ("edge", "since", "unknown_field"), ("edge", "role", "unknown_field")}
+    assert [(r.source_uri, r.error) for r in got.failed.collect()] == [("doc://3", "no answer")]
+    again = ingestion.ingest_documents(docs, got.nodes, got.edges, talk, now(), users)
+    assert by_id(again.nodes) == n and by_id(again.edges) == e
+
+
+def test_chunks_of_an_encoder(spark):
+    from lorekeeper.operators.chunking import chunk_texts
+
+    docs = spark.createDataFrame([("a", "abcdefghij"), ("b", ""), ("c", None), ("d", "xy")], "k string, text string")
+    rows = chunk_texts(docs, ["k"], "text", 4, 1, lambda t: [ord(c) for c in t], lambda ts: "".join(map(chr, ts))).collect()
+    assert sorted((r.k, r.chunk_index, r.text) for r in rows) == [("a", 0, "abcd"), ("a", 1, "defg"), ("a", 2, "ghij"), ("a", 3, "j"), ("d", 0, "xy")]
+    with pytest.raises(ValueError):
+        chunk_texts(docs, ["k"], encode=lambda t: [])
