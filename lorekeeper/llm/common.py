@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_folder
 
-__all__ = ["SPACE", "NOT_SPACE", "SPACE_CHARS", "ascii_lower", "bound_batches", "join_groups", "let", "materialise", "shared_folder"]
+__all__ = ["SPACE", "NOT_SPACE", "SPACE_CHARS", "ascii_lower", "bound_batches", "join_groups", "let", "materialise", "shared_folder", "within_budget"]
 
 #: The white space of the contracts, ``[\x20\x09-\x0D]``.
 SPACE = r"[\x20\x09-\x0D]"
@@ -69,3 +69,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str
     hot = marked.where(F.col("__heavy").isNotNull()).drop("__heavy")
     rest = marked.where(F.col("__heavy").isNull()).select(*rows.columns)
     return hot.unionByName(joined(rest, groups.where(~heavy), how))
+
+
+def within_budget(sizes: list[tuple], budget: int) -> list:
+    """The keys of ``(key, size)`` in their order, as long as sizes fit into what is left; larger ones are passed over."""
+    taken = []
+    for key, size in sizes:
+        if size <= budget:
+            taken.append(key)
+            budget -= size
+    return taken

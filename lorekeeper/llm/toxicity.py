@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, within_budget
 
 #: Character n-grams of these lengths, a word's ends included, share the rows of the embedding.
 GRAMS = (3, 4, 5, 6)
@@ -19,9 +19,10 @@ DIM = 4
 #: The average is scaled up, as a few words decide among hundreds.
 SCALE = 300.0
 EPOCHS = 6
-#: The classifier is fitted on at most so many labelled documents of each class, and on at
-#: most so many characters of each.  Scores use whole texts of any length.
-MAX_TOXIC, MAX_CLEAN, MAX_SAMPLE_CHARS = 2000, 4000, 50_000
+#: The classifier is fitted on at most so many labelled documents of each class, whose whole
+#: texts have at most so many characters together.  Scores use whole texts of any length.
+MAX_TOXIC, MAX_CLEAN = 2000, 4000
+TOXIC_CHARS, CLEAN_CHARS = 4_000_000, 8_000_000
 FOLDS = 5
 
 _BASE, _SPREAD, _SHIFT = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 17)
@@ -62,6 +63,39 @@ class Softmax:
         return (self.rows @ w).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
+def bags(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct buckets and counts of all texts, one after another, and where each text begins."""
+    ids, counts, ends = [], [], [0]
+    for t in texts:
+        own, n = np.unique(subword_buckets(t), return_counts=True)
+        ids.append(own.astype(np.int32))
+        counts.append(n.astype(np.int32))
+        ends.append(ends[-1] + len(own))
+    joined = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in (ids, counts)]
+    return *joined, np.array(ends)
+
+
+def loss_and_gradients(rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, ids: np.ndarray, part: np.ndarray, sizes: np.ndarray, y: np.ndarray):
+    """The mean cross entropy of a batch, the rows that it touches, and the gradients of these, of weights and of bias.
+
+    ``ids`` are the buckets of its texts one after another, ``sizes`` how many each has, and
+    ``part`` the share of a bucket in its text.
+    """
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    mean = np.add.reduceat(rows[ids] * part[:, None], starts) * SCALE
+    z = mean @ weights + bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    loss = -np.log(p[np.arange(len(y)), y] + 1e-30).mean()
+    p[np.arange(len(y)), y] -= 1
+    p /= len(y)
+    back = p @ weights.T * SCALE
+    by_id, place = np.unique(ids, return_inverse=True)
+    each = np.repeat(back, sizes, axis=0) * part[:, None]
+    grad = np.stack([np.bincount(place, each[:, k], len(by_id)) for k in range(rows.shape[1])], axis=1).astype(rows.dtype)
+    return loss, by_id, grad, mean.T @ p, p.sum(axis=0)
+
+
 def train(texts: list[str], labels: list[int], prior: float, seed: int = 0) -> Softmax:
     """Fit embedding and softmax together by Adam steps on batches of documents.
 
@@ -69,10 +103,8 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 0) -> S
     of it in the sample.
     """
     rng = np.random.default_rng(seed)
-    bags = []
-    for t in texts:
-        ids, counts = np.unique(subword_buckets(t), return_counts=True)
-        bags.append((ids.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
+    ids, counts, ends = bags(texts)
+    sizes = np.diff(ends)
     y = np.array(labels)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     rows = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -82,27 +114,17 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 0) -> S
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step, batch = 0, 32
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(sizes))
         rate = 0.05 * (1 - epoch / EPOCHS)
         for at in range(0, len(order), batch):
-            docs = [d for d in order[at : at + batch] if len(bags[d][0])]
+            docs = [d for d in order[at : at + batch] if sizes[d]]
             if not docs:
                 continue
-            ids, part = np.concatenate([bags[d][0] for d in docs]), np.concatenate([bags[d][1] for d in docs])
-            sizes = np.array([len(bags[d][0]) for d in docs])
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            mean = np.add.reduceat(rows[ids] * part[:, None], starts) * SCALE
-            z = mean @ weights + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(docs)), y[docs]] -= 1
-            p /= len(docs)
-            back = p @ weights.T * SCALE
-            by_id, place = np.unique(ids, return_inverse=True)
-            each = np.repeat(back, sizes, axis=0) * part[:, None]
-            grad = np.stack([np.bincount(place, each[:, k], len(by_id)) for k in range(DIM)], axis=1).astype(np.float32)
+            spans = [slice(ends[d], ends[d + 1]) for d in docs]
+            part = np.concatenate([counts[s] / np.float32(counts[s].sum()) for s in spans]).astype(np.float32)
+            _, by_id, *grads = loss_and_gradients(rows, weights, bias, np.concatenate([ids[s] for s in spans]), part, sizes[docs], y[docs])
             step += 1
-            for i, (where, g) in enumerate(((by_id, grad), (slice(None), mean.T @ p), (slice(None), p.sum(axis=0)))):
+            for i, (where, g) in enumerate(zip((by_id, slice(None), slice(None)), grads, strict=True)):
                 first[i][where] = 0.9 * first[i][where] + 0.1 * g
                 second[i][where] = 0.999 * second[i][where] + 0.001 * g * g
                 params[i][where] -= rate * (first[i][where] / (1 - 0.9**step)) / (np.sqrt(second[i][where] / (1 - 0.999**step)) + 1e-8)
@@ -131,8 +153,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int], f
     """Texts and labels of a bounded sample of the rows outside the held-out fold, and the share of toxic ones.
 
     At most ``MAX_TOXIC`` and ``MAX_CLEAN`` documents in the order of a seeded hash; of rows
-    that repeat a doc_id the one with the least hash of its text.  Each gives at most
-    ``MAX_SAMPLE_CHARS`` code points, so the sample is bounded in rows and characters.
+    that repeat a doc_id the one with the least hash of its text.  Texts are whole: of each
+    class those are taken, in the same order, that fit into its budget of characters.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -140,11 +162,21 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int], f
     order = F.xxhash64("doc_id")
     # The limits are the bound of the sample that the classifier is fitted on.
     chosen = known.where("toxic = 1").orderBy(order).limit(MAX_TOXIC).union(known.where("toxic = 0").orderBy(order).limit(MAX_CLEAN))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.coalesce(F.col("text"), F.lit("")), 1, MAX_SAMPLE_CHARS).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = sorted(found.collect())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    held = texts.join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("text"))
+    sizes = held.groupBy("doc_id", "toxic").agg(F.min(F.struct("h", F.length("text").alias("n"))).alias("x")).select("doc_id", "toxic", "x.*", order.alias("place")).collect()
+    taken = {}
+    for toxic, budget in ((1, TOXIC_CHARS), (0, CLEAN_CHARS)):
+        rows = sorted((r["place"], r["doc_id"], r["h"], r["n"]) for r in sizes if r["toxic"] == toxic)
+        taken |= dict(within_budget([((i, h), n) for _, i, h, n in rows], budget))
     n = sum(counts.values())
-    return [r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / n if n else 0.0
+    prior = counts.get(1, 0) / n if n else 0.0
+    if not taken:
+        return [], [], prior
+    picked = docs.sparkSession.createDataFrame(list(taken.items()), "doc_id long, h long")
+    found = held.join(F.broadcast(picked), ["doc_id", "h"]).groupBy("doc_id", "toxic").agg(F.any_value("text").alias("text"))
+    rows = sorted(found.collect())
+    return [r["text"] for r in rows], [r["toxic"] for r in rows], prior
 
 
 def _score_column(docs: DataFrame, labels: DataFrame) -> tuple[Column, bool]:

@@ -75,7 +75,7 @@ def test_scores_are_the_softmax_of_averaged_rows():
 def test_training_sample_is_one_bounded_text_a_document(spark):
     docs = spark.createDataFrame([(1, "b" * 90_000), (1, "a" * 10), (3, None), (3, "")], "doc_id long, text string")
     texts, toxic, prior = toxicity._sample(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int"))
-    assert len(texts) == len(toxic) == len({*toxic}) and all(len(t) <= toxicity.MAX_SAMPLE_CHARS for t in texts) and prior == 0.5
+    assert len(texts) == len(toxic) == len({*toxic}) and prior == 0.5
     only = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, toxic int")
     assert toxicity.drop_toxic(docs, only).count() == 4
 
@@ -384,3 +384,147 @@ def test_raw_elements_without_end_take_linear_time():
 
 def test_unescape_is_not_repeated():
     assert html_extract.main_text("<p>&amp;lt;b&amp;gt; stays</p>", {}) == html.unescape("&amp;lt;b&amp;gt;") + " stays"
+
+
+ARTICLE = "".join(f"<p>Sentence number {i} of the article tells what happened on that day.</p>" for i in range(4))
+AROUND = (
+    '<nav><ul><li><a href="/a">Menu one</a></li></ul></nav><div id="cookie-consent"><p>We use cookies, accept them.</p></div>',
+    '<div class="sidebar"><ul><li><a href="/x">Another story of another day</a></li><li><a href="/y">One more story</a></li></ul></div>'
+    '<div class="comments"><p>I liked this very much, said a reader.</p></div><div class="share"><a href="/s">Share this</a></div><footer>Imprint</footer>',
+)
+
+
+@pytest.mark.parametrize(
+    "layout",
+    [
+        '<div class="content-sidebar-wrap"><main class="content">{}</main></div>',
+        '<div class="widget Blog" id="Blog1"><div class="post hentry"><h3>A title</h3>{}</div></div>',
+        '<div class="post social">{}</div>',
+        '<section class="related-content">{}</section>',
+        '<div class="article-modal">{}</div>',
+        '<div class="widget-body">{}</div>',
+        '<form id="aspnetForm" action="/"><label>Search</label><input><select><option>One choice</select><button>Go</button><div>{}</div></form>',
+        '<div class="banner-wrapper"><div class="ad-content"><div class="post">{}</div></div></div>',
+    ],
+)
+@pytest.mark.parametrize("beside", [False, True])
+def test_a_name_does_not_remove_an_article(layout, beside):
+    page = (AROUND[0] if beside else "") + layout.format(ARTICLE) + (AROUND[1] if beside else "")
+    text = html_extract.main_text(f"<html><body>{page}</body></html>", {})
+    want = [f"Sentence number {i} of the article tells what happened on that day." for i in range(4)]
+    assert [line for line in text.split("\n") if line != "A title"] == want
+
+
+def test_a_named_part_of_an_article_goes():
+    for name in ("share", "related-posts", "newsletter-signup", "ad"):
+        page = f'<div class="post">{ARTICLE}<div class="{name}"><p>Some words that are none of the article.</p></div>{ARTICLE}</div>'
+        assert "none of" not in html_extract.main_text(page, {}), name
+    many = '<div class="comments">' + "<p>A reader says a lot about this, and more.</p>" * 50 + "</div>"
+    assert "reader" not in html_extract.main_text(f"<h1>Title of it</h1>{ARTICLE}{many}", {})
+    assert "reader" not in html_extract.main_text(f"<article>{ARTICLE}</article>{many}", {})
+
+
+def test_elements_inside_a_line_end_no_block():
+    text = lambda page: html_extract.main_text(page, {})
+    assert text("<p>Prices <svg><path d='m'/><text>no</text></svg> rose</p>") == "Prices rose"
+    assert text("<p>Let <math><semantics><mi>x</mi><annotation>no</annotation></semantics></math> be</p>") == "Let x be"
+    assert text("<p>Look <picture><source srcset='a'><img src='b'></picture> here</p>") == "Look here"
+    assert text("<p>One <script>no()</script>and <template>no</template>two <iframe>no</iframe><canvas>no</canvas><object>no</object>three</p>") == "One and two three"
+    assert text("<p>First <video><source src='v'></video>and <meter>half</meter></p><p>second</p>") == "First and half\nsecond"
+
+
+def brute_blocks(tree) -> list[str]:
+    """Blocks of a generated page: a list of texts, ("b", children) for blocks and ("i", children) for inline elements."""
+    done, line = [], []
+
+    def walk(node):
+        if isinstance(node, str):
+            line.append(node)
+            return
+        for c in node[1]:
+            if node[0] == "b" or not isinstance(c, str):
+                pass
+            walk_in(c)
+
+    def flush():
+        if words := " ".join("".join(line).split()):
+            done.append(words)
+        line.clear()
+
+    def walk_in(c):
+        if not isinstance(c, str) and c[0] == "b":
+            flush()
+            walk(c)
+            flush()
+        else:
+            walk(c)
+
+    walk_in(tree)
+    flush()
+    return done
+
+
+def test_blocks_of_generated_pages():
+    rng = random.Random(21)
+
+    def make(depth, inline):
+        children = []
+        for _ in range(rng.randint(1, 4)):
+            if depth and rng.random() < 0.6:
+                children.append(("i", make(depth - 1, True)) if inline or rng.random() < 0.5 else ("b", make(depth - 1, False)))
+            else:
+                children.append(" ".join(rng.choices(["word", "other", "third"], k=rng.randint(3, 9))) + rng.choice(["", " ", "\n"]))
+        return children
+
+    def markup(node):
+        if isinstance(node, str):
+            return node
+        name = rng.choice(["div", "section", "blockquote"] if node[0] == "b" else ["b", "span", "picture", "em"])
+        return f"<{name}>{''.join(map(markup, node[1]))}</{name}>"
+
+    for _ in range(60):
+        tree = ("b", make(4, False))
+        # All of the page is content: no tag costs more than the words around it.
+        weights = {k: -0.001 for k in ("div", "/div", "section", "/section", "blockquote", "/blockquote")} | {k: -0.001 for n in ("b", "span", "picture", "em") for k in (n, f"/{n}")}
+        assert html_extract.main_text(markup(tree), weights).split("\n") == brute_blocks(tree)
+
+
+def test_gradients_against_finite_differences():
+    rng = np.random.default_rng(4)
+    rows, weights, bias = rng.normal(0, 0.01, (30, 3)), rng.normal(0, 1, (3, 2)), rng.normal(0, 1, 2)
+    sizes, y = np.array([4, 1, 6]), np.array([1, 0, 1])
+    ids, part = rng.integers(0, 30, sizes.sum()), rng.random(sizes.sum())
+    _, by_id, g_rows, g_weights, g_bias = toxicity.loss_and_gradients(rows, weights, bias, ids, part, sizes, y)
+    full = np.zeros_like(rows)
+    full[by_id] = g_rows
+
+    def slope(param, at):
+        step, keep = 1e-6, param[at]
+        param[at] = keep + step
+        above = toxicity.loss_and_gradients(rows, weights, bias, ids, part, sizes, y)[0]
+        param[at] = keep - step
+        below = toxicity.loss_and_gradients(rows, weights, bias, ids, part, sizes, y)[0]
+        param[at] = keep
+        return (above - below) / (2 * step)
+
+    for param, grad in ((rows, full), (weights, g_weights), (bias, g_bias)):
+        for at in np.ndindex(*param.shape):
+            assert slope(param, at) == pytest.approx(grad[at], rel=1e-4, abs=1e-6)
+
+
+def test_sample_takes_whole_texts_within_its_budget(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CLEAN_CHARS", 1000)
+    monkeypatch.setattr(toxicity, "TOXIC_CHARS", 450)
+    docs = spark.createDataFrame([(i, "x" * 100 if i % 7 else "y" * 2000) for i in range(200)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    texts, toxic, prior = toxicity._sample(docs, marks)
+    assert {len(t) for t in texts} == {100} and sum(toxic) == 4 and len(toxic) == 14 and 0.4 < prior < 0.6
+
+
+def test_training_on_long_texts_stays_small():
+    """The largest sample that the budgets allow, of random texts: bags are 8 bytes a distinct n-gram."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=50_000)) for _ in range(8)]
+    ids, counts, ends = toxicity.bags(texts)
+    a_char = (ids.nbytes + counts.nbytes) / sum(map(len, texts))
+    assert a_char * (toxicity.TOXIC_CHARS + toxicity.CLEAN_CHARS) < 350e6 and ends[-1] == len(ids) == len(counts)
