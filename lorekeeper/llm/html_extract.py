@@ -56,8 +56,8 @@ _PARTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 #: Names of what stands above a page, whose first heading is the site's.
 _HEADS = re.compile(r"header|masthead|banner|toolbar", re.I)
-#: An element of which more is links, or whose blocks have fewer words on average, is no text.
-MOST_LINKED, LEAST_WORDS = 0.5, 5
+#: An element of which more is links, whose blocks have fewer words on average, or which has fewer in all is no text.
+MOST_LINKED, LEAST_WORDS, LEAST_TEXT = 0.5, 5, 25
 
 
 @dataclass
@@ -262,7 +262,7 @@ def _removed(elements: list[Element], contents: list[tuple[int, int, int]], n_wo
         elif main is not None:
             out[i] = i not in holds
         else:
-            text = linked[i] <= MOST_LINKED * own[i] and own[i] >= LEAST_WORDS * blocks[i]
+            text = linked[i] <= MOST_LINKED * own[i] and own[i] >= max(LEAST_WORDS * blocks[i], LEAST_TEXT)
             most = 2 * own[i] > whole and text and not e.comments
             titles = titled[i] and 5 * own[i] >= whole and text and not (e.head or e.comments)
             out[i] = not (most or titles)
