@@ -68,7 +68,7 @@ class Memory:
         vectors = None
         if self.embed is not None and "embedding" in self.graph.nodes.columns:
             vectors = search.vector_search(self.graph.nodes, self.embed(question), top_k)
-        texts = self.graph.nodes.withColumn("text", search.node_text())
+        texts = self.graph.nodes.withColumn("text", search.node_text(self.graph.nodes.columns))
         return search.hybrid_search(vectors, search.text_search(texts, question, top_k), top_k)
 
     def search_and_expand(self, question: str, top_k: int = 10, max_hops: int = 1) -> tuple[DataFrame, DataFrame]:

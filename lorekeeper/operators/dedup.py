@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_similarity
 from ..functions.text import capped_union, edge_id, merge_maps, normalize_name, per_key_merge
+from ..storage import materialise
+from .components import component_roots
+from .grouping import first_values
 from .neighbors import nearest_in_tiles
 
 MAX_ALIASES, MAX_SOURCES = 50, 500
@@ -170,24 +173,70 @@ def edge_collapse(edges: DataFrame, order: str) -> DataFrame:
     return edges.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 
 
+def live_ends(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a_id, b_id) of different live nodes: a tombstone's end goes to the node that it was merged into."""
+    gone = nodes.where(F.coalesce("merged_into", F.lit("")) != "").select("id", F.col("merged_into").alias("into"))
+    pairs = materialise(pairs.select("a_id", "b_id"), "pairs")
+    # A merge may have followed a merge; each round takes one step of all ends.
+    while True:
+        for end in ("a_id", "b_id"):
+            pairs = pairs.join(gone.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("into", end)).drop("into")
+        pairs = materialise(pairs.where("a_id <> b_id").distinct(), "pairs")
+        ends = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id")))
+        if ends.join(gone, "id", "left_semi").isEmpty():
+            break
+    for end in ("a_id", "b_id"):
+        pairs = pairs.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    return pairs
+
+
+def contractions(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """winner_id and loser_id for each node but one of each component of ``pairs``, and the loser's place behind the winner.
+
+    The winner is the oldest, if all of the component have a date, then the surest, then the
+    one with the smallest id: for a single pair this is ``winner_first``.  The order of
+    the pairs does not matter.
+    """
+    of = component_roots(pairs).join(nodes.select("id", "created_at", F.coalesce("confidence", F.lit(0.0)).alias("sure")), "id")
+    dated = of.groupBy("root").agg(F.count_if(F.col("created_at").isNull()).alias("undated"))
+    placed = of.join(dated, "root").select("root", "id", F.struct(F.when(F.col("undated") == 0, F.col("created_at")).alias("created_at"), (-F.col("sure")).alias("sure"), "id").alias("place"))
+    first = placed.groupBy("root").agg(F.min_by("id", "place").alias("winner_id"))
+    return placed.join(first, "root").where("id <> winner_id").select("winner_id", F.col("id").alias("loser_id"), "place")
+
+
 def confirm(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, now: Column, strategy: str = "merge_properties") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges after the merges of confirmed ``pairs`` (a_id, b_id), each node in one pair at most.
+    """Nodes and edges after the merges of confirmed ``pairs`` (a_id, b_id), which may share nodes.
 
-    The winner takes what the strategy says and the loser becomes a tombstone that names
-    it; edges go to the winner.  A pair whose loser is a tombstone already changes nothing,
-    so a repeated run gives the same tables.
+    Nodes that pairs connect become one: the winner takes what the strategy says of all
+    others, which become tombstones that name it; edges go to the winner.  Ends that are
+    tombstones already stand for the node that they were merged into, so a repeated run
+    gives the same tables.
     """
-    alive = nodes.where(F.coalesce("merged_into", F.lit("")) == "")
-    side = lambda p: alive.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "created_at", "confidence")])
-    chosen = pairs.join(side("a"), "a_id").join(side("b"), "b_id").withColumn("first", winner_first())
-    merged = chosen.select(F.when(F.col("first"), F.col("a_id")).otherwise(F.col("b_id")).alias("winner_id"), F.when(F.col("first"), F.col("b_id")).otherwise(F.col("a_id")).alias("loser_id"))
-    fields = ("name", "aliases", "sources", "confidence", "properties")
-    of = lambda p: nodes.select(F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in fields])
-    both = merged.join(of("w"), F.col("winner_id") == F.col("w_id")).join(of("l"), F.col("loser_id") == F.col("l_id"))
-    kept = merge_nodes(both, strategy).select("id", *[F.col(c).alias(f"n_{c}") for c in fields[1:]])
+    if strategy not in ("keep_primary", "merge_properties", "keep_aliases"):
+        raise ValueError(strategy)
+    merged = materialise(contractions(nodes, live_ends(nodes, pairs)), "contractions")
+    losers = merged.join(nodes.select(F.col("id").alias("loser_id"), "name", "aliases", "sources", "confidence", "properties"), "loser_id")
+    names = F.explode(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name")))
+    kept = first_values(losers.select("winner_id", names.alias("value")), "winner_id", F.col("value"), MAX_ALIASES, "n_aliases")
+    sources = losers.select("winner_id", F.explode("sources").alias("value"))
+    kept = kept.join(first_values(sources, "winner_id", F.col("value"), MAX_SOURCES, "n_sources"), "winner_id", "left")
+    kept = kept.join(losers.groupBy("winner_id").agg(F.max("confidence").alias("n_confidence")), "winner_id", "left")
+    each = losers.select("winner_id", "place", F.explode("properties").alias("field", "value")).where("value is not null")
+    # Of equal lengths the value of the loser next to the winner stays.
+    each = each.groupBy("winner_id", "field").agg(F.min_by("value", F.struct((-F.length("value")).alias("n"), "place")).alias("value"))
+    maps = each.groupBy("winner_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("n_properties"))
+    kept = kept.join(maps, "winner_id", "left").withColumnRenamed("winner_id", "id")
+
     out = nodes.join(kept, "id", "left").join(merged.select(F.col("loser_id").alias("id"), "winner_id"), "id", "left")
-    new = {c: F.coalesce(f"n_{c}", c) for c in fields[1:]} | {"merged_into": F.coalesce("winner_id", "merged_into"), "merged_at": F.when(F.col("winner_id").isNotNull(), now).otherwise(F.col("merged_at"))}
-    return out.withColumns(new).select(*nodes.columns), transfer_edges(edges, merged)
+    won, none = F.col("n_aliases").isNotNull(), F.create_map().cast("map<string,string>")
+    new = {"aliases": capped_union(F.col("aliases"), F.col("n_aliases"), MAX_ALIASES), "sources": capped_union(F.col("sources"), F.col("n_sources"), MAX_SOURCES)}
+    if strategy != "keep_aliases":
+        new["confidence"] = F.greatest("confidence", "n_confidence")
+    if strategy == "merge_properties":
+        new["properties"] = per_key_merge(F.coalesce("properties", none), F.coalesce("n_properties", none))
+    new = {c: F.when(won, v).otherwise(F.col(c)) for c, v in new.items()}
+    new |= {"merged_into": F.coalesce("winner_id", "merged_into"), "merged_at": F.when(F.col("winner_id").isNotNull(), now).otherwise(F.col("merged_at"))}
+    return out.withColumns(new).select(*nodes.columns), transfer_edges(edges, merged.select("loser_id", "winner_id"))
 
 
 def sweep_writes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,13 +12,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ontology import ONTOLOGY, Ontology
 from ..functions.text import capped_union, edge_id, node_id, normalize_name, per_key_merge, slugify, typed_embedding_text
 from ..storage import materialise
 from . import dedup, resolution, validation
+from .grouping import first_values, merged_properties
 from .chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_texts
 
 #: text -> (nodes, edges), each a dict with the fields that the model found.
@@ -107,23 +108,6 @@ def own_id(user: Column, kind: Column, name: Column) -> Column:
     return node_id(user, kind, F.when(kind.isin(*_STRUCTURAL), name).otherwise(normalize_name(name)))
 
 
-def _first_values(rows: DataFrame, key: str, value: Column, limit: int, name: str) -> DataFrame:
-    """The first ``limit`` distinct values of each key as an array.
-
-    The limit holds in each task before the shuffle, so a key with most of the rows sends little.
-    """
-    order = Window.partitionBy(key).orderBy("value")
-    some = rows.select(key, value.alias("value")).where("value is not null").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    return some.groupBy(key).agg(F.array_sort(F.collect_list("value")).alias(name))
-
-
-def _merged_properties(rows: DataFrame, key: str, best: Column) -> DataFrame:
-    """One map a key: of the values of a property the one with the greatest ``best``, aggregated before the shuffle."""
-    each = rows.select(key, "seq", F.explode("properties").alias("field", "value")).where("value is not null")
-    each = each.groupBy(key, "field").agg(F.max_by("value", best).alias("value"))
-    return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("properties"))
-
-
 def collapse_nodes(emitted: DataFrame) -> DataFrame:
     """One row an id: the last row's name and subtype, the last value of each property, at most 500 sources."""
     rows = emitted.withColumn("id", own_id(F.col("user_id"), F.col("type"), F.col("name")))
@@ -132,11 +116,11 @@ def collapse_nodes(emitted: DataFrame) -> DataFrame:
     if "embedding" in emitted.columns:
         firsts.append(F.max_by("embedding", F.when(F.col("embedding").isNotNull(), last)).alias("embedding"))
     out = rows.groupBy("id").agg(*firsts)
-    out = out.join(_merged_properties(rows, "id", F.struct("seq", "value")), "id", "left").join(_first_values(rows, "id", F.col("source_uri"), dedup.MAX_SOURCES, "sources"), "id", "left")
+    out = out.join(merged_properties(rows, "id", F.struct("seq", "value")), "id", "left").join(first_values(rows, "id", F.col("source_uri"), dedup.MAX_SOURCES, "sources"), "id", "left")
     empty = {"properties": F.create_map().cast(_STRINGS), "sources": F.array().cast("array<string>")}
     if "aliases" in emitted.columns:
         names = rows.select("id", F.explode("aliases").alias("alias"))
-        out = out.join(_first_values(names, "id", F.col("alias"), dedup.MAX_ALIASES, "aliases"), "id", "left")
+        out = out.join(first_values(names, "id", F.col("alias"), dedup.MAX_ALIASES, "aliases"), "id", "left")
         empty["aliases"] = F.array().cast("array<string>")
     return out.withColumns({c: F.coalesce(c, v) for c, v in empty.items()})
 
@@ -177,11 +161,11 @@ def _merge_into(nodes: DataFrame, rows: DataFrame, strategy: str, now: Column) -
     """Nodes after rows were merged into their ``target_id``: names, sources and what the strategy says."""
     if strategy not in ("keep_primary", "merge_properties", "keep_aliases"):
         raise ValueError(strategy)
-    new = _first_values(rows, "target_id", F.col("name"), dedup.MAX_ALIASES, "n_aliases")
+    new = first_values(rows, "target_id", F.col("name"), dedup.MAX_ALIASES, "n_aliases")
     sources = rows.select("target_id", F.explode("sources").alias("source"))
-    new = new.join(_first_values(sources, "target_id", F.col("source"), dedup.MAX_SOURCES, "n_sources"), "target_id", "left")
+    new = new.join(first_values(sources, "target_id", F.col("source"), dedup.MAX_SOURCES, "n_sources"), "target_id", "left")
     values = rows.select("target_id", F.lit(0).alias("seq"), "properties")
-    new = new.join(_merged_properties(values, "target_id", F.struct(F.length("value"), "value")).withColumnRenamed("properties", "n_properties"), "target_id", "left")
+    new = new.join(merged_properties(values, "target_id", F.struct(F.length("value"), "value")).withColumnRenamed("properties", "n_properties"), "target_id", "left")
     out = nodes.join(new.withColumnRenamed("target_id", "id"), "id", "left")
     came = F.col("n_aliases").isNotNull()
     none = F.create_map().cast(_STRINGS)
@@ -204,8 +188,8 @@ def upsert_edges(edges: DataFrame, incoming: DataFrame, now: Column) -> DataFram
     last = F.struct("seq", "source_uri", F.coalesce("semantic_type", F.lit("")))
     fields = ("user_id", "type", "semantic_type", "source_node_id", "source_type", "target_node_id", "target_type")
     new = incoming.groupBy("id").agg(*[F.max_by(c, last).alias(f"n_{c}") for c in fields])
-    new = new.join(_merged_properties(incoming, "id", F.struct("seq", "value")).withColumnRenamed("properties", "n_properties"), "id", "left")
-    new = new.join(_first_values(incoming, "id", F.col("source_uri"), dedup.MAX_SOURCES, "n_sources"), "id", "left")
+    new = new.join(merged_properties(incoming, "id", F.struct("seq", "value")).withColumnRenamed("properties", "n_properties"), "id", "left")
+    new = new.join(first_values(incoming, "id", F.col("source_uri"), dedup.MAX_SOURCES, "n_sources"), "id", "left")
     both = edges.select(*EDGE_COLUMNS).join(new, "id", "full_outer")
     came, none = F.col("n_user_id").isNotNull(), F.create_map().cast(_STRINGS)
     old, add = F.coalesce("properties", none), F.coalesce("n_properties", none)

@@ -89,9 +89,10 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
 
 
-def node_text() -> Column:
-    """What a node is searched by: its name, aliases, content and the aliases among its properties."""
-    return F.concat_ws(" ", "name", F.array_join("aliases", " "), F.element_at("properties", "content"), F.element_at("properties", "aliases"))
+def node_text(columns: list[str]) -> Column:
+    """What a node is searched by: its name, aliases, content and the aliases among its properties, as far as it has them."""
+    fields = {"name": [F.col("name")], "aliases": [F.array_join("aliases", " ")], "properties": [F.element_at("properties", "content"), F.element_at("properties", "aliases")]}
+    return F.concat_ws(" ", *[c for name, cs in fields.items() if name in columns for c in cs])
 
 
 def text_search(docs: DataFrame, query: str, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import capped_union, merge_maps
+from ..functions.text import capped_union
+from .grouping import first_values, merged_properties
 
 
 def upsert_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -37,14 +38,15 @@ def upsert_nodes(current: DataFrame, incoming: DataFrame, now, max_aliases: int
     """Nodes after an upsert: properties merged (the last incoming wins), aliases and sources united.
 
     Creation stays, update is ``now`` where a row came in.  Incoming rows have id, name,
-    properties, aliases, sources, seq (their order) and are collapsed by id before the join.
+    properties, aliases, sources, seq (their order) and are collapsed by id before the join;
+    aliases and sources are limited in each task before they are shuffled.
     """
     empty = F.create_map().cast("map<string,string>")
-    merged = merge_maps(F.collect_list(F.struct("seq", "properties")), ["seq"])
-    new = incoming.groupBy("id").agg(
-        F.max_by("name", "seq").alias("n_name"), merged.alias("n_properties"),
-        F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("n_aliases"), F.array_distinct(F.flatten(F.collect_list("sources"))).alias("n_sources"),
-    )
+    new = incoming.groupBy("id").agg(F.max_by("name", "seq").alias("n_name"))
+    new = new.join(merged_properties(incoming, "id", F.struct("seq", "value")).withColumnRenamed("properties", "n_properties"), "id", "left")
+    for values, limit in (("aliases", max_aliases), ("sources", max_sources)):
+        each = incoming.select("id", F.explode(values).alias("value"))
+        new = new.join(first_values(each, "id", F.col("value"), limit, f"n_{values}"), "id", "left")
     rows = current.join(new, "id", "full_outer")
     old, add = F.coalesce("properties", empty), F.coalesce("n_properties", empty)
     return rows.select(

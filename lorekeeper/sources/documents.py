@@ -64,7 +64,7 @@ def conversation_documents(turns: DataFrame) -> DataFrame:
 
 def file_documents(spark: SparkSession, path: str) -> DataFrame:
     """Text, markdown and HTML files under a path, one document each."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("source_uri"), F.col("_metadata.file_name").alias("title"), "value")
     suffix = F.lower(F.regexp_extract("title", r"(\.[^.]+)$", 1))
     content = F.when(suffix == ".html", W.html_text(F.col("value"))).otherwise(F.col("value"))

@@ -82,7 +82,7 @@ class Tables:
 
 def node_terms(nodes: DataFrame) -> DataFrame:
     """id, n_terms and the terms of each node's search text: what the text index takes from it."""
-    rows = nodes.select("id", terms(node_text()).alias("terms"))
+    rows = nodes.select("id", terms(node_text(nodes.columns)).alias("terms"))
     return rows.select("id", F.size("terms").alias("n_terms"), "terms")
 
 

@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from lorekeeper.plans import queries_graph, queries_ingestion, queries_maintenance, queries_more, queries_search, queries_surface, registry  # noqa: F401
+from lorekeeper.plans import queries_graph, queries_ingestion, queries_maintenance, queries_more, queries_search, queries_store, queries_surface, registry  # noqa: F401
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -107,3 +107,12 @@ def test_resolve_user(spark):
     for args in ((), ("x",), (None, "zed", "u")):
         with pytest.raises(ValueError):
             resolve_user(users, *args)
+
+
+def test_search_fields_of_nodes(spark):
+    rows = [("1", "alpha", ["beta"], {"content": "gamma words", "aliases": "delta"}), ("2", "other", [], {"title": "gamma"}), ("3", "beta", [], None)]
+    nodes = spark.createDataFrame([(i, "u", "object", n, a, p) for i, n, a, p in rows], "id string, user_id string, type string, name string, aliases array<string>, properties map<string,string>")
+    edges = spark.createDataFrame([], "id string, user_id string, type string, source_node_id string, target_node_id string")
+    memory = Memory("u", nodes, edges)
+    found = {q: {r.id for r in memory.search(q).collect()} for q in ("alpha", "beta", "gamma", "delta", "?", "")}
+    assert found == {"alpha": {"1"}, "beta": {"1", "3"}, "gamma": {"1"}, "delta": {"1"}, "?": set(), "": set()}
