@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, NullType, StructType
 
 from .search import vector_search
 from .traversal import graph_lookup, graph_lookup_each
@@ -18,6 +19,7 @@ from .traversal import graph_lookup, graph_lookup_each
 #: Rows that a pipeline returns at most, and hops that a lookup goes.
 MAX_RESULTS, MAX_DEPTH = 100, 5
 _PLACE = "__place"
+_MISSING = {"$literal": None}
 
 
 class PipelineError(ValueError):
@@ -30,6 +32,43 @@ def field(path: str) -> Column:
     return reduce(lambda c, k: c[k], rest, F.col(head))
 
 
+def _known(kind: DataType, path: str) -> bool:
+    """Whether a dotted path leads to a field of the schema; what a map holds is known only to its rows."""
+    for key in path.split("."):
+        while isinstance(kind, ArrayType):
+            kind = kind.elementType
+        if isinstance(kind, MapType):
+            return True
+        if not isinstance(kind, StructType) or key not in kind.fieldNames():
+            return False
+        kind = kind[key].dataType
+    return True
+
+
+def _with_missing(e, schema: StructType):
+    """An expression in which fields that no row has are null."""
+    if isinstance(e, str) and e.startswith("$") and not e.startswith("$$"):
+        return e if _known(schema, e[1:]) else _MISSING
+    if isinstance(e, list):
+        return [_with_missing(x, schema) for x in e]
+    if isinstance(e, dict) and "$literal" not in e:
+        return {k: _with_missing(v, schema) for k, v in e.items()}
+    return e
+
+
+def _resolved(name: str, a, schema: StructType):
+    """A stage's argument in which fields that no row has are null: they sort nothing and unwind to nothing."""
+    if name == "$match":
+        return {k: _with_missing(v, schema) if k == "$expr" else [_resolved(name, q, schema) for q in v] if k in ("$and", "$or", "$nor") else v for k, v in a.items()}
+    if name == "$sort":
+        return {k: v for k, v in a.items() if _known(schema, k)}
+    if name == "$project":
+        return {k: _MISSING if v in (1, True) and not isinstance(v, dict) and not _known(schema, k) else _with_missing(v, schema) for k, v in a.items()}
+    if name in ("$addFields", "$group", "$sortByCount", "$bucket", "$bucketAuto", "$redact", "$graphLookup"):
+        return _with_missing(a, schema)
+    return a
+
+
 def expression(e) -> Column:
     """A computed value: ``$field``, a literal, or one operator with its arguments."""
     if e == "$$ROOT":
@@ -130,8 +169,8 @@ def _match(df: DataFrame, a: dict, _) -> DataFrame:
 
 def _sort(df: DataFrame, a: dict, context: dict) -> DataFrame:
     """Ordered rows; a later ``$group`` takes its first and last rows in this order."""
-    context["order"] = _order(a)
-    return df.orderBy(*context["order"])
+    context["order"] = a
+    return df.orderBy(*_order(a)) if a else df
 
 
 def _project(df: DataFrame, a: dict, _) -> DataFrame:
@@ -148,32 +187,61 @@ def _add_fields(df: DataFrame, a: dict, _) -> DataFrame:
     return df.withColumns({k: expression(v) for k, v in a.items()})
 
 
-def _order(a: dict) -> list[Column]:
-    return [field(k).asc_nulls_first() if v > 0 else field(k).desc_nulls_last() for k, v in a.items()]
+def _order(a: dict, last: bool = False) -> list[Column]:
+    return [field(k).asc_nulls_first() if (v > 0) != last else field(k).desc_nulls_last() for k, v in a.items()]
 
 
 def _group(df: DataFrame, a: dict, context: dict) -> DataFrame:
-    """Accumulators by key.  ``$first`` and ``$last`` of a value take the order of the ``$sort`` before, by a window within each key."""
+    """Accumulators by key.
+
+    ``$first`` and ``$last`` of a value are read from the first and last row of each key in
+    the order of the ``$sort`` before.  Each task finds its own first and last rows before
+    the shuffle, so one row a task and key is sent, also where the key is null for all rows.
+    """
     key = a["_id"]
     order = context.pop("order", None)
-    placed = order is not None and any(k in ("$first", "$last") and not isinstance(x, list) for v in a.values() if isinstance(v, dict) for k, x in v.items())
     if isinstance(key, dict) and not any(k.startswith("$") for k in key):
-        keys = [expression(v).alias(k) for k, v in key.items()]
+        keys = {k: expression(v) for k, v in key.items()}
     else:
-        keys = [] if key is None else [expression(key).alias("_id")]
-    if placed:
-        # Values that the accumulators name are read as they were, so the place is a column beside them.
-        df = df.withColumn(_PLACE, F.row_number().over(Window.partitionBy(*([F.lit(0)] if key is None else keys)).orderBy(*order)))
-    aggs = [_accumulator(v, placed).alias(k) for k, v in a.items() if k != "_id"]
-    return (df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()) if keys else df.agg(*aggs)
-
-
-def _accumulator(spec: dict, placed: bool = False) -> Column:
+        keys = {} if key is None else {"_id": expression(key)}
+    ends = {"$first": {}, "$last": {}}
+    rest = {}
+    for name, spec in a.items():
+        if name == "_id":
+            continue
+        (op, arg), = spec.items()
+        (ends[op] if order and op in ends and not isinstance(arg, list) else rest)[name] = arg if order and op in ends and not isinstance(arg, list) else spec
+    aggs = [_accumulator(v).alias(k) for k, v in rest.items()]
+    named = [c.alias(k) for k, c in keys.items()]
+    if not any(ends.values()):
+        return (df.groupBy(*named).agg(*aggs) if aggs else df.select(*named).distinct()) if keys else df.agg(*aggs)
+    own = {f"__k{i}": c for i, c in enumerate(keys.values())} or {"__k0": F.lit(0)}
+    values = {name: arg for at in ends.values() for name, arg in at.items()}
+    # Both the keys and what is asked for are computed before the rows are placed.
+    held = df.select("*", *[c.alias(k) for k, c in own.items()], *[expression(v).alias(f"__v_{n}") for n, v in values.items()])
+    out = None
+    for op, asked in ends.items():
+        if asked:
+            place = F.row_number().over(Window.partitionBy(*own).orderBy(*_order(order, op == "$last")))
+            found = held.withColumn(_PLACE, place).where(F.col(_PLACE) == 1).select(*own, *[F.col(f"__v_{n}").alias(n) for n in asked])
+            out = found if out is None else _same_keys(out, found, list(own))
+    if aggs:
+        counted = df.groupBy(*[c.alias(k) for k, c in own.items()]).agg(*aggs)
+        out = _same_keys(out, counted, list(own))
+    names = list(own) if keys else []
+    return out.select(*[F.col(k).alias(n) for k, n in zip(names, keys, strict=True)], *[n for n in a if n != "_id"])
+
+
+def _same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables of one row a key side by side; null is a key."""
+    b = b.withColumnsRenamed({k: f"{k}_" for k in keys})
+    return a.join(b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]).drop(*[f"{k}_" for k in keys])
+
+
+def _accumulator(spec: dict) -> Column:
     (op, arg), = spec.items()
     if op == "$push" and arg == "$$ROOT":
         return F.collect_list(expression(arg))
-    if placed and op in ("$first", "$last") and not isinstance(arg, list):
-        return (F.min_by if op == "$first" else F.max_by)(expression(arg), F.col(_PLACE))
     if op == "$count":
         return F.count(F.lit(1))
     if op in ("$first", "$last"):
@@ -182,7 +250,7 @@ def _accumulator(spec: dict, placed: bool = False) -> Column:
             raise PipelineError(f"{op} needs a $sort before, or [value, order]: rows of a table have no order of their own")
         return (F.min_by if op == "$first" else F.max_by)(expression(value), expression(by))
     c = expression(arg)
-    found = {"$sum": F.sum, "$avg": F.avg, "$min": F.min, "$max": F.max, "$push": lambda x: F.array_sort(F.collect_list(x)), "$addToSet": lambda x: F.array_sort(F.collect_set(x))}
+    found = {"$sum": lambda x: F.coalesce(F.sum(x), F.lit(0)), "$avg": F.avg, "$min": F.min, "$max": F.max, "$push": lambda x: F.array_sort(F.collect_list(x)), "$addToSet": lambda x: F.array_sort(F.collect_set(x))}
     if op not in found:
         raise PipelineError(f"unknown accumulator {op}")
     return found[op](c)
@@ -191,6 +259,9 @@ def _accumulator(spec: dict, placed: bool = False) -> Column:
 def _unwind(df: DataFrame, a, _) -> DataFrame:
     a = {"path": a} if isinstance(a, str) else a
     name, index = a["path"].lstrip("$"), a.get("includeArrayIndex")
+    if not _known(df.schema, name):
+        kept = df if a.get("preserveNullAndEmptyArrays") else df.limit(0)
+        return kept.withColumns({c: F.lit(None) for c in (name, index) if c})
     made = (F.posexplode_outer if a.get("preserveNullAndEmptyArrays") else F.posexplode)(field(name))
     others = [c for c in df.columns if c != name]
     out = df.select(*others, made.alias(index or "__index", name))
@@ -340,13 +411,15 @@ def with_embedding(stages: list[dict], embed: Callable[[str], list[float]]) -> l
 
 
 def run_pipeline(df: DataFrame, stages: list[dict], user_id: str | None = None, max_results: int | None = MAX_RESULTS, **context) -> DataFrame:
-    """Apply validated stages in turn.  A validated pipeline never returns the column ``embedding``."""
+    """Apply validated stages in turn.  Fields that no row has are null.  A validated pipeline never returns the column ``embedding``."""
     validated = max_results is not None
     stages = validate(stages, max_results) if max_results is not None else stages
     stages = for_tenant(stages, user_id) if user_id is not None else stages
     for stage in stages:
         (name, a), = stage.items()
-        df = STAGES[name](df, a, context)
+        df = STAGES[name](df, _resolved(name, a, df.schema), context)
+        # A field that no row has is a text without values.
+        df = df.withColumns({c.name: F.lit(None).cast("string") for c in df.schema if isinstance(c.dataType, NullType)})
     return df.drop("embedding") if validated else df
 
 

@@ -217,6 +217,31 @@ def a8_sorted_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("_id", "richest", "poorest", F.array_sort(F.transform("rows", lambda x: x["c_custkey"])).alias("keys"))
 
 
+@query("SELECT c_mktsegment AS _id, list_sort(list(c_custkey)) AS keys, 4 AS n_fields, arg_max(c_name, (c_acctbal, -c_custkey)) AS richest FROM (SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer) GROUP BY 1")
+def a8_root_after_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole rows pushed after a sort hold the fields that the rows had and no others."""
+    stages = [{"$project": {"c_custkey": 1, "c_name": 1, "c_mktsegment": 1, "c_acctbal": 1}}, {"$sort": {"c_acctbal": -1, "c_custkey": 1}}, {"$group": {"_id": "$c_mktsegment", "richest": {"$first": "$c_name"}, "rows": {"$push": "$$ROOT"}}}]
+    rows = run_pipeline(_customers(spark, sf_dir), stages, None, None)
+    return rows.select("_id", F.array_sort(F.transform("rows", lambda x: x["c_custkey"])).alias("keys"), F.lit(len(rows.schema["rows"].dataType.elementType.fields)).alias("n_fields"), "richest")
+
+
+@query("SELECT arg_max(c_name, (c_acctbal, -c_custkey)) AS richest, arg_min(c_name, (c_acctbal, -c_custkey)) AS poorest, count(*) AS n FROM customer")
+def a8_null_key_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last of all sorted rows under the key null, one row a task."""
+    group = {"_id": None, "richest": {"$first": "$c_name"}, "poorest": {"$last": "$c_name"}, "n": {"$count": {}}}
+    return run_pipeline(_customers(spark, sf_dir), [{"$sort": {"c_acctbal": -1, "c_custkey": 1}}, {"$group": group}], None, None)
+
+
+@query("SELECT NULL::VARCHAR AS _id, count(*) AS n, 0::DOUBLE AS total, NULL::VARCHAR AS nick, count(*) AS all_rows FROM customer")
+def a2_missing_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that no row has are null in every stage."""
+    stages = [
+        {"$addFields": {"copy": "$nickname", "named": {"$ifNull": ["$nickname", "$c_name"]}}}, {"$sort": {"nickname": 1, "c_custkey": 1}}, {"$project": {"nickname": 1, "copy": 1, "named": 1, "c_custkey": 1}},
+        {"$match": {"$expr": {"$eq": ["$other.thing", None]}, "copy": None}}, {"$group": {"_id": "$nickname", "n": {"$count": {}}, "total": {"$sum": "$points"}, "nick": {"$first": "$nickname"}, "all_rows": {"$sum": 1}}},
+    ]
+    return run_pipeline(_customers(spark, sf_dir), stages, None, None).withColumns({"total": F.col("total").cast("double"), "all_rows": F.col("all_rows").cast("long")})
+
+
 @query("SELECT doc_id, i - 1 AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(source, 'r') AS w FROM documents))")
 def a9_unwind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of an array with their places."""
