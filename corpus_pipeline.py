@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from lorekeeper.llm import exact_dedup, mixing, ngram_join, sentencepiece_codec, toxicity
-from lorekeeper.llm.common import shared_folder
+from lorekeeper.llm.common import file_order, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,8 +35,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document and the text that they decode to."""
-    return sentencepiece_codec.encode_documents(docs)
+    """Piece ids of each document and the text that they decode to, in the order of training.
+
+    ``position`` is the row's place in the files of the mix, null if it does not come from files;
+    ``copy`` numbers rows that agree in doc_id and text, each of which has draws of its own.
+    """
+    at = file_order(docs)
+    rows = docs.select("doc_id", "text", (F.lit(None).cast("long") if at is None else at).alias("position"))
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("position")
+    rows = rows.withColumn("copy", F.row_number().over(same) - 1)
+    return sentencepiece_codec.encode_documents(rows, copy=F.col("copy"), position=F.col("position"))
 
 
 STAGES: list[tuple[str, Stage]] = [
