@@ -6,10 +6,11 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..storage import materialise, shared_folder
 
-__all__ = ["SPACE", "NOT_SPACE", "SPACE_CHARS", "ascii_lower", "bound_batches", "join_groups", "let", "materialise", "shared_folder", "within_budget"]
+__all__ = ["SPACE", "NOT_SPACE", "SPACE_CHARS", "ascii_lower", "bound_batches", "file_order", "join_groups", "let", "materialise", "shared_folder", "within_budget"]
 
 #: The white space of the contracts, ``[\x20\x09-\x0D]``.
 SPACE = r"[\x20\x09-\x0D]"
@@ -79,3 +80,23 @@ def within_budget(sizes: list[tuple], budget: int) -> list:
             taken.append(key)
             budget -= size
     return taken
+
+
+def file_order(docs: DataFrame) -> Column | None:
+    """The place of each row in the files that ``docs`` was read from, from 0 in the order of their names.
+
+    Spark reads files in any order, packed as it likes, but a sorted write numbers them.
+    None where ``docs`` is not read from files.
+    """
+    try:
+        files = docs.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return None
+    counts = files.groupBy("file").agg((F.max("row") + 1).alias("n")).collect()
+    number = lambda r: (int((re.findall(r"part-(\d+)", r["file"]) or ["0"])[0]), r["file"])
+    before, known = 0, []
+    for r in sorted(counts, key=number):
+        known += [F.lit(r["file"]), F.lit(before)]
+        before += r["n"]
+    # One entry a file of the table.
+    return F.create_map(*known)[F.col("_metadata.file_name")].cast("long") + F.col("_metadata.row_index") if known else F.lit(None).cast("long")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches
@@ -28,6 +28,8 @@ _LATIN = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u1e00
 _FINE = re.compile(rf" *[{_LATIN}]+| *[^ \n{_LATIN}]+| +|\n")
 _COARSE = re.compile(r" *[^ \n]+| +|\n")
 _MASK = (1 << 64) - 1
+#: What a copy adds to the key of its document.
+_COPY = 0xD6E8FEB86659FD93
 _K = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -354,46 +356,52 @@ class Codec:
         return data[1:].decode("utf-8", "surrogatepass")
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[tuple[pa.Array, list[str], list[bytes]]]:
-    """doc_ids, texts and ids of runs of about a million characters."""
+def _encoded(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[tuple[pa.RecordBatch, list[str], list[bytes]]]:
+    """Rows, texts and ids of runs of about a million characters."""
     memory: dict = {}
     for batch in batches:
         texts = batch.column("text").to_pylist()
         docs = [-1 if i is None else i for i in batch.column("doc_id").to_pylist()]
+        if "copy" in batch.schema.names:
+            docs = [i + c * _COPY for i, c in zip(docs, batch.column("copy").to_pylist(), strict=True)]
         at = 0
         while at < len(texts):
             to, n = at, 0
             while to < len(texts) and (to == at or n + len(texts[to]) <= 1_000_000):
                 n += len(texts[to])
                 to += 1
-            yield batch.column("doc_id").slice(at, to - at), texts[at:to], codec.encode(texts[at:to], docs[at:to], memory)
+            yield batch.slice(at, to - at), texts[at:to], codec.encode(texts[at:to], docs[at:to], memory)
             at = to
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, *more: Column) -> DataFrame:
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
-def encode_documents(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPOUT, seed: int = 0, copy: Column | None = None, position: Column | None = None) -> DataFrame:
     """doc_id, ids (piece ids) and decoded (their text) for every row of ``docs``.
 
     Words are merged best score first, leftmost among equals, as the model's BPE does, but
     each candidate merge is skipped with probability ``dropout`` by a hash of the seed, the
-    doc_id, the word's position in the text, the place in the word and the pair; so reruns
+    doc_id, the copy, the word's position in the text, the place in the word and the pair; so reruns
     agree, and every occurrence of a word has draws of its own.  Every cut decodes to the text itself: what
     has no piece is spelled in bytes.  A null text counts as empty and has no ids; a null
-    doc_id counts as -1; rows that repeat are encoded alike; further columns are
-    ignored.  The model file is read where the tokenizers are installed, on each executor.
+    doc_id counts as -1; rows that repeat are encoded alike, unless ``copy`` numbers them
+    from 0; further columns are ignored.  ``copy`` and ``position`` are in the result where they are given.
+    The model file is read where the tokenizers are installed, on each executor.
     """
+    given = {n: c.cast("long").alias(n) for n, c in (("copy", copy), ("position", position)) if c is not None}
+    more = list(given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_file, dropout, seed)
-        for doc_ids, _, ids in _encoded(batches, codec):
+        for rows, _, ids in _encoded(batches, codec):
             lists = pa.array([np.frombuffer(x, dtype="<i4") for x in ids], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([doc_ids, lists, pa.array([codec.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+            decoded = pa.array([codec.decode(x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists, decoded, *[rows.column(n) for n in more]], ["doc_id", "ids", "decoded", *more])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return _texts(docs, *given.values()).mapInArrow(run, ", ".join(["doc_id long, ids array<int>, decoded string", *[f"{n} long" for n in more]]))
 
 
 def encoding_digests(docs: DataFrame, model_file: str = MODEL, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
@@ -404,10 +412,10 @@ def encoding_digests(docs: DataFrame, model_file: str = MODEL, dropout: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_file, dropout, seed)
-        for doc_ids, texts, ids in _encoded(batches, codec):
+        for rows, texts, ids in _encoded(batches, codec):
             decoded = [codec.decode(x) for x in ids]
             arrays = [
-                doc_ids,
+                rows.column("doc_id"),
                 pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                 pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded]),

@@ -84,3 +84,21 @@ def test_stages_take_odd_rows(spark, odd, none, sf_dir):
             assert out.columns == odd.columns, name
             assert out.count() <= 3 * docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_order_and_copies_of_the_mix_survive_many_files(spark, tmp_path):
+    """Positions are those of the sorted write, whatever the sizes of its files; copies are cut differently."""
+    rows = [(i, f"the words of document number {i} " * (5 + i % 9), "en", f"src{i % 3}", 1) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mixing.mix_sources(docs)
+    order = [r.doc_id for r in mixed.collect()]
+    mixed.write.option("maxRecordsPerFile", 7).parquet(str(tmp_path / "mix"))
+    out = corpus_pipeline.encode(spark, spark.read.parquet(str(tmp_path / "mix")), "").collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.position)] == order and [r.position for r in sorted(out, key=lambda r: r.position)] == list(range(len(order)))
+    cuts = {}
+    for r in out:
+        cuts.setdefault(r.doc_id, {})[r.copy] = tuple(r.ids)
+    twice = {i: c for i, c in cuts.items() if len(c) > 1}
+    assert twice and all(sorted(c) == list(range(len(c))) for c in cuts.values())
+    assert sum(len(set(c.values())) == len(c) for c in twice.values()) > 0.9 * len(twice)
+    assert all(r.decoded == rows[r.doc_id][1] for r in out)
