@@ -149,3 +149,34 @@ def html_text(html: Column) -> Column:
 def search_url(query: Column, start: Column, language: str = "en") -> Column:
     """The url of a page of search results."""
     return F.concat(F.lit("https://www.google.com/search?q="), F.url_encode(query), F.lit(f"&num=10&hl={language}"), F.when(start > 0, F.concat(F.lit("&start="), start.cast("string"))).otherwise(F.lit("")))
+
+
+#: Characters of a snippet, and fewer than are worth one.
+SNIPPET_CHARS, LEAST_SNIPPET = 300, 20
+
+
+def engine_url(query: Column, engine: str = "google", country: str | None = None, language: str | None = None, offset: Column | int = 0) -> Column:
+    """The url of a page of results of an engine; pages begin at ``offset`` results."""
+    at = F.lit(offset) if isinstance(offset, int) else offset
+    part = lambda name, value: F.lit("") if value is None else F.concat(F.lit(f"&{name}="), F.url_encode(F.lit(value)))
+    if engine == "google":
+        start = F.when(at > 0, F.concat(F.lit("&start="), at.cast("string"))).otherwise(F.lit(""))
+        return F.concat(F.lit("https://www.google.com/search?q="), F.url_encode(query), part("gl", country), part("hl", language), start)
+    if engine == "bing":
+        return F.concat(F.lit("https://www.bing.com/search?q="), F.url_encode(query), part("cc", country), part("setLang", language), F.lit("&first="), (at + 1).cast("string"))
+    if engine == "yandex":
+        return F.concat(F.lit("https://yandex.com/search/?text="), F.url_encode(query), part("lr", country))
+    raise ValueError(f"unknown engine {engine!r}")
+
+
+def snippet(around: Column, title: Column) -> Column:
+    """What the markup around a result says beside its title: empty if too short, cut with dots if long."""
+    words = F.trim(F.regexp_replace(F.regexp_replace(around, "<[^>]+>", " "), r"\s+", " "))
+    rest = F.when((title != "") & F.startswith(words, title), F.ltrim(F.substr(words, F.length(title) + 1))).otherwise(words)
+    cut = F.concat(F.rtrim(F.substring(rest, 1, SNIPPET_CHARS)), F.lit("..."))
+    return F.when(F.length(rest) < LEAST_SNIPPET, "").when(F.length(rest) > SNIPPET_CHARS, cut).otherwise(rest)
+
+
+def json_field(raw: Column, schema: str, name: str, default: Column) -> Column:
+    """A field of JSON text; the default where the text is malformed or has no such field."""
+    return F.coalesce(F.from_json(raw, schema)[name], default)

@@ -13,13 +13,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..storage import materialise
+from .ordering import even_shard, global_rank
 
 MAX_INPUTS, MAX_TOKENS = 1000, 10_000
 
 
 def balanced_shards(df: DataFrame, shards: int, order: str, group: list[str] | None = None) -> DataFrame:
     """Contiguous shards of equal size, the first ones larger by one; never more than rows."""
-    w = Window.partitionBy(*(group or [])).orderBy(order)
+    if not group:
+        ranked = global_rank(df, order, name="__rank")
+        return ranked.withColumn("shard", even_shard(F.col("__rank"), F.lit(ranked.count()), shards)).drop("__rank")
+    w = Window.partitionBy(*group).orderBy(order)
     return df.withColumn("shard", F.ntile(shards).over(w) - 1)
 
 

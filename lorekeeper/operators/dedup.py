@@ -243,3 +243,35 @@ def sweep_writes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a sweep writes: pairs to confirm, and pending same_as rows for those that are flagged."""
     flagged = pairs.where("action = 'flagged'").select(F.concat_ws("|", "low_id", F.lit("same_as"), "high_id").alias("id"), F.col("low_id").alias("source_node_id"), F.col("high_id").alias("target_node_id"), "score", F.lit("pending").alias("status"))
     return pairs.where("action = 'merged'").select(F.col("low_id").alias("a_id"), F.col("high_id").alias("b_id")), flagged
+
+
+def apply_sweep(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, now: Column, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after a sweep's pairs: those to merge are confirmed, flagged ones wait for a review.
+
+    A review that is there keeps its state.  A dry run writes nothing: both tables are as they were.
+    """
+    if dry_run:
+        return nodes, edges
+    confirmed, flagged = sweep_writes(pairs)
+    out, moved = confirm(nodes, edges, confirmed, now)
+    ends = nodes.select(F.col("id").alias("source_node_id"), "type", *[c for c in ("user_id",) if c in nodes.columns])
+    state = F.create_map(F.lit("status"), F.col("status"), F.lit("confidence"), F.col("score").cast("string"))
+    new = flagged.join(ends, "source_node_id").withColumns({"source_type": F.col("type"), "target_type": F.col("type"), "properties": state, "type": F.lit("same_as")})
+    # An end may have been merged by the same sweep.
+    gone = out.where(F.col("merged_into").isNotNull()).select("id")
+    for end in ("source_node_id", "target_node_id"):
+        new = new.join(gone.withColumnRenamed("id", end), end, "left_anti")
+    new = new.join(moved.select("id"), "id", "left_anti")
+    return out, moved.unionByName(new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(moved.schema[c].dataType).alias(c) for c in moved.columns]))
+
+
+@dataclass(frozen=True)
+class ExtractionConfig:
+    """What resolution and comparison must agree on: whether only nodes of one type are matched."""
+
+    type_strict: bool = True
+    same_type_only: bool = True
+
+    def __post_init__(self):
+        if self.type_strict != self.same_type_only:
+            raise ValueError("resolution and comparison must both match within a type, or both across types")

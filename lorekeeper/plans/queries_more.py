@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import web as W
-from ..operators import dedup, filters, traversal
+from ..operators import dedup, filters, ordering, traversal
 from ..sources import documents as D
 from . import graph as G
 from .graph import GRAPH_SQL as KG
@@ -81,8 +81,8 @@ def j8_ordered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey AS video_id, arg_min(o_orderkey, o_orderkey) AS record FROM orders GROUP BY o_custkey UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def j12_first_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first record of each key, null where a key has none."""
-    first = G.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("video_id")).agg(F.min("o_orderkey").alias("record"))
-    return G.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video_id")).join(first, "video_id", "left")
+    records = G.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("video_id"), F.col("o_orderkey").alias("record"))
+    return ordering.first_records(G.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video_id")), records, "video_id", ["record"], ["record"])
 
 
 @query("SELECT s_suppkey AS a, p_partkey AS b FROM supplier JOIN part ON s_suppkey % 10 = p_partkey % 10 AND abs(s_suppkey - p_partkey) <= 20")
@@ -90,17 +90,16 @@ def j7_blocked_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one block that fulfil a condition on both."""
     s = G.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") % 10).alias("block"))
     p = G.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("b"), (F.col("p_partkey") % 10).alias("block"))
-    return s.join(p, "block").where(F.abs(F.col("a") - F.col("b")) <= 20).select("a", "b")
+    return ordering.blocked_pairs(s, p, ["block"], F.abs(F.col("a") - F.col("b")) <= 20).select("a", "b")
 
 
 @query("""WITH s AS (SELECT user_id, ts, value, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS until FROM events WHERE event_type = 'signup')
 SELECT e.event_id, s.value AS as_of FROM events e LEFT JOIN s ON s.user_id = e.user_id AND e.ts >= s.ts AND (e.ts < s.until OR s.until IS NULL) WHERE e.event_type = 'purchase'""")
 def j14_as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each purchase the user's last signup before it, by one window over both kinds."""
-    e = G.table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "purchase"))
-    signup = F.col("event_type") == "signup"
-    w = Window.partitionBy("user_id").orderBy("ts", F.when(signup, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return e.withColumn("as_of", F.last(F.when(signup, F.col("value")), ignorenulls=True).over(w)).where(~signup).select("event_id", "as_of")
+    """For each purchase the user's last signup before it."""
+    e = G.table(spark, sf_dir, "events")
+    signups = e.where("event_type = 'signup'").select("user_id", "ts", F.col("value").alias("as_of"))
+    return ordering.as_of_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), signups, ["user_id"], "ts", ["as_of"]).select("event_id", "as_of")
 
 
 @query("""SELECT 't' || c_custkey AS a FROM customer WHERE c_custkey = 42
@@ -129,9 +128,8 @@ def w8_nodes_then_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS rank, doc_id FROM documents WHERE lang = 'es'")
 def w1_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0-based ranks in a result list, which is short."""
-    d = G.table(spark, sf_dir, "documents").where(F.col("lang") == "es").select("doc_id")
-    return d.withColumn("rank", F.row_number().over(Window.orderBy("doc_id")) - 1)
+    """0-based ranks in a language, counted over ranges."""
+    return ordering.global_rank(G.table(spark, sf_dir, "documents").where(F.col("lang") == "es").select("doc_id"), "doc_id")
 
 
 @query("SELECT DISTINCT 'user-' || user_id || '-prefers-' || event_type AS name FROM events")
@@ -162,7 +160,9 @@ def xs25_metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that an override has, else those of the base."""
     c = G.table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    return c.select(k.alias("id"), F.coalesce(F.when(k % 2 == 0, F.col("c_mktsegment")), F.col("c_name")).alias("title"), F.coalesce(F.when(k % 3 == 0, F.lit("new")), F.lit("base")).alias("channel"))
+    base = c.select(k.alias("id"), F.col("c_name").alias("title"), F.lit("base").alias("channel"))
+    override = c.select(k.alias("id"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("title"), F.when(k % 3 == 0, F.lit("new")).alias("channel"))
+    return ordering.merged_fields(base, override, "id")
 
 
 @query("SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id / 1000.0 END, 6) AS s FROM events")
@@ -186,7 +186,7 @@ def xj_tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of JSON text, a default where the text is malformed."""
     e = G.table(spark, sf_dir, "events")
     raw = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(F.substring("props", 1, 3))
-    return e.select("event_id", F.coalesce(F.from_json(raw, "k long")["k"], F.lit(-1)).alias("k"))
+    return e.select("event_id", W.json_field(raw, "k long", "k", F.lit(-1)).alias("k"))
 
 
 @query("SELECT conv_id, turn, role AS type, count(*) AS n FROM conversations GROUP BY ALL")

@@ -12,7 +12,7 @@ from ..functions.tables import register_table_functions
 from ..memory import deep_index
 from ..operators import dedup, sketches
 from ..sources import documents as D
-from ..sources import feeds, markdown
+from ..sources import collect, feeds, markdown
 from ..storage import shared_folder
 from . import graph as G
 from .registry import query
@@ -107,3 +107,54 @@ def g11_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = merged.join(exact, "event_type")
     close = F.abs(F.col("n_distinct") - F.col("users")) <= F.ceil(sketches.COUNT_ERROR * F.col("users"))
     return both.select("event_type", "n", "users", close.alias("distinct_is_close"), F.col("q50").between(F.col("near")[0], F.col("near")[1]).alias("median_is_close"))
+
+
+def _fetched(url: str) -> str:
+    """A stand-in for the network: a page that says its url, none for every url that fails."""
+    if "fails" in url:
+        raise OSError("no answer")
+    name = url.rsplit("/", 1)[-1]
+    return f'<html><head><title>Page {name}</title></head><body><nav>menu</nav><article><p>Text of {name}.</p></article></body></html>'
+
+
+@query("""WITH p AS (SELECT page_id AS i, 't' || page_id % 3 AS u, lpad((page_id % 1000)::VARCHAR, 3, '0') AS v FROM pages)
+SELECT u AS user_id, CASE i % 6 WHEN 0 THEN 'https://site.example/' || i WHEN 2 THEN 'https://www.youtube.com/watch?v=abcdefgh' || v WHEN 4 THEN 'file:///' || i || '.md' ELSE 'https://news.substack.com/p/' || i END AS uri,
+CASE i % 6 WHEN 0 THEN 'web' WHEN 2 THEN 'youtube' WHEN 4 THEN 'file' ELSE 'substack' END AS outcome, CASE i % 6 WHEN 0 THEN 'Page ' || i || 'menuText of ' || i || '.' WHEN 2 THEN 'said ' || v WHEN 4 THEN 'note ' || i ELSE 'Text of ' || i || '.' END AS content
+FROM p WHERE i % 6 IN (0, 4, 5) OR i % 6 = 2 AND i % 4 = 0 GROUP BY ALL
+UNION ALL SELECT u, CASE i % 6 WHEN 1 THEN 'https://site.example/fails/' || i WHEN 2 THEN 'https://youtu.be/abcdefgh' || v ELSE 'ftp://site.example/' || i END,
+CASE i % 6 WHEN 1 THEN 'OSError: no answer' WHEN 2 THEN 'no_transcript' ELSE 'scheme' END, NULL FROM p WHERE i % 6 IN (1, 3) OR i % 6 = 2 AND i % 4 <> 0""")
+def n16_collect_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urls of three families and files of all pages as documents of their tenants, and a failure for each that gives none."""
+    i = F.col("page_id")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    v = F.lpad((i % 1000).cast("string"), 3, "0")
+    forms = [text("https://site.example/", i), text("https://site.example/fails/", i), text("https://youtu.be/abcdefgh", v), text("ftp://site.example/", i), text("file:///", i, ".md"), text("https://news.substack.com/p/", i)]
+    kind = F.when(i % 6 == 4, "file").otherwise("url")
+    pages = G.table(spark, sf_dir, "pages").select("page_id")
+    sources = pages.select(text("t", i % 3).alias("user_id"), kind.alias("type"), F.get(F.array(*forms), (i % 6).cast("int")).alias("uri"), F.when(i % 6 == 4, text("note ", i)).alias("content"))
+    said = pages.where("page_id % 6 = 2 AND page_id % 4 = 0").select(text("abcdefgh", v).alias("video_id"), text("said ", v).alias("transcript")).distinct()
+    got = collect.collect(sources, _fetched, F.lit("2000-01-01").cast("timestamp"), said)
+    docs = got.documents.select("user_id", F.col("source_uri").alias("uri"), F.col("source_type").alias("outcome"), F.regexp_replace("content", "\n", "").alias("content"))
+    return docs.unionByName(got.failures.select("user_id", "uri", F.col("error").alias("outcome"), F.lit(None).cast("string").alias("content")))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, 9, '0') AS id FROM customer), p AS (SELECT k, id AS low, lpad((k + 1)::VARCHAR, 9, '0') AS high FROM c WHERE k % 3 = 1 AND k + 1 IN (SELECT k FROM c))
+SELECT 'node' AS kind, id, CASE WHEN id IN (SELECT high FROM p WHERE k % 2 = 1) THEN 'merged' ELSE 'alive' END AS state FROM c
+UNION ALL SELECT 'edge', low || '|same_as|' || high, 'pending' FROM p WHERE k % 2 = 0""")
+def d36_apply_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers after a sweep that merges some neighbours and leaves others to a review; a dry run before it changes nothing."""
+    k = F.col("c_custkey")
+    ident = lambda n: F.lpad(n.cast("string"), 9, "0")
+    none = F.lit(None)
+    c = G.table(spark, sf_dir, "customer")
+    nodes = c.select(
+        ident(k).alias("id"), F.lit("t").alias("user_id"), F.lit("person").alias("type"), F.col("c_name").alias("name"), F.array().cast("array<string>").alias("aliases"), F.array(F.lit("crm")).alias("sources"),
+        F.create_map().cast("map<string,string>").alias("properties"), F.lit(0.5).alias("confidence"), none.cast("string").alias("merged_into"), none.cast("timestamp").alias("merged_at"), none.cast("timestamp").alias("created_at"),
+    )
+    edges = spark.createDataFrame([], "id string, user_id string, type string, semantic_type string, source_node_id string, source_type string, target_node_id string, target_type string, properties map<string,string>")
+    pairs = c.select(k.alias("k")).join(c.select((k - 1).alias("k"), k.alias("after")), "k").where("k % 3 = 1")
+    pairs = pairs.select(ident(F.col("k")).alias("low_id"), ident(F.col("after")).alias("high_id"), F.lit(0.9).alias("score"), F.lit("both").alias("match_type"), F.when(F.col("k") % 2 == 1, "merged").otherwise("flagged").alias("action"))
+    now = F.lit("2024-06-01").cast("timestamp")
+    out, links = dedup.apply_sweep(*dedup.apply_sweep(nodes, edges, pairs, now, dry_run=True), pairs, now)
+    found = out.select(F.lit("node").alias("kind"), "id", F.when(F.col("merged_into").isNotNull(), "merged").otherwise("alive").alias("state"))
+    return found.unionByName(links.select(F.lit("edge").alias("kind"), "id", F.element_at("properties", "status").alias("state")))
