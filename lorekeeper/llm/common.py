@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..storage import materialise, shared_folder
 
-__all__ = ["SPACE", "NOT_SPACE", "SPACE_CHARS", "ascii_lower", "bound_batches", "file_order", "join_groups", "let", "materialise", "shared_folder", "within_budget"]
+__all__ = ["SPACE", "NOT_SPACE", "SPACE_CHARS", "ascii_lower", "bound_batches", "file_order", "join_groups", "let", "materialise", "own_names", "shared_folder", "within_budget"]
 
 #: The white space of the contracts, ``[\x20\x09-\x0D]``.
 SPACE = r"[\x20\x09-\x0D]"
@@ -100,3 +102,18 @@ def file_order(docs: DataFrame) -> Column | None:
         before += r["n"]
     # One entry a file of the table.
     return F.create_map(*known)[F.col("_metadata.file_name")].cast("long") + F.col("_metadata.row_index") if known else F.lit(None).cast("long")
+
+
+def own_names(stage):
+    """A stage that returns the columns of ``docs`` may use names with two underscores: a table's own ones are put aside meanwhile."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **kw) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        free = (n for n in (f"own_column_{i}" for i in itertools.count()) if n not in taken)
+        aside = {c: next(free) for c in docs.columns if c.startswith("__")}
+        if not aside:
+            return stage(docs, *args, **kw)
+        return stage(docs.withColumnsRenamed(aside), *args, **kw).withColumnsRenamed({v: k for k, v in aside.items()})
+
+    return run

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, join_groups, materialise
+from .common import SPACE, join_groups, materialise, own_names
 
 #: Binomial rounds are taken three at a time: up to 2**3 runs meet in one merge.
 ROUND_BITS = 3
@@ -128,6 +128,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+@own_names
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, materialise
+from .common import NOT_SPACE, materialise, own_names
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -97,6 +97,7 @@ def curriculum(
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("at")).cast("long").alias("taken"), positions.alias("positions"))
 
 
+@own_names
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, once a copy, in the order of training.
 

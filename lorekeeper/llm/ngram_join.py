@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, join_groups, materialise
+from .common import bound_batches, join_groups, materialise, own_names
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
@@ -408,6 +408,7 @@ def _rest(met: DataFrame, labels: DataFrame, profiles: DataFrame, similarity: Fr
     return materialise(lots.applyInArrow(_compare(similarity), "a long, b long").distinct(), "found")
 
 
+@own_names
 def drop_similar(docs: DataFrame, words: int = WORDS, similarity: Fraction = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each component, with their columns.
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, within_budget
+from .common import bound_batches, own_names, within_budget
 
 #: Character n-grams of these lengths, a word's ends included, share the rows of the embedding.
 GRAMS = (3, 4, 5, 6)
@@ -218,6 +218,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@own_names
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their columns; all if nothing can be learned."""
     score, learned = _score_column(docs, labels)

@@ -7,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lorekeeper.llm import mixing, sentencepiece_codec, toxicity
@@ -102,3 +103,17 @@ def test_order_and_copies_of_the_mix_survive_many_files(spark, tmp_path):
     assert twice and all(sorted(c) == list(range(len(c))) for c in cuts.values())
     assert sum(len(set(c.values())) == len(c) for c in twice.values()) > 0.9 * len(twice)
     assert all(r.decoded == rows[r.doc_id][1] for r in out)
+
+
+def test_stages_leave_columns_with_any_names_alone(spark, odd):
+    """Names that stages use for themselves come back as they were."""
+    from lorekeeper.llm import exact_dedup, ngram_join
+
+    names = ["__id", "__sha256", "__sha", "__at", "__k", "__lists", "__size", "__source", "__ID2", "own_column_0"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(n), F.lit(":"), F.coalesce("doc_id", F.lit(0))).alias(n) for n in names])
+    marks = spark.createDataFrame([(4, 1), *[(i, 0) for i in (5, 6, 7, 9, 10, 11, 12, 13, 14, 15)]], "doc_id long, toxic int")
+    for stage in (exact_dedup.drop_exact_copies, ngram_join.drop_similar, mixing.mix_sources, lambda d: toxicity.drop_toxic(d, marks)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id or 0}" for r in rows for n in names)
