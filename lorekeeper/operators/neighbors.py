@@ -130,6 +130,10 @@ class VectorIndex:
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
+    def definition(self) -> dict:
+        """Dimension, number of cells and the columns that a search can filter by."""
+        return {"dimension": int(self.centroids.shape[1]), "cells": len(self.centroids), "filters": sorted(set(self.rows.columns) - {"id", "vector", "cell"})}
+
 
 def _cell_of(centroids: np.ndarray, probes: int):
     """The ``probes`` best cells of each vector."""
@@ -202,3 +206,20 @@ def vector_search_probed(index: VectorIndex, queries: DataFrame, k: int, where:
     order = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
     best = found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
     return best.select(F.col("left_id").alias("query_id"), F.col("right_id").alias(index.id_col), "score", "rank")
+
+
+def reconcile_vector_index(index: VectorIndex | None, vectors: DataFrame, dimension: int, id_col: str = "id", keep: list[str] | None = None, cells: int = CELLS) -> tuple[VectorIndex, bool]:
+    """An index of these vectors of the dimension and filters that are asked for, and whether it had to be made anew.
+
+    Vectors of another length are an error, as no search could find them; those that are
+    missing or empty are not.
+    """
+    size = F.coalesce(F.size("embedding"), F.lit(0))
+    bad = vectors.where((size > 0) & (size != dimension)).select(id_col, size.alias("n")).first()
+    if bad is not None:
+        raise ValueError(f"the vector of {bad[0]!r} has {bad[1]} values, not {dimension}")
+    if index is not None:
+        now = index.definition()
+        if now["dimension"] == dimension and now["filters"] == sorted(keep or []):
+            return index, False
+    return build_vector_index(vectors, id_col, keep, cells), True

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..storage import materialise, shared_folder
 from .search import terms
@@ -43,6 +44,13 @@ class TextIndex:
     def lengths(self) -> DataFrame:
         return self.spark.read.schema(_LENGTHS).parquet(f"{self.path}/lengths")
 
+    def is_there(self) -> bool:
+        """Whether both tables can still be read."""
+        try:
+            return len(self.postings.columns) > 0 and len(self.lengths.columns) > 0
+        except AnalysisException:
+            return False
+
 
 def _entries(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """id and n_terms of each text, and term, id, count and size of each term in it."""

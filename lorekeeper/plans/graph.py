@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import edge_id, node_id
 from ..operators.chunking import chunk_texts
-from ..storage import materialise
+from ..storage import written_once
 
 CHUNK_WORDS, CHUNK_OVERLAP = 512, 64
 
@@ -172,5 +172,5 @@ WITH words AS (
 
 
 def walkable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a walk reads of the edges, derived once: each step scans this table, not the joins behind it."""
-    return materialise(edges(spark, sf_dir).select("id", "source_node_id", "target_node_id", "type"), "edges")
+    """What a walk reads of the edges, derived once for an application and input: each step scans this table, not the joins behind it."""
+    return written_once(spark, f"edges {sf_dir}", lambda: edges(spark, sf_dir).select("id", "source_node_id", "target_node_id", "type"))

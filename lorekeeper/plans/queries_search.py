@@ -88,8 +88,9 @@ _INDEXES: dict[tuple[str, str], text_index.TextIndex] = {}
 
 def _text_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        _INDEXES[key] = text_index.build_text_index(G.table(spark, sf_dir, "documents"), "doc_id")
+    if key in _INDEXES and _INDEXES[key].is_there():
+        return _INDEXES[key]
+    _INDEXES[key] = text_index.build_text_index(G.table(spark, sf_dir, "documents"), "doc_id")
     return _INDEXES[key]
 
 

@@ -149,3 +149,29 @@ def test_signatures_leave_out_nearly_all_pairs():
     keys = [set(fuzzy.signature(n, 0.85, counts)) for n in names]
     met = sum(not keys[i].isdisjoint(keys[j]) for i in range(len(names)) for j in range(i))
     assert met < len(names) ** 2 / 2 / 50
+
+
+def test_vector_index_is_reconciled(spark):
+    rows = spark.createDataFrame([(i, [float(i % 3), 1.0], i % 2) for i in range(30)], "id long, embedding array<double>, label int")
+    index, made = neighbors.reconcile_vector_index(None, rows, 2, keep=["label"], cells=3)
+    assert made and index.definition() == {"dimension": 2, "cells": 3, "filters": ["label"]}
+    assert neighbors.reconcile_vector_index(index, rows, 2, keep=["label"], cells=3) == (index, False)
+    other, made = neighbors.reconcile_vector_index(index, rows, 2, cells=3)
+    assert made and other.definition()["filters"] == []
+    with pytest.raises(ValueError, match="not 3"):
+        neighbors.reconcile_vector_index(index, rows, 3)
+
+
+def test_tables_written_once_and_deleted(spark):
+    from lorekeeper.storage import delete_tables, materialise, written_once
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(5)
+
+    assert written_once(spark, "five", make).count() == written_once(spark, "five", make).count() == 5 and len(made) == 1
+    materialise(spark.range(2), "two")
+    assert delete_tables(spark) and not delete_tables(spark)
+    assert written_once(spark, "five", make).count() == 5 and len(made) == 2
