@@ -31,7 +31,7 @@ _RAW = frozenset("script style noscript template textarea title svg annotation i
 _BOILERPLATE = frozenset("nav footer aside form header menu dialog button select head".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover".split())
 #: Elements that stand inside a line and end no block.
-_PHRASING = _INLINE | frozenset("picture audio video meter output progress button input select textarea map area embed object iframe canvas svg noscript script style template source track annotation slot".split())
+_PHRASING = _INLINE | frozenset("picture audio video meter output progress button input select map area embed object iframe canvas svg noscript script style template source track annotation slot".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTENT = frozenset(("article", "main"))
 #: Elements whose end tag may be left out: what the opening tag ends if no wall is between.
