@@ -86,7 +86,7 @@ def vector_search_all(vectors: DataFrame, queries: DataFrame, k: int, where: Col
 
 def terms(text: Column) -> Column:
     """Letters and digits in runs of two or more, in lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))
 
 
 def node_text(columns: list[str]) -> Column:

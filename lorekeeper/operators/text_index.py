@@ -53,13 +53,15 @@ class TextIndex:
 
 
 def _entries(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """id and n_terms of each text, and term, id, count and size of each term in it."""
+    """id and n_terms of each text, and term, id, size and count of each term in it, written once."""
     held = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    sized = held.select("id", F.size("terms").alias("n_terms"), "terms")
-    each = sized.select("id", F.col("n_terms").alias("size"), F.explode("terms").alias("term"))
+    each = held.select("id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
     # The terms of a text are counted in its task before any shuffle.
-    counted = each.groupBy("term", "id", "size").agg(F.count(F.lit(1)).cast("int").alias("count"))
-    return sized.select("id", "n_terms"), counted
+    counted = materialise(each.groupBy("term", "id", "size").agg(F.count(F.lit(1)).cast("int").alias("count")), "entries")
+    # Texts are split into terms once: their lengths come from the entries, 0 where there are none.
+    sizes = counted.groupBy("id").agg(F.max("size").alias("n_terms"))
+    lengths = held.select("id").join(sizes, "id", "left").select("id", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+    return lengths, counted
 
 
 def _write(spark: SparkSession, lengths: DataFrame, entries: DataFrame, buckets: int, block: int) -> TextIndex:
@@ -69,7 +71,6 @@ def _write(spark: SparkSession, lengths: DataFrame, entries: DataFrame, buckets:
     is longer than about a block, whatever share of the texts holds the term.
     """
     path = f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}"
-    entries = materialise(entries, "entries")
     frequent = entries.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > block)
     dealt = entries.join(frequent, "term", "left").withColumn("part", F.when(F.col("df").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("df") / block))))
     packed = dealt.groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct("id", "count", "size"))).alias("e"))
@@ -102,7 +103,7 @@ def merge_text_index(index: TextIndex, docs: DataFrame, id_col: str = "id", text
     lengths = materialise(lengths, "lengths")
     out = lengths.select("id") if gone is None else lengths.select("id").unionByName(gone.select(F.col("id").cast("long").alias("id")))
     kept = index.lengths.join(out, "id", "left_anti")
-    held = _unpacked(index.postings).join(out, "id", "left_anti")
+    held = materialise(_unpacked(index.postings).join(out, "id", "left_anti"), "held")
     return _write(index.spark, kept.unionByName(lengths), held.unionByName(entries.select(*held.columns)), index.buckets, block)
 
 
