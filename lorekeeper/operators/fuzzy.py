@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import indel_similarity
 from ..storage import materialise
+from .grouping import shuffled
 
 #: Gram counts are kept for so many hashes: rare grams come first in prefixes.
 GRAM_BUCKETS = 1 << 16
@@ -114,6 +115,6 @@ def similar_names(left: DataFrame, right: DataFrame, block: list[str], least: fl
     kinds = dict(sides[0].dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in block], "name string, keys array<string>"])
     a, b = (side.mapInArrow(run, schema).select(*block, F.col("name").alias(f"{s}_name"), F.explode("keys").alias("key")) for s, side in zip(("left", "right"), sides, strict=True))
-    pairs = a.join(b, [*block, "key"]).select(*block, "left_name", "right_name").distinct()
+    pairs = a.join(shuffled(b), [*block, "key"]).select(*block, "left_name", "right_name").distinct()
     scored = pairs.withColumn("score", F.round(indel_similarity("left_name", "right_name"), 9))
     return scored.where(F.col("score") >= least)

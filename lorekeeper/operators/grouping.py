@@ -1,4 +1,4 @@
-"""Aggregates that stay small before and after the shuffle."""
+"""Aggregates that stay small before and after the shuffle, and joins that stay out of the driver."""
 
 from __future__ import annotations
 
@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is shuffled and merged, whatever its size is held to be.
+
+    Files of ids pack so well that Spark takes millions of rows for less than the size up to
+    which it collects a side in the driver and sends it whole to every executor.
+    """
+    return side.hint("merge")
+
+
 def first_values(rows: DataFrame, key: str, value: Column, limit: int, name: str) -> DataFrame:
     """The first ``limit`` distinct values of each key as an array.
 
@@ -13,11 +22,11 @@ def first_values(rows: DataFrame, key: str, value: Column, limit: int, name: str
     """
     order = Window.partitionBy(key).orderBy("value")
     some = rows.select(key, value.alias("value")).where("value is not null").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    return some.groupBy(key).agg(F.array_sort(F.collect_list("value")).alias(name))
+    return shuffled(some.groupBy(key).agg(F.array_sort(F.collect_list("value")).alias(name)))
 
 
 def merged_properties(rows: DataFrame, key: str, best: Column) -> DataFrame:
     """One map a key: of the values of a property the one with the greatest ``best``, aggregated before the shuffle."""
     each = rows.select(key, "seq", F.explode("properties").alias("field", "value")).where("value is not null")
     each = each.groupBy(key, "field").agg(F.max_by("value", best).alias("value"))
-    return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("properties"))
+    return shuffled(each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("properties")))

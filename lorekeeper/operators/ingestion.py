@@ -19,7 +19,7 @@ from ..functions.ontology import ONTOLOGY, Ontology
 from ..functions.text import capped_union, edge_id, node_id, normalize_name, per_key_merge, slugify, typed_embedding_text
 from ..storage import materialise
 from . import dedup, resolution, validation
-from .grouping import first_values, merged_properties
+from .grouping import first_values, merged_properties, shuffled
 from .chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_texts
 
 #: text -> (nodes, edges), each a dict with the fields that the model found.
@@ -134,9 +134,9 @@ def resolve_nodes(collapsed: DataFrame, nodes: DataFrame, semantic: bool = False
     mentions = collapsed.where(~F.col("type").isin(*_STRUCTURAL)).withColumnRenamed("id", "mention_id")
     found = resolution.resolve(mentions, alive, semantic).withColumnRenamed("mention_id", "id")
     names = alive.select(F.col("id").alias("matched_id"), F.coalesce("canonical_name", "name").alias("__canonical"))
-    found = found.join(names, "matched_id", "left").select("id", "matched_id", "match_type", F.when(F.col("match_type") == "none", 1.0).otherwise(F.col("confidence")).alias("confidence"), "__canonical")
+    found = found.join(shuffled(names), "matched_id", "left").select("id", "matched_id", "match_type", F.when(F.col("match_type") == "none", 1.0).otherwise(F.col("confidence")).alias("confidence"), "__canonical")
     filled = {"canonical_name": F.coalesce("__canonical", "name"), "match_type": F.coalesce("match_type", F.lit("none")), "confidence": F.coalesce("confidence", F.lit(1.0))}
-    return collapsed.join(found, "id", "left").withColumns(filled).drop("__canonical")
+    return collapsed.join(shuffled(found), "id", "left").withColumns(filled).drop("__canonical")
 
 
 def _upsert_new(nodes: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
@@ -166,7 +166,7 @@ def _merge_into(nodes: DataFrame, rows: DataFrame, strategy: str, now: Column) -
     new = new.join(first_values(sources, "target_id", F.col("source"), dedup.MAX_SOURCES, "n_sources"), "target_id", "left")
     values = rows.select("target_id", F.lit(0).alias("seq"), "properties")
     new = new.join(merged_properties(values, "target_id", F.struct(F.length("value"), "value")).withColumnRenamed("properties", "n_properties"), "target_id", "left")
-    out = nodes.join(new.withColumnRenamed("target_id", "id"), "id", "left")
+    out = nodes.join(shuffled(new.withColumnRenamed("target_id", "id")), "id", "left")
     came = F.col("n_aliases").isNotNull()
     none = F.create_map().cast(_STRINGS)
     changed = {
@@ -248,7 +248,7 @@ def apply_writes(
         asked = rows.withColumns({"aliases": known, "merged_into": F.lit(None).cast("string")})
         same = edges.where("type = 'same_as'")
         choice = dedup.decide(asked, nodes, same, config).select(F.col("left_id").alias("id"), F.col("matched_id").alias("near_id"), "score", F.col("match_type").alias("kind"), "action")
-        decided = rows.join(choice, "id").withColumn("target_id", F.when(F.col("action") == "merged", F.col("near_id")).otherwise(F.col("id")))
+        decided = rows.join(shuffled(choice), "id").withColumn("target_id", F.when(F.col("action") == "merged", F.col("near_id")).otherwise(F.col("id")))
         decided = materialise(decided, "decided")
     merged = decided.where("action = 'merged'")
     out = _upsert_new(nodes, decided.where("action <> 'merged'"), now)

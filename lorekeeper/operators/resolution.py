@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import token_sort
 from ..functions.text import normalize_name
 from .fuzzy import similar_names
+from .grouping import shuffled
 from .neighbors import nearest_in_tiles
 
 FUZZY, SEMANTIC = 0.85, 0.80
@@ -29,12 +30,12 @@ def alias_matches(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Mentions whose name is an alias of a candidate of their tenant and type."""
     known = candidates.select("user_id", "type", F.col("id").alias("matched_id"), F.explode("aliases").alias("alias"))
     known = known.withColumn("key", normalize_name(F.col("alias")))
-    return mentions.withColumn("key", normalize_name(F.col("name"))).join(known, ["user_id", "type", "key"]).select("mention_id", "matched_id", F.lit(0).alias("stage"), F.lit(1.0).alias("score"))
+    return mentions.withColumn("key", normalize_name(F.col("name"))).join(shuffled(known), ["user_id", "type", "key"]).select("mention_id", "matched_id", F.lit(0).alias("stage"), F.lit(1.0).alias("score"))
 
 
 def exact_matches(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     known = candidates.select("user_id", "type", F.col("id").alias("matched_id"), normalize_name(F.col("name")).alias("key"))
-    return mentions.withColumn("key", normalize_name(F.col("name"))).join(known, ["user_id", "type", "key"]).select("mention_id", "matched_id", F.lit(1).alias("stage"), F.lit(1.0).alias("score"))
+    return mentions.withColumn("key", normalize_name(F.col("name"))).join(shuffled(known), ["user_id", "type", "key"]).select("mention_id", "matched_id", F.lit(1).alias("stage"), F.lit(1.0).alias("score"))
 
 
 def fuzzy_matches(mentions: DataFrame, candidates: DataFrame, threshold: float = FUZZY) -> DataFrame:
@@ -47,7 +48,7 @@ def fuzzy_matches(mentions: DataFrame, candidates: DataFrame, threshold: float =
     left, right = (df.select("user_id", "type", sorted_name.alias("name")) for df in (mentions, candidates))
     scored = similar_names(left, right, ["user_id", "type"], threshold)
     by_name = candidates.select("user_id", "type", F.col("id").alias("matched_id"), sorted_name.alias("right_name"))
-    found = mentions.withColumn("left_name", sorted_name).join(scored, ["user_id", "type", "left_name"]).join(by_name, ["user_id", "type", "right_name"])
+    found = mentions.withColumn("left_name", sorted_name).join(shuffled(scored), ["user_id", "type", "left_name"]).join(shuffled(by_name), ["user_id", "type", "right_name"])
     return found.select("mention_id", "matched_id", F.lit(2).alias("stage"), "score")
 
 
@@ -66,11 +67,11 @@ def resolve(mentions: DataFrame, candidates: DataFrame, semantic: bool = False,
     """
     found = [alias_matches(mentions, candidates), exact_matches(mentions, candidates)]
     # Only what equality leaves over is compared name by name.
-    rest = mentions.join(found[0].unionByName(found[1]).select("mention_id"), "mention_id", "left_anti")
+    rest = mentions.join(shuffled(found[0].unionByName(found[1]).select("mention_id")), "mention_id", "left_anti")
     found += [fuzzy_matches(rest, candidates, fuzzy)] + ([semantic_matches(rest, candidates, near)] if semantic else [])
     best = reduce(DataFrame.unionByName, found).groupBy("mention_id").agg(F.min(F.struct("stage", (-F.col("score")).alias("score"), "matched_id")).alias("best"))
     names = F.array(*[F.lit(s) for s in STAGES])
-    out = mentions.select("mention_id").join(best, "mention_id", "left")
+    out = mentions.select("mention_id").join(shuffled(best), "mention_id", "left")
     return out.select("mention_id", F.col("best.matched_id").alias("matched_id"), F.coalesce(F.get(names, F.col("best.stage")), F.lit("none")).alias("match_type"), F.coalesce(-F.col("best.score"), F.lit(0.0)).alias("confidence"))
 
 
@@ -78,5 +79,5 @@ def remap_endpoints(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     """Edges with ends replaced by what they were resolved to, self-loops left out."""
     for end in ("source_node_id", "target_node_id"):
         to = resolved.select(F.col("built_id").alias(end), F.col("node_id").alias("__to"))
-        edges = edges.join(to, end, "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
+        edges = edges.join(shuffled(to), end, "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
     return edges.where(F.col("source_node_id") != F.col("target_node_id"))

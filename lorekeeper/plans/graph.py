@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import edge_id, node_id
 from ..operators.chunking import chunk_texts
+from ..operators.grouping import shuffled
 from ..storage import written_once
 
 CHUNK_WORDS, CHUNK_OVERLAP = 512, 64
@@ -44,7 +45,7 @@ def chunks(documents: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_O
 def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
-    return orders.join(customers, orders.o_custkey == customers.c_custkey)
+    return orders.join(shuffled(customers), orders.o_custkey == customers.c_custkey)
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
