@@ -104,7 +104,10 @@ def similar_names(left: DataFrame, right: DataFrame, block: list[str], least: fl
     """
     if not 0 < least <= 1:
         raise ValueError("the least ratio lies above 0 and is 1 at most")
-    sides = [materialise(df.where(F.col("name").isNotNull()).select(*block, "name").distinct(), "names") for df in (left, right)]
+    named = [df.where(F.col("name").isNotNull()).select(*block, "name").distinct() for df in (left, right)]
+    # Only names of blocks that both sides have can meet.
+    sides = [materialise(named[0].join(named[1].select(*block).distinct(), block, "left_semi"), "names")]
+    sides.append(materialise(named[1].join(sides[0].select(*block).distinct(), block, "left_semi"), "names"))
     counts = _gram_counts(sides[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
