@@ -12,17 +12,20 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..storage import materialise, shared_folder
 from .search import terms
 
-BUCKETS, BLOCK = 32, 4096
+#: A reader unpacks thousands of blocks at a time, so these are short.
+BUCKETS, BLOCK = 32, 256
 K1, B = 1.2, 0.75
-#: Bounds are held against scores that are rounded to 9 digits.
-SLACK = 1e-8
+#: Texts that a task scores at a time, and queries for which it does.
+SHARD, QUERIES = 16_384, 20_000
 
 _POSTINGS = "bucket int, term string, n int, most int, shortest int, ids array<long>, counts array<int>, sizes array<int>"
 _LENGTHS = "id long, n_terms int"
@@ -107,55 +110,77 @@ def merge_text_index(index: TextIndex, docs: DataFrame, id_col: str = "id", text
     return _write(index.spark, kept.unionByName(lengths), held.unionByName(entries.select(*held.columns)), index.buckets, block)
 
 
-def _weight(count: Column, size: Column, mean: Column) -> Column:
+def _weight(count: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
     return count * (K1 + 1) / (count + K1 * (1 - B + B * size / mean))
 
 
+def _best_of_shard(k: int, mean: float):
+    """The ``k`` best texts that a shard has for each query of a block, from its postings of the block's terms."""
+
+    def run(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        term = postings.column("number").to_numpy()
+        order = np.argsort(term, kind="stable")
+        term = term[order]
+        ids, doc = np.unique(postings.column("id").to_numpy()[order], return_inverse=True)
+        count, size = (postings.column(c).to_numpy()[order].astype(np.float64) for c in ("count", "size"))
+        weight = _weight(count, size, mean)
+        found = []
+        numbers, idf, queries = asked.column("number").to_numpy(), asked.column("idf").to_numpy(), asked.column("query_id").to_numpy()
+        by_query = np.argsort(queries, kind="stable")
+        ends = np.flatnonzero(np.diff(queries[by_query])) + 1
+        first, last = np.searchsorted(term, numbers, "left"), np.searchsorted(term, numbers, "right")
+        for own in np.split(by_query, ends):
+            scores = np.zeros(len(ids))
+            for i in own:
+                at = slice(first[i], last[i])
+                np.add.at(scores, doc[at], idf[i] * weight[at])
+            at = np.flatnonzero(scores)
+            best = np.round(scores[at], 9)
+            if len(at) > k:
+                high = best >= np.partition(best, -k)[-k]
+                at, best = at[high], best[high]
+            # Ids are sorted, so of equal scores the smaller ones stay.
+            top = np.argsort(-best, kind="stable")[:k]
+            found.append((np.full(len(top), queries[own[0]]), ids[at[top]], best[top]))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(columns, names=["query_id", "id", "score"])
+
+    return run
+
+
 def text_search_all(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, score and rank (from 0) of the ``k`` best texts that hold any term of each ``queries(query_id, text)``.
 
     BM25 with the terms of a query counted once; equal scores go to the smaller id.  A query
     without terms, or of unknown terms only, has no result.
 
-    The texts of a query's rarest term give a bound from below on its k-th score.  Terms
-    whose bounds together stay under it cannot bring a text into the result by themselves:
-    their postings count only for texts that another term has brought in.  Blocks whose bound
-    plus that of the other terms stays under it are not unpacked.
+    Texts are dealt into shards of about ``SHARD`` and queries into blocks of about
+    ``QUERIES``.  A shard gets its postings of a block's terms once, whatever number of the
+    queries asks for them, and only its ``k`` best of each query go on.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term")).withColumn("bucket", F.pmod(F.hash("term"), F.lit(index.buckets)))
-    blocks = index.postings.join(asked, ["bucket", "term"])
-    found = index.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("mean")).first()
-    mean, n_docs = F.lit(found["mean"] or 1.0), F.lit(found["n_docs"])
-    # Written once: the plan reads the blocks of the asked terms several times.
-    blocks = materialise(blocks.withColumn("bound", _weight(F.col("most"), F.col("shortest"), mean)), "blocks")
-    per_term = blocks.groupBy("query_id", "term").agg(F.sum("n").alias("df"), F.max("bound").alias("bound"))
+    spark = index.spark
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term"))
+    asked = materialise(asked.withColumn("bucket", F.pmod(F.hash("term"), F.lit(index.buckets))), "asked")
+    known = index.postings.join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+    counts = index.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("mean")).first()
+    mean, n_docs = counts["mean"] or 1.0, counts["n_docs"]
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    per_term = materialise(per_term.select("query_id", "term", "df", idf.alias("idf"), (idf * F.col("bound")).alias("top")), "terms")
-
-    # A query's terms are few: they are ranked within it.
-    by_rarity = Window.partitionBy("query_id").orderBy("df", "term")
-    rarest = per_term.withColumn("r", F.row_number().over(by_rarity)).where("r = 1").select("query_id", "term", "idf")
-    first = _scores(blocks.join(rarest, ["query_id", "term"]), mean)
-    order = Window.partitionBy("query_id").orderBy(F.desc("part"))
-    kth = first.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", (F.col("part") - SLACK).alias("least"))
-
-    upto = Window.partitionBy("query_id").orderBy("top", "term")
-    known = per_term.join(kth, "query_id", "left").withColumns({"least": F.coalesce("least", F.lit(-1.0)), "all": F.sum("top").over(Window.partitionBy("query_id")), "below": F.sum("top").over(upto)})
-    plan = known.select("query_id", "term", "idf", "least", (F.col("all") - F.col("top")).alias("others"), (F.col("below") >= F.col("least")).alias("essential"))
-    live = blocks.join(plan, ["query_id", "term"]).where(F.col("idf") * F.col("bound") + F.col("others") >= F.col("least"))
-    parts = _scores(live, mean)
-    brought = materialise(parts.where("essential").groupBy("query_id", "id").agg(F.sum("part").alias("part")), "brought")
-    more = parts.where("NOT essential").select("query_id", "id", "part").join(brought.select("query_id", "id"), ["query_id", "id"], "left_semi")
-    total = brought.unionByName(more).groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return total.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
+    per_term = known.groupBy("bucket", "term").agg(F.sum("n").alias("df")).select("bucket", "term", idf.alias("idf"))
+    # Numbers stand for terms in what is sent to the shards.
+    per_term = materialise(per_term.withColumn("number", F.monotonically_increasing_id()), "terms")
 
-
-def _scores(blocks: DataFrame, mean: Column) -> DataFrame:
-    """What each text of the blocks gets from their term."""
+    shards, blocks = max(1, -(-n_docs // SHARD)), max(1, -(-asked.select("query_id").distinct().count() // QUERIES))
+    asked = materialise(asked.join(per_term, ["bucket", "term"]).select("query_id", "number", "idf", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")), "asked")
     e = F.explode(F.arrays_zip("ids", "counts", "sizes")).alias("e")
-    rows = blocks.select("query_id", "idf", *[c for c in ("essential",) if c in blocks.columns], e)
-    return rows.select("query_id", F.col("e.ids").alias("id"), (F.col("idf") * _weight(F.col("e.counts"), F.col("e.sizes"), mean)).alias("part"), *[c for c in ("essential",) if c in blocks.columns])
+    entries = index.postings.join(per_term.select("bucket", "term", "number"), ["bucket", "term"]).select("number", e)
+    entries = entries.select("number", F.col("e.ids").alias("id"), F.col("e.counts").alias("count"), F.col("e.sizes").alias("size"))
+    entries = entries.join(asked.select("number", F.col("block").alias("for")).distinct(), "number").withColumn("held", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    grouped = entries.groupBy("for", "held").cogroup(everywhere.groupBy("block", "shard"))
+    parts = grouped.applyInArrow(_best_of_shard(k, mean), "query_id long, id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return parts.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
 
 
 def text_search_indexed(index: TextIndex, query: str, k: int, id_col: str = "id") -> DataFrame:

@@ -15,3 +15,19 @@ def plan(df) -> str:
 def test_write_path_broadcasts_no_table(spark, name):
     found = plan(getattr(ingestion, name)(spark, SF_DIR))
     assert "SortMergeJoin" in found and "BroadcastExchange" not in found
+
+
+def test_postings_are_not_copied_for_each_query(spark, monkeypatch):
+    from lorekeeper.operators import text_index
+
+    docs = spark.createDataFrame([(i, "one two" if i % 3 else "one") for i in range(60)], "id long, text string")
+    index, written, write = text_index.build_text_index(docs), [], text_index.materialise
+    monkeypatch.setattr(text_index, "materialise", lambda df, name: written.append(df.columns) or write(df, name))
+    monkeypatch.setattr(text_index, "SHARD", 7)
+    monkeypatch.setattr(text_index, "QUERIES", 9)
+    asked = spark.createDataFrame([(q, "one two") for q in range(40)], "query_id long, text string")
+    found = text_index.text_search_all(index, asked, 3).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in found) == [(q, r, i) for q in range(40) for r, i in enumerate((1, 2, 4))]
+    assert not any("ids" in columns for columns in written)
+    # A reader unpacks 4,096 blocks of 16 bytes an entry at a time.
+    assert 4096 * text_index.BLOCK * 16 <= 32 << 20
