@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.similarity import cosine, store_score
+from ..storage import materialise
 
 RRF_K = 60
 #: Queries that go to the tasks at a time, and rows that are scored against them at a time.
@@ -111,7 +112,8 @@ def text_search(docs: DataFrame, query: str, k: int, id_col: str = "id", text_co
         return F.size("terms") - F.size(F.array_remove("terms", word))
 
     counts = [count(w).alias(f"n{i}") for i, w in enumerate(words)]
-    held = held.select(id_col, F.size("terms").alias("n_terms"), *counts)
+    # Written, a few numbers a row: texts are split into terms once.
+    held = materialise(held.select(id_col, F.size("terms").alias("n_terms"), *counts), "term_counts")
     stats = held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("mean"), *[F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     # One row of corpus statistics.
     rows = held.where(F.greatest(*[F.col(f"n{i}") for i in range(len(words))], F.lit(0)) > 0).crossJoin(F.broadcast(stats))
