@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
+from .grouping import shuffled
 
 _INSIDE = (1 << 33) - 1
 
@@ -57,6 +58,19 @@ def blocked_pairs(left: DataFrame, right: DataFrame, block: list[str], condition
     return left.join(right, block).where(condition)
 
 
+def banded_pairs(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, width: int) -> DataFrame:
+    """Pairs of one block whose values, ``a`` of the left and ``b`` of the right, differ by ``width`` at most.
+
+    Values lie in bands of ``2 * width + 1``; a left row meets the one or two bands that its
+    pairs can lie in, so a block of any size costs what its near pairs do.
+    """
+    size = 2 * width + 1
+    band = lambda c: F.floor(c / size)
+    near = left.withColumn("__band", F.explode(F.array_distinct(F.array(band(F.col(a) - width), band(F.col(a) + width)))))
+    pairs = near.join(shuffled(right.withColumn("__band", band(F.col(b)))), [*block, "__band"])
+    return pairs.where(F.abs(F.col(a) - F.col(b)) <= width).drop("__band")
+
+
 def merged_fields(base: DataFrame, override: DataFrame, key: str) -> DataFrame:
     """``base`` with each field that its row of ``override`` has in its place; a null overrides nothing."""
     fields = [c for c in base.columns if c != key]

@@ -90,7 +90,7 @@ def j7_blocked_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one block that fulfil a condition on both."""
     s = G.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") % 10).alias("block"))
     p = G.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("b"), (F.col("p_partkey") % 10).alias("block"))
-    return ordering.blocked_pairs(s, p, ["block"], F.abs(F.col("a") - F.col("b")) <= 20).select("a", "b")
+    return ordering.banded_pairs(s, p, ["block"], "a", "b", 20).select("a", "b")
 
 
 @query("""WITH s AS (SELECT user_id, ts, value, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS until FROM events WHERE event_type = 'signup')

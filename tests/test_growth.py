@@ -50,3 +50,16 @@ def test_one_text_query_builds_no_index(spark, monkeypatch):
 
     monkeypatch.setattr(queries_search, "_INDEXES", {})
     assert [f(spark, SF_DIR).count() > 0 for f in (t1_text_top_k, h1_rank_fusion, h2_hybrid_search)] == [True] * 3
+
+
+def test_banded_pairs(spark):
+    from lorekeeper.operators import ordering
+    from lorekeeper.plans.queries_more import j7_blocked_theta_join
+
+    left = [(i, i % 3) for i in range(-30, 40, 7)]
+    right = [(i, i % 3) for i in range(-40, 50)]
+    a, b = spark.createDataFrame(left, "a long, block int"), spark.createDataFrame(right, "b long, block int")
+    for width in (0, 1, 5, 20):
+        got = sorted((r["a"], r["b"]) for r in ordering.banded_pairs(a, b, ["block"], "a", "b", width).collect())
+        assert got == sorted((x, y) for x, g in left for y, h in right if g == h and abs(x - y) <= width)
+    assert "__band" in plan(j7_blocked_theta_join(spark, SF_DIR))
