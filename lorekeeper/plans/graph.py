@@ -42,6 +42,13 @@ def chunks(documents: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_O
     return chunk_texts(documents, ["doc_id"], "text", size, overlap)
 
 
+def chunk_places(documents: DataFrame) -> DataFrame:
+    """doc_id and chunk_index of all chunks, from the number of words alone."""
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))
+    counted = documents.select("doc_id", F.floor((n + (CHUNK_WORDS - CHUNK_OVERLAP - 1)) / (CHUNK_WORDS - CHUNK_OVERLAP)).alias("n"))
+    return counted.where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("chunk_index"))
+
+
 def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"))
@@ -56,12 +63,12 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     co = customer_orders(spark, sf_dir)
     parts = (
         t("lineitem").select("l_orderkey", "l_partkey")
-        .join(co.select("o_orderkey", tenant(F.col("c_nationkey")).alias("user")), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(shuffled(co.select("o_orderkey", tenant(F.col("c_nationkey")).alias("user"))), F.col("l_orderkey") == F.col("o_orderkey"))
         .select("user", "l_partkey").distinct()
-        .join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(shuffled(t("part").select("p_partkey", "p_name")), F.col("l_partkey") == F.col("p_partkey"))
     )
     props = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v.cast("string"))])
-    doc_chunks = chunks(t("documents"))
+    doc_chunks = chunk_places(t("documents"))
     parts_of_graph = [
         _node(t("customer"), "person", "individual", tenant(F.col("c_nationkey")), F.lower("c_name"), properties=props(segment=F.col("c_mktsegment"), acctbal=F.col("c_acctbal"))),
         _node(t("supplier"), "organization", "company", tenant(F.col("s_nationkey")), F.lower("s_name")),
@@ -92,10 +99,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = t("nation").select("n_nationkey", F.lower("n_name").alias("country"))
     co = customer_orders(spark, sf_dir).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     order = F.concat(F.lit("order#"), F.col("o_orderkey"))
-    items = t("lineitem").select("l_orderkey", "l_partkey").distinct().join(co.select("o_orderkey", "c_nationkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    items = items.join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    # One shuffle by order serves both the distinct rows and the join.
+    items = t("lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
+    items = items.join(shuffled(co.select("o_orderkey", "c_nationkey")), F.col("l_orderkey") == F.col("o_orderkey"))
+    items = items.join(shuffled(t("part").select("p_partkey", "p_name")), F.col("l_partkey") == F.col("p_partkey"))
     part = F.concat_ws("#", "p_name", F.col("p_partkey").cast("string"))
-    doc_chunks = chunks(t("documents")).select("doc_id", "chunk_index")
+    doc_chunks = chunk_places(t("documents"))
     by = tenant(F.col("c_nationkey"))
     of = tenant(F.col("doc_id"))
     chunk = lambda shift=0: _chunk_name(F.col("doc_id"), F.col("chunk_index") - shift)
@@ -173,5 +182,9 @@ WITH words AS (
 
 
 def walkable_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a walk reads of the edges, derived once for an application and input: each step scans this table, not the joins behind it."""
-    return written_once(spark, f"edges {sf_dir}", lambda: edges(spark, sf_dir).select("id", "source_node_id", "target_node_id", "type"))
+    """What a walk reads of the edges, derived once for an application and input: each step scans this table, not the joins behind it.
+
+    An id is its ends and type, so it is put together where it is read.
+    """
+    held = written_once(spark, f"edges {sf_dir}", lambda: edges(spark, sf_dir).select("user_id", "source_node_id", "target_node_id", "type"))
+    return held.select(edge_id(F.col("source_node_id"), F.col("type"), F.col("target_node_id")).alias("id"), "user_id", "source_node_id", "target_node_id", "type")

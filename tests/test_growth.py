@@ -63,3 +63,20 @@ def test_banded_pairs(spark):
         got = sorted((r["a"], r["b"]) for r in ordering.banded_pairs(a, b, ["block"], "a", "b", width).collect())
         assert got == sorted((x, y) for x, g in left for y, h in right if g == h and abs(x - y) <= width)
     assert "__band" in plan(j7_blocked_theta_join(spark, SF_DIR))
+
+
+def test_edges_of_walks(spark, monkeypatch):
+    """Ids are not written; distinct items and their orders take one shuffle; chunk names need no texts of chunks."""
+    from lorekeeper.plans import graph
+
+    made = []
+    monkeypatch.setattr(graph, "written_once", lambda _, name, make: made.append(make()) or made[-1])
+    walked = graph.walkable_edges(spark, SF_DIR)
+    assert "id" not in made[0].columns and "user_id" in made[0].columns
+    want = graph.edges(spark, SF_DIR)
+    assert sorted(r["id"] for r in walked.collect()) == sorted(r["id"] for r in want.collect())
+    texts = plan(graph.nodes(spark, SF_DIR).where("type = 'chunk'").select("id"))
+    assert "split(" not in texts
+    docs = spark.createDataFrame([(0, None), (1, " \n"), (2, "a"), (3, "a " * 448), (4, "a " * 449), (5, "a " * 900)], "doc_id long, text string")
+    places = lambda df: sorted((r["doc_id"], r["chunk_index"]) for r in df.collect())
+    assert places(graph.chunk_places(docs)) == places(graph.chunks(docs)) == [(2, 0), (3, 0), (4, 0), (4, 1), (5, 0), (5, 1), (5, 2)]
