@@ -41,7 +41,8 @@ def graph_lookup_each(edges: DataFrame, seeds: DataFrame, max_depth: int, direct
             frontier = materialise(step.select("root", F.col(far).alias("at")).distinct().join(seen, ["root", "at"], "left_anti"), "frontier_each")
             seen = seen.union(frontier)
     first = F.row_number().over(Window.partitionBy("root", "id").orderBy("depth"))
-    return found.withColumn("__n", first).where("__n = 1").drop("__n")
+    # Dealt by root, which serves the ranks and whatever is grouped by root after them.
+    return found.repartition("root").withColumn("__n", first).where("__n = 1").drop("__n")
 
 
 def expand_graph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops: int = 1) -> tuple[DataFrame, DataFrame]:
