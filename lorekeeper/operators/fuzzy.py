@@ -13,7 +13,13 @@ most q - 1 of those that remain.  So both strings share, counting repeats, at le
 grams.  In any order of grams that both keep, two bags that share ``o`` share one of the
 first ``m - q + 1 - o + 1`` of the one and of the first ``n - q + 1 - o + 1`` of the other:
 otherwise one of them would have to find all ``o`` among its last ``o - 1``.  Which q is
-used depends on the two lengths alone.  A string therefore has a key for each length that a
+used depends on the two lengths alone.
+
+Short strings have few grams, which most others share.  Two strings have a common
+subsequence of length L exactly if some L characters of the one, in order, are some of the
+other; where neither length has more than ``CHOICES`` such choices, these are the keys.
+
+A string therefore has a key for each length that a
 partner can have and each gram of its prefix for it; two strings whose ratio reaches ``t``
 share a key, and only those that share one are compared.
 """
@@ -23,6 +29,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +42,18 @@ from .grouping import shuffled
 
 #: Gram counts are kept for so many hashes: rare grams come first in prefixes.
 GRAM_BUCKETS = 1 << 16
+#: Subsequences are keys where a string has at most so many of the length that both must share.
+CHOICES = 64
 _EDGE = 1e-9
 
 
+def _common(m: int, n: int, least: float) -> int:
+    """The least length of a common subsequence with which strings of these lengths reach the ratio."""
+    return math.ceil((least - _EDGE) * (m + n) / 2)
+
+
 def _overlap(m: int, n: int, q: int, least: float) -> int:
-    common = math.ceil((least - _EDGE) * (m + n) / 2)
+    common = _common(m, n, least)
     return (2 * q - 1) * common - (q - 1) * (m + n) - (q - 1)
 
 
@@ -60,8 +74,14 @@ def signature(name: str, least: float, counts: np.ndarray) -> list[str]:
     m = len(name)
     if not m:
         return ["empty"]
-    keys, ordered = [], {}
+    keys, ordered, chosen = [], {}, {}
     for n in range(math.ceil(m * (least - _EDGE) / (2 - least + _EDGE)), math.floor(m * (2 - least + _EDGE) / (least - _EDGE)) + 1):
+        common = _common(m, n, least)
+        if n >= 1 and max(math.comb(m, common), math.comb(n, common)) <= CHOICES:
+            if common not in chosen:
+                chosen[common] = {"".join(c) for c in combinations(name, common)}
+            keys += [f"{min(m, n)}|{max(m, n)}|{c}" for c in sorted(chosen[common])]
+            continue
         q = _q(m, n, least)
         if n < 1 or m < q:
             continue

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import norm
 from ..storage import materialise, shared_folder
+from .grouping import shuffled
 
 TILE = 1024
 #: Cells of an approximate index, the rows that its centroids are fitted on, and cells that a query visits.
@@ -85,6 +86,10 @@ def nearest_in_tiles(left: DataFrame, right: DataFrame, block: list[str], k: int
     counts = tiles.groupBy(*[f"r_{c}" for c in block]).agg(F.max("right_tiles").alias("n"))
     on = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in block]
     sent = a.join(counts, on).drop(*[f"r_{c}" for c in block]).withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    # Dealt by a fixed number: tiles are small for the work that they make, so few tasks would be taken for enough.
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = sent.repartition(parts, *block, "meets")
+    tiles = shuffled(tiles.repartition(parts, *[f"r_{c}" for c in block], "right_tile"))
     pairs = sent.join(tiles, [*on, F.col("meets") == F.col("right_tile")]).select("left_ids", "left_vectors", "right_ids", "right_vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

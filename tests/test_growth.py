@@ -80,3 +80,17 @@ def test_edges_of_walks(spark, monkeypatch):
     docs = spark.createDataFrame([(0, None), (1, " \n"), (2, "a"), (3, "a " * 448), (4, "a " * 449), (5, "a " * 900)], "doc_id long, text string")
     places = lambda df: sorted((r["doc_id"], r["chunk_index"]) for r in df.collect())
     assert places(graph.chunk_places(docs)) == places(graph.chunks(docs)) == [(2, 0), (3, 0), (4, 0), (4, 1), (5, 0), (5, 1), (5, 2)]
+
+
+def test_short_names_meet_only_where_they_are_alike():
+    import numpy as np
+
+    from lorekeeper.functions.similarity import indel_ratio
+    from lorekeeper.operators import fuzzy
+
+    counts = np.zeros(fuzzy.GRAM_BUCKETS, dtype=np.int64)
+    names = [f"v{i * 37:06}" for i in range(300)]
+    keys = [set(fuzzy.signature(n, 0.85, counts)) for n in names]
+    for i in range(len(names)):
+        for j in range(i):
+            assert (not keys[i].isdisjoint(keys[j])) == (indel_ratio(names[i], names[j]) >= 0.85)
