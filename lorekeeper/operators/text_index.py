@@ -24,8 +24,8 @@ from .search import terms
 #: A reader unpacks thousands of blocks at a time, so these are short.
 BUCKETS, BLOCK = 32, 256
 K1, B = 1.2, 0.75
-#: Texts that a task scores at a time, and queries for which it does.
-SHARD, QUERIES = 16_384, 20_000
+#: Texts and about how many of their postings a task scores at a time, and queries for which it does.
+SHARD, ENTRIES, QUERIES = 16_384, 1 << 20, 20_000
 
 _POSTINGS = "bucket int, term string, n int, most int, shortest int, ids array<long>, counts array<int>, sizes array<int>"
 _LENGTHS = "id long, n_terms int"
@@ -58,9 +58,13 @@ class TextIndex:
 def _entries(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """id and n_terms of each text, and term, id, size and count of each term in it, written once."""
     held = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
-    each = held.select("id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-    # The terms of a text are counted in its task before any shuffle.
-    counted = materialise(each.groupBy("term", "id", "size").agg(F.count(F.lit(1)).cast("int").alias("count")), "entries")
+    # The terms of a text are counted in its row, so nothing is shuffled: equal ones lie together once they are sorted.
+    words = held.where(F.size("terms") > 0).select("id", F.size("terms").alias("size"), F.sort_array("terms").alias("terms"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    runs = words.select("id", "size", "terms", F.concat(starts, F.array("size")).alias("starts"))
+    run = F.transform(F.slice("starts", 1, F.size("starts") - 1), lambda x, i: F.struct(F.get("terms", x).alias("term"), (F.get("starts", i + 1) - x).alias("count")))
+    each = runs.select("id", "size", F.explode(run).alias("e"))
+    counted = materialise(each.select(F.col("e.term").alias("term"), "id", "size", F.col("e.count").alias("count")), "entries")
     # Texts are split into terms once: their lengths come from the entries, 0 where there are none.
     sizes = counted.groupBy("id").agg(F.max("size").alias("n_terms"))
     lengths = held.select("id").join(sizes, "id", "left").select("id", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
@@ -122,11 +126,11 @@ def _best_of_shard(k: int, mean: float):
         order = np.argsort(term, kind="stable")
         term = term[order]
         ids, doc = np.unique(postings.column("id").to_numpy()[order], return_inverse=True)
-        count, size = (postings.column(c).to_numpy()[order].astype(np.float64) for c in ("count", "size"))
-        weight = _weight(count, size, mean)
+        weight = _weight(*(postings.column(c).to_numpy()[order].astype(np.float64) for c in ("count", "size")), mean)
         found = []
-        numbers, idf, queries = asked.column("number").to_numpy(), asked.column("idf").to_numpy(), asked.column("query_id").to_numpy()
-        by_query = np.argsort(queries, kind="stable")
+        numbers, idf, queries = (asked.column(c).to_numpy() for c in ("number", "idf", "query_id"))
+        # In one order in every shard, so that equal texts get equal sums.
+        by_query = np.lexsort((numbers, queries))
         ends = np.flatnonzero(np.diff(queries[by_query])) + 1
         first, last = np.searchsorted(term, numbers, "left"), np.searchsorted(term, numbers, "right")
         for own in np.split(by_query, ends):
@@ -154,9 +158,10 @@ def text_search_all(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     BM25 with the terms of a query counted once; equal scores go to the smaller id.  A query
     without terms, or of unknown terms only, has no result.
 
-    Texts are dealt into shards of about ``SHARD`` and queries into blocks of about
-    ``QUERIES``.  A shard gets its postings of a block's terms once, whatever number of the
-    queries asks for them, and only its ``k`` best of each query go on.
+    Texts are dealt into shards of about ``SHARD`` texts or ``ENTRIES`` postings of asked
+    terms, whichever is fewer, and queries into blocks of about ``QUERIES``.  A shard gets
+    its postings of a block's terms once, whatever number of the queries asks for them, and
+    only the ``k`` best that a task has for each query go on.
     """
     spark = index.spark
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.explode(F.array_distinct(terms(F.coalesce("text", F.lit(""))))).alias("term"))
@@ -165,22 +170,27 @@ def text_search_all(index: TextIndex, queries: DataFrame, k: int) -> DataFrame:
     counts = index.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("mean")).first()
     mean, n_docs = counts["mean"] or 1.0, counts["n_docs"]
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    per_term = known.groupBy("bucket", "term").agg(F.sum("n").alias("df")).select("bucket", "term", idf.alias("idf"))
+    per_term = known.groupBy("bucket", "term").agg(F.sum("n").alias("df")).select("bucket", "term", "df", idf.alias("idf"))
     # Numbers stand for terms in what is sent to the shards.
     per_term = materialise(per_term.withColumn("number", F.monotonically_increasing_id()), "terms")
+    n_entries = per_term.agg(F.sum("df")).first()[0] or 0
 
-    shards, blocks = max(1, -(-n_docs // SHARD)), max(1, -(-asked.select("query_id").distinct().count() // QUERIES))
-    asked = materialise(asked.join(per_term, ["bucket", "term"]).select("query_id", "number", "idf", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")), "asked")
+    shards, blocks = max(1, -(-n_docs // SHARD), -(-n_entries // ENTRIES)), max(1, -(-asked.select("query_id").distinct().count() // QUERIES))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    asked = materialise(asked.join(per_term, ["bucket", "term"]).select("query_id", "number", "idf", block), "asked")
+    # Blocks of postings meet the terms before they are unpacked.
+    wanted = per_term.join(asked.select("number", F.col("block").alias("for")).distinct(), "number").select("bucket", "term", "number", "for")
     e = F.explode(F.arrays_zip("ids", "counts", "sizes")).alias("e")
-    entries = index.postings.join(per_term.select("bucket", "term", "number"), ["bucket", "term"]).select("number", e)
-    entries = entries.select("number", F.col("e.ids").alias("id"), F.col("e.counts").alias("count"), F.col("e.sizes").alias("size"))
-    entries = entries.join(asked.select("number", F.col("block").alias("for")).distinct(), "number").withColumn("held", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
+    entries = index.postings.join(wanted, ["bucket", "term"]).select("for", "number", e)
+    held = F.pmod(F.xxhash64("e.ids"), F.lit(shards)).cast("int").alias("held")
+    entries = entries.select("for", held, "number", F.col("e.ids").alias("id"), F.col("e.counts").alias("count"), F.col("e.sizes").alias("size"))
+    everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     grouped = entries.groupBy("for", "held").cogroup(everywhere.groupBy("block", "shard"))
     parts = grouped.applyInArrow(_best_of_shard(k, mean), "query_id long, id long, score double")
+    # A filter on the row number itself lets each task leave out rows before the shuffle.
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return parts.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
+    return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def text_search_indexed(index: TextIndex, query: str, k: int, id_col: str = "id") -> DataFrame:

@@ -94,3 +94,32 @@ def test_short_names_meet_only_where_they_are_alike():
     for i in range(len(names)):
         for j in range(i):
             assert (not keys[i].isdisjoint(keys[j])) == (indel_ratio(names[i], names[j]) >= 0.85)
+
+
+def test_postings_bound_a_shard(spark, monkeypatch, tmp_path):
+    """However many terms are asked for, a task holds about ``ENTRIES`` postings."""
+    from lorekeeper.operators import text_index
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 50}" for j in range(20))) for i in range(200)], "id long, text string")
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 1}") for q in range(49)], "query_id long, text string")
+    entries = text_index._entries(docs, "id", "text")[1]
+    assert entries.count() == 200 * 20
+    index, make = text_index.build_text_index(docs), text_index._best_of_shard
+    want = sorted(tuple(r) for r in text_index.text_search_all(index, asked, 3).collect())
+
+    def counted(*args):
+        run = make(*args)
+
+        def noted(postings, queries):
+            with open(f"{tmp_path}/rows", "a") as f:
+                f.write(f"{postings.num_rows}\n")
+            return run(postings, queries)
+
+        return noted
+
+    monkeypatch.setattr(text_index, "_best_of_shard", counted)
+    monkeypatch.setattr(text_index, "ENTRIES", 400, raising=False)
+    found = text_index.text_search_all(index, asked, 3)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert max(map(int, (tmp_path / "rows").read_text().split())) < 1600 < 200 * 20
+    assert "WindowGroupLimit" in plan(found)
