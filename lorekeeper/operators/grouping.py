@@ -15,6 +15,18 @@ def shuffled(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
+#: Rows of ids that are sent whole to every executor: some tens of MB.
+FEW = 500_000
+
+
+def sent_or_shuffled(side: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that has ``rows`` rows at most: sent whole if these are few, otherwise shuffled.
+
+    Rows are counted from the files of written tables, whose packed size says little.
+    """
+    return F.broadcast(side) if rows <= FEW else shuffled(side)
+
+
 def first_values(rows: DataFrame, key: str, value: Column, limit: int, name: str) -> DataFrame:
     """The first ``limit`` distinct values of each key as an array.
 

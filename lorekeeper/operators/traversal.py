@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
+from .grouping import sent_or_shuffled
 
 
 def graph_lookup(edges: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "down") -> DataFrame:
@@ -18,13 +19,15 @@ def graph_lookup(edges: DataFrame, seeds: DataFrame, max_depth: int, direction:
     """
     near, far = ("source_node_id", "target_node_id") if direction == "down" else ("target_node_id", "source_node_id")
     frontier = seen = seeds.select(F.col("id").alias("at")).distinct()
+    n_frontier = n_seen = seeds.count()
     found = None
     for depth in range(max_depth + 1):
-        step = materialise(edges.join(frontier, F.col(near) == F.col("at"), "left_semi").withColumn("depth", F.lit(depth)), "walk")
+        step = materialise(edges.join(sent_or_shuffled(frontier, n_frontier), F.col(near) == F.col("at"), "left_semi").withColumn("depth", F.lit(depth)), "walk")
         found = step if found is None else found.unionByName(step)
         if depth < max_depth:
-            frontier = materialise(step.select(F.col(far).alias("at")).distinct().join(seen, "at", "left_anti"), "frontier")
-            seen = seen.union(frontier)
+            frontier = materialise(step.select(F.col(far).alias("at")).distinct().join(sent_or_shuffled(seen, n_seen), "at", "left_anti"), "frontier")
+            n_frontier = frontier.count()
+            seen, n_seen = seen.union(frontier), n_seen + n_frontier
     return found.groupBy(*edges.columns).agg(F.min("depth").alias("depth"))
 
 
@@ -51,7 +54,8 @@ def expand_graph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_hops:
     walks = [graph_lookup(edges, seeds, max_hops - 1, d).drop("depth") for d in ("down", "up")]
     reached = materialise(walks[0].unionByName(walks[1]).dropDuplicates(["id"]), "reached")
     ids = reached.select(F.explode(F.array("source_node_id", "target_node_id")).alias("id")).union(seeds.select("id")).distinct()
-    return nodes.join(ids, "id", "left_semi"), reached
+    # Nodes that a walk reaches can be a share of all.
+    return nodes.join(sent_or_shuffled(ids, 2 * reached.count() + seeds.count()), "id", "left_semi"), reached
 
 
 def find_neighbors(edges: DataFrame, start: str, max_hops: int = 1, edge_types: list[str] | None = None) -> DataFrame:

@@ -123,3 +123,21 @@ def test_postings_bound_a_shard(spark, monkeypatch, tmp_path):
     assert sorted(tuple(r) for r in found.collect()) == want
     assert max(map(int, (tmp_path / "rows").read_text().split())) < 1600 < 200 * 20
     assert "WindowGroupLimit" in plan(found)
+
+
+def test_what_a_walk_reaches_is_sent_whole_only_if_it_is_little(spark, monkeypatch):
+    """The written ids of a walk pack into a few KB, whatever their number: rows are counted."""
+    from lorekeeper.operators import grouping, traversal
+
+    edges = spark.createDataFrame([(f"e{i}", "n0" if i % 2 else f"n{i - 1}", f"n{i}") for i in range(1, 41)], "id string, source_node_id string, target_node_id string")
+    nodes = traversal.materialise(spark.createDataFrame([(f"n{i}",) for i in range(60)], "id string"), "nodes")
+    seeds = spark.createDataFrame([("n0",)], "id string")
+    walk = lambda: traversal.expand_graph(nodes, traversal.materialise(edges, "edges"), seeds, 2)
+    little = walk()
+    assert "BroadcastExchange" in plan(little[0])
+    monkeypatch.setattr(grouping, "FEW", 5, raising=False)
+    found = walk()
+    assert "BroadcastExchange" not in plan(found[0])
+    for a, b in zip(little, found, strict=True):
+        assert sorted(r["id"] for r in a.collect()) == sorted(r["id"] for r in b.collect())
+    assert {r["id"] for r in found[0].collect()} == {f"n{i}" for i in range(41)}
