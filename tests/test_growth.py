@@ -141,3 +141,12 @@ def test_what_a_walk_reaches_is_sent_whole_only_if_it_is_little(spark, monkeypat
     for a, b in zip(little, found, strict=True):
         assert sorted(r["id"] for r in a.collect()) == sorted(r["id"] for r in b.collect())
     assert {r["id"] for r in found[0].collect()} == {f"n{i}" for i in range(41)}
+
+
+def test_search_and_expand_builds_no_index(spark, monkeypatch):
+    from lorekeeper.operators import text_index
+    from lorekeeper.plans import queries_search
+
+    monkeypatch.setattr(text_index, "build_text_index", lambda *_, **__: pytest.fail("an index for one query"))
+    monkeypatch.setattr(queries_search, "_INDEXES", {})
+    assert queries_search.h3_search_and_expand(spark, SF_DIR).count() > 0
