@@ -150,3 +150,12 @@ def test_search_and_expand_builds_no_index(spark, monkeypatch):
     monkeypatch.setattr(text_index, "build_text_index", lambda *_, **__: pytest.fail("an index for one query"))
     monkeypatch.setattr(queries_search, "_INDEXES", {})
     assert queries_search.h3_search_and_expand(spark, SF_DIR).count() > 0
+
+
+def test_nodes_of_writes_meet_without_the_driver(spark, monkeypatch):
+    from lorekeeper.operators import ingestion as stages
+
+    plans, write = [], stages.materialise
+    monkeypatch.setattr(stages, "materialise", lambda df, name: plans.append(plan(df)) or write(df, name))
+    plans.append(plan(ingestion.d29_apply_writes(spark, SF_DIR)))
+    assert len(plans) > 1 and not any("BroadcastExchange" in p for p in plans)
