@@ -159,3 +159,11 @@ def test_nodes_of_writes_meet_without_the_driver(spark, monkeypatch):
     monkeypatch.setattr(stages, "materialise", lambda df, name: plans.append(plan(df)) or write(df, name))
     plans.append(plan(ingestion.d29_apply_writes(spark, SF_DIR)))
     assert len(plans) > 1 and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_fusion_splits_texts_once(spark):
+    """Its text list reads a written row of numbers a text, and no text again."""
+    from lorekeeper.plans.queries_search import h1_rank_fusion
+
+    found = plan(h1_rank_fusion(spark, SF_DIR))
+    assert "documents.parquet" not in found and "regexp_extract_all" not in found and "n_terms" in found
