@@ -233,6 +233,8 @@ def apply_writes(
     id collapse.  Structural rows may be among both inputs.  A second run with the same
     ``now`` changes nothing.
     """
+    # Written: each column that collapses reads the rows, and so do the mentions.
+    new_nodes = materialise(new_nodes, "rows")
     rows = collapse_nodes(new_nodes)
     if embed is not None:
         vector = F.pandas_udf(lambda s: pd.Series(list(embed(s.tolist()))), "array<double>")
@@ -362,6 +364,6 @@ def ingest_documents(
     named, me, holds = _own_preferences(named)
     parts, joins = structural_rows(pieces)
     every = named.unionByName(me, allowMissingColumns=True).unionByName(parts, allowMissingColumns=True)
-    out, out_edges, decisions = apply_writes(nodes, edges, materialise(every, "rows"), links.unionByName(holds).unionByName(joins), now, config, strategy, embed, semantic)
+    out, out_edges, decisions = apply_writes(nodes, edges, every, links.unionByName(holds).unionByName(joins), now, config, strategy, embed, semantic)
     failed = emitted.where("kind = 'failed'").select(*fields, F.col("name").alias("error"))
     return Ingested(out, out_edges, found.rejected, found.dropped, failed, decisions)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import token_sort
 from ..functions.text import normalize_name
+from ..storage import materialise
 from .fuzzy import similar_names
 from .grouping import shuffled
 from .neighbors import nearest_in_tiles
@@ -65,9 +66,9 @@ def resolve(mentions: DataFrame, candidates: DataFrame, semantic: bool = False,
     The first stage that matches decides; in it the best score, then the
     candidate with the smallest id.
     """
-    found = [alias_matches(mentions, candidates), exact_matches(mentions, candidates)]
-    # Only what equality leaves over is compared name by name.
-    rest = mentions.join(shuffled(found[0].unionByName(found[1]).select("mention_id")), "mention_id", "left_anti")
+    # Written: the result reads these matches, and so does each later stage, which takes only what equality leaves over.
+    found = [materialise(alias_matches(mentions, candidates).unionByName(exact_matches(mentions, candidates)), "equal")]
+    rest = mentions.join(shuffled(found[0].select("mention_id")), "mention_id", "left_anti")
     found += [fuzzy_matches(rest, candidates, fuzzy)] + ([semantic_matches(rest, candidates, near)] if semantic else [])
     best = reduce(DataFrame.unionByName, found).groupBy("mention_id").agg(F.min(F.struct("stage", (-F.col("score")).alias("score"), "matched_id")).alias("best"))
     names = F.array(*[F.lit(s) for s in STAGES])

@@ -45,13 +45,15 @@ def _emissions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o = G.customer_orders(spark, sf_dir)
     base = o.select(G.tenant(F.col("c_nationkey")).alias("user_id"), F.concat(F.lit("order://"), "o_orderkey").alias("source_uri"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("  "), F.upper("c_name")).alias("person"), F.concat(F.lit("Order "), "o_orderkey").alias("event"))
     common = ("user_id", "source_uri", "seq")
-    person = base.select(*common, _text("person").alias("type"), _text("individual").alias("subtype"), F.col("person").alias("name"), F.create_map(F.lit("order"), F.col("source_uri")).alias("properties"))
-    event = base.select(*common, _text("event").alias("type"), _text("transaction").alias("subtype"), F.col("event").alias("name"), F.create_map().cast(_STRINGS).alias("properties"))
+    # Both nodes of an order are made from one row, so that orders and customers are joined once.
+    row = lambda kind, subtype, name, props: F.struct(_text(kind).alias("type"), _text(subtype).alias("subtype"), F.col(name).alias("name"), props.cast(_STRINGS).alias("properties"))
+    both = F.array(row("person", "individual", "person", F.create_map(F.lit("order"), F.col("source_uri"))), row("event", "transaction", "event", F.create_map()))
+    nodes = base.select(*common, F.inline(both))
     edge = base.select(
         *common, _text("related_to").alias("type"), _text("participated_in").alias("semantic_type"), _text("person").alias("source_type"), F.col("person").alias("source_name"),
         _text("event").alias("target_type"), F.col("event").alias("target_name"), F.create_map().cast(_STRINGS).alias("properties"),
     )
-    return person.unionByName(event), edge
+    return nodes, edge
 
 
 def _written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

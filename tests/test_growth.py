@@ -167,3 +167,17 @@ def test_fusion_splits_texts_once(spark):
 
     found = plan(h1_rank_fusion(spark, SF_DIR))
     assert "documents.parquet" not in found and "regexp_extract_all" not in found and "n_terms" in found
+
+
+def test_rows_of_writes_are_derived_once(spark, monkeypatch):
+    """All orders are joined with their customers once, however many columns collapse, and matches by equality are found once."""
+    from lorekeeper.operators import ingestion as stages
+    from lorekeeper.operators import resolution
+
+    plans = {}
+    for module in (stages, resolution):
+        write = getattr(module, "materialise", stages.materialise)
+        monkeypatch.setattr(module, "materialise", lambda df, name, write=write: plans.setdefault(name, plan(df)) and write(df, name), raising=False)
+    plans["result"] = plan(ingestion.d29_apply_writes(spark, SF_DIR))
+    assert {name: p.count("FileScan parquet [o_orderkey") for name, p in plans.items() if "[o_orderkey" in p} == {"rows": 1}
+    assert "equal" in plans
